@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import byte_bpe, lang_id, mixing, pii, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,28 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = lang_id.learn(docs.where(~held_out))
+    return lang_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op6_token_files(spark, sf_dir):
+    return token_files.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op9_mixing, op10_pii)}
 ORACLES: dict[str, str] = {}
