@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lang_id, mixing, near_dup, pii, token_files, top_k, url_filter
+from . import byte_bpe, embed_dup, lang_id, mixing, near_dup, pii, token_files, top_k, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embed_dup(spark, sf_dir):
+    return embed_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -51,7 +55,7 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op9_mixing, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op3_embed_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op9_mixing, op10_pii)}
 ORACLES: dict[str, str] = {
     "op1_top_k": """
         WITH v AS (
