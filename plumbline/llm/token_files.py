@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -70,28 +72,32 @@ def tokenizer(path: str):
 class Encoder:
     """Texts to ids through the tokenizers library, which sees each distinct unit once a worker.
 
-    A unit is a space and the word after it. Where a space follows a character that isn't white
-    space, and where punctuation follows a letter, the pre-tokenizer always cuts, so ids of units
-    join to ids of the text. Texts in which a space follows white space are encoded whole.
+    A unit is a space and what follows up to the next. Where a space follows a character that isn't
+    white space, and where punctuation follows a letter, the pre-tokenizer always cuts, so ids of
+    units join to ids of the text. A text in which a space follows white space is encoded whole.
     """
 
-    _double = re.compile(r"\s ")
     _tail = re.compile(r"(?<=[A-Za-z])[.,!?;:]+$")
 
     def __init__(self, path: str, most: int = 1_500_000):
-        self.t, self.most, self.known = tokenizer(path), most, {}
-        self.dtype = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
+        self.t, self.most, self.known = tokenizer(path), most, {"": b""}
+        self.code, self.dtype = ("H", "<u2") if self.t.get_vocab_size() <= 1 << 16 else ("I", "<u4")
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array(self.code, e.ids) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in found:
+                x.byteswap()
+        return [x.tobytes() for x in found]
 
     def _learn(self, units: set[str]) -> None:
         if len(self.known) + len(units) > self.most:
-            self.known.clear()
-            self.known[""] = b""
+            self.known = {"": b""}
         known, tail = self.known, self._tail
+        # A unit that ends in white space isn't cut off safely; texts with one lack it and go whole.
+        units = {u for u in units if not u[-1:].isspace()}
         cut = {u: m.start() for u in units if (m := tail.search(u))}
-        need = {u for u in units if u not in cut}
+        need = units.difference(cut)
         for u, k in cut.items():
             need.add(u[:k])
             need.add(u[k:])
@@ -100,36 +106,39 @@ class Encoder:
             known.update(zip(need[i : i + 4096], self._pack(need[i : i + 4096])))
         known.update((u, known[u[:k]] + known[u[k:]]) for u, k in cut.items())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, out = [], [b""] * len(texts)
-        for i, s in enumerate(texts):
-            if s and ("  " in s or "\n " in s or self._double.search(s)):
-                out[i] = self._pack([s])[0]
-                split.append(None)
-            else:
-                # A space in front of each word but the first.
-                split.append(s.replace(" ", "\0 ").split("\0") if "\0" not in s else None)
-                if split[-1] is None:
-                    out[i] = self._pack([s])[0]
-        group, size = [], 0
-        for i, w in enumerate(split):
-            if w is not None:
-                group.append(i)
-                size += len(w)
-            if group and (size > 200_000 or i == len(split) - 1):
-                new = set().union(*(split[j] for j in group))
-                new.difference_update(self.known)
-                if new:
-                    before = len(self.known)
-                    self._learn(new)
-                    if len(self.known) < before:  # it was emptied
-                        self._learn(set().union(*(split[j] for j in group)).difference(self.known))
-                get = self.known.__getitem__
-                for j in group:
-                    out[j] = b"".join(map(get, split[j]))
-                    split[j] = None
-                group, size = [], 0
-        return out
+    def _join(self, texts: list[str], split: list[list[str]]):
+        new = set().union(*split).difference(self.known)
+        if new:
+            kept = self.known
+            self._learn(new)
+            if self.known is not kept:  # it began anew
+                self._learn(set().union(*split).difference(self.known))
+        get = self.known.__getitem__
+        for text, units in zip(texts, split):
+            try:
+                yield b"".join(map(get, units))
+            except KeyError:
+                yield self._pack([text])[0]
+
+    def encode(self, texts: list[str]):
+        """The ids of each text, packed, in order; words of about a million characters meet at once."""
+        group, split, size = [], [], 0
+        for s in texts:
+            group.append(s)
+            # A text that holds the mark itself gets one unit that is never known.
+            split.append(s.replace(" ", "\0 ").split("\0") if "\0" not in s else ["\0 "])
+            size += len(s)
+            if size > 1 << 20:
+                yield from self._join(group, split)
+                group, split, size = [], [], 0
+        if group:
+            yield from self._join(group, split)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker, so that what it has learnt serves the worker's later tasks."""
+    return Encoder(path)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) -> DataFrame:
@@ -144,7 +153,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) ->
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), str(TaskContext.get().taskAttemptId())
-        enc = Encoder(tokenizer_file)
+        enc = encoder(tokenizer_file)
         end = np.array([end_id], enc.dtype).tobytes()
         width = np.dtype(enc.dtype).itemsize
         sizes, ids, total = [], [], 0
