@@ -106,5 +106,23 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """Adds n_tokens, ids (array<int>) and round_trip, whether the decoded bytes equal the text's, and
+    drops the text; encoding and decoding in one pass. A null text counts as empty."""
+    keep = docs.drop("text", "n_tokens", "ids", "round_trip")
+    names = keep.columns
+
+    def run(batches):
+        enc = encoding(rank_file, pattern)
+        for b in batches:
+            text = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            ids = [encode(enc, x) for x in text]
+            same = [enc.decode_bytes(i) == x.encode() for i, x in zip(ids, text)]
+            made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, *made], [*names, "n_tokens", "ids", "round_trip"])
+
+    return docs.select(*keep.columns, "text").mapInArrow(run, f"{_ddl(keep)}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -259,11 +259,11 @@ def mask_text(text: str | None) -> str | None:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with their personal data masked; columns and rows as they are."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series) -> pd.Series:
-        return text.map(mask_text)
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            made = pa.array([mask_text(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
-    return docs.withColumn("text", masked("text"))
+    return docs.mapInArrow(run, docs.schema)
