@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dup, lang_id, mixing, near_dup, pii, token_files, top_k, url_filter
+from . import byte_bpe, embed_dup, lang_id, mixing, near_dup, passage_dup, pii, token_files, top_k, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_passage_dup(spark, sf_dir):
+    return passage_dup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op3_embed_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op9_mixing, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op3_embed_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op8_passage_dup, op9_mixing, op10_pii)}
 ORACLES: dict[str, str] = {
     "op1_top_k": """
         WITH v AS (
