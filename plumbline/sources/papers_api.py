@@ -1,7 +1,8 @@
 """A Python data source over a paged papers service: format("papers_api").
 
-Options: base_url, start_year, end_year, page_size. One partition a year, so years are read in
-parallel; filters on an id or a year shorten what is asked for.
+Options: base_url, start_year, end_year, page_size, id. One partition a year, so years are read in
+parallel; with id, one request for one document. The id is an option and no pushed filter: what a
+reader pushes down stays with the relation, and a later query of it would see the filter again.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "id long, title string, authors string, publication_date string, doi string, bibcode string, citation_count long, ads_url string, abstract string"
 FIELDS = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
@@ -82,16 +83,10 @@ class _Reader(DataSourceReader):
         self.url = base_url(options.get("base_url"))
         self.years = range(int(options.get("start_year", 2010)), int(options.get("end_year", 2024)) + 1)
         self.size = int(options.get("page_size", 1000))
-        self.doc_id = None
+        self.doc_id = int(options["id"]) if options.get("id") else None
         if options.get("check", "true") == "true":
             check_health(self.url)
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("id",):
-                self.doc_id = f.value
-            yield f  # Spark applies it again
-
     def partitions(self):
         return [_Part(None, self.doc_id)] if self.doc_id is not None else [_Part(y) for y in self.years]
 
@@ -121,4 +116,3 @@ class PapersSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(PapersSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

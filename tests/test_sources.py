@@ -49,10 +49,12 @@ def server():
 
 def test_papers_source(spark, server, tmp_path):
     papers_api.register(spark)
-    d = spark.read.format("papers_api").option("base_url", server + "/").option("start_year", 2010).option("end_year", 2011).option("page_size", 3).load()
+    source = lambda **k: spark.read.format("papers_api").option("base_url", server + "/").option("start_year", 2010).option("end_year", 2011).option("page_size", 3).options(**k).load()
+    d = source()
     assert sorted(r["id"] for r in d.collect()) == [i for i in range(25) if i % 3 < 2]
+    assert [r["title"] for r in source(id=7).collect()] == ["t7"]
+    assert source(id=99).count() == 0
     assert [r["title"] for r in d.where("id = 7").collect()] == ["t7"]
-    assert d.where("id = 99").count() == 0
     with pytest.raises(ValueError):
         papers_api.by_id(server, 99)
     with pytest.raises(ConnectionError):
