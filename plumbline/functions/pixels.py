@@ -80,6 +80,8 @@ def find_circle(gray: np.ndarray, least: float = 0.30, most: float = 0.55, votes
             cx, cy = x + s * r * ux, y + s * r * uy
             ok = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
             np.add.at(acc, ((cy[ok] / cell).astype(int), (cx[ok] / cell).astype(int)), 1)
+        p = np.pad(acc, 1)  # rounding spreads a centre's votes over neighbouring cells
+        acc = sum(p[1 + dy : 1 + dy + acc.shape[0], 1 + dx : 1 + dx + acc.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1))
         top = np.unravel_index(acc.argmax(), acc.shape)
         share = acc[top] / (2 * np.pi * r)
         if share > best[0]:
