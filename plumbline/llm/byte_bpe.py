@@ -7,6 +7,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -58,6 +59,18 @@ def encode(enc, text: str) -> list[int]:
     return out
 
 
+def slices(batches, rows: int = 128):
+    """Batches of a few rows each: ids as Python integers take ten times the text's memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def _lists(ids: list[list[int]]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in ids)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ids, array<int>, of each whole text (null: empty). Other columns pass through, also one
     already named ids, which is replaced."""
@@ -65,9 +78,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for b in batches:
-            column = b.column(b.schema.get_field_index(text))
-            made = pa.array([encode(enc, x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
+        for b in slices(batches):
+            made = _lists([encode(enc, x or "") for x in b.column(b.schema.get_field_index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, ids])
 
     return keep.mapInArrow(run, f"{_ddl(keep)}, `{ids}` array<int>")
@@ -79,7 +91,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, ids: str
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for b in batches:
+        for b in slices(batches):
             column = b.column(b.schema.get_field_index(ids))
             made = pa.array([enc.decode_bytes(x or []) for x in column.to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
@@ -114,11 +126,11 @@ def encode_checked(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for b in batches:
+        for b in slices(batches):
             text = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             ids = [encode(enc, x) for x in text]
             same = [enc.decode_bytes(i) == x.encode() for i, x in zip(ids, text)]
-            made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
+            made = [pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.select(names).columns, *made], [*names, "n_tokens", "ids", "round_trip"])
 
     return docs.select(*keep.columns, "text").mapInArrow(run, f"{_ddl(keep)}, n_tokens long, ids array<int>, round_trip boolean")
