@@ -111,9 +111,8 @@ def _exact(points: np.ndarray) -> np.ndarray:
 def clean(vectors: DataFrame, value: Column) -> DataFrame:
     """(vec_id, v array<double>, dim) of the vectors that take part: not null, no null, NaN or
     infinite component."""
-    v = vectors.select(F.col("vec_id").cast("long"), value.alias("v"))
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.where(F.col("vec_id").isNotNull() & good).withColumn("dim", F.size("v"))
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long"), value.alias("v"), F.size("embedding").alias("dim"))
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0, shard_rows: int = 8192, group: int = 4, block: int = 1024) -> DataFrame:
@@ -123,9 +122,11 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
     each gets its k highest integer inner products with other vec_ids, ties to smaller vec_id; fewer
     if there are fewer. Null vectors and those with a null or non-finite component take no part; a
     vector meets those of its own length alone; of rows with one vec_id the least vector counts.
-    An empty table gives no rows.
+    Scores beyond
+    64 bits are cut to the nearest long. An empty table gives no rows.
     """
-    v = clean(vectors, F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")))
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # noqa: E731  floor() gives longs
+    v = clean(vectors, F.transform("embedding", lambda x: whole(x.cast("double") * scale)))
     n = v.count()
     shards = max(1, -(-n // shard_rows))
     groups = max(1, -(-shards // group))
@@ -158,7 +159,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
             for own, heap in zip(ids.tolist(), best):
                 out[0] += [own] * len(heap)
                 out[1] += [-i for _, i in heap]
-                out[2] += [s for s, _ in heap]
+                out[2] += [max(-(1 << 63), min((1 << 63) - 1, s)) for s, _ in heap]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
