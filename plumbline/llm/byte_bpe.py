@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: The characters with the Unicode property White_Space.
 _SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 #: No match of the pattern goes on from a character that isn't white space to one that is.
@@ -82,7 +84,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
             made = _lists([encode(enc, x or "") for x in b.column(b.schema.get_field_index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, ids])
 
-    return keep.mapInArrow(run, f"{_ddl(keep)}, `{ids}` array<int>")
+    return keep.transform(map_arrow, run, f"{_ddl(keep)}, `{ids}` array<int>")
 
 
 def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -96,7 +98,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, ids: str
             made = pa.array([enc.decode_bytes(x or []) for x in column.to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
 
-    return keep.mapInArrow(run, f"{_ddl(keep)}, `{out}` binary")
+    return keep.transform(map_arrow, run, f"{_ddl(keep)}, `{out}` binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -115,7 +117,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 d.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -133,7 +135,7 @@ def encode_checked(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             made = [pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.select(names).columns, *made], [*names, "n_tokens", "ids", "round_trip"])
 
-    return docs.select(*keep.columns, "text").mapInArrow(run, f"{_ddl(keep)}, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select(*keep.columns, "text").transform(map_arrow, run, f"{_ddl(keep)}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def _ddl(df: DataFrame) -> str:

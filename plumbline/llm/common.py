@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Documents table columns, in order.
@@ -57,6 +59,24 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, n_rows: int, b
     return left.join(F.broadcast(right) if small_enough(n_rows, bytes_per_row) else right, on, how)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of a thousand rows at most and workers that give back
+    what a task leaves: rows are whole texts, and idle workers keep their memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 # --- words and shingles -----------------------------------------------------------------------
 
 #: Fixed, arbitrary odd 64-bit constants for hashing (from the golden ratio and a public finaliser).

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, materialize, partitions
+from .common import join_checked, map_arrow, materialize, partitions
 from .graph import components
 
 
@@ -129,7 +129,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                 keys, code = sent.value(unit)
                 yield pa.RecordBatch.from_arrays([b.column(0), _blobs(unit), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(code.view(np.int64)), pa.list_(pa.int64()))], ["vec_id", "unit", "keys", "code"])
 
-    coded = materialize(v.mapInArrow(encode, "vec_id long, unit binary, keys array<long>, code array<long>"), "codes")
+    coded = materialize(v.transform(map_arrow, encode, "vec_id long, unit binary, keys array<long>, code array<long>"), "codes")
     units = coded.select("vec_id", "unit")
     cells = coded.select("vec_id", "code", F.posexplode("keys").alias("t", "key"))
 
@@ -149,7 +149,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                 c = np.einsum("ij,ij->i", _bytes(b.column(2), "<f8"), _bytes(b.column(3), "<f8"))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], ["a", "b", "cosine"])
 
-    in_cone = near.select("vec_id", "leader", "unit", "centre").mapInArrow(cosines, "a long, b long, cosine double").where(F.col("cosine") >= half)
+    in_cone = near.select("vec_id", "leader", "unit", "centre").transform(map_arrow, cosines, "a long, b long, cosine double").where(F.col("cosine") >= half)
     in_cone = in_cone.groupBy(F.col("a").alias("vec_id")).agg(F.min(F.struct(F.col("b"), F.col("cosine"))).alias("m")).select("vec_id", F.col("m.b").alias("rep"), F.acos(F.least(F.lit(1.0), "m.cosine")).alias("off"))
     cones = materialize(in_cone, "cones")
     n_coned = cones.count()
@@ -195,7 +195,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
 
     pairs = materialize(lone.groupBy("deal").applyInArrow(propose, "u long, w long").distinct(), "pairs")
     of = lambda c, name: units.select(F.col("vec_id").alias(c), F.col("unit").alias(name))
-    scored = pairs.join(of("u", "x"), "u").join(of("w", "y"), "w").select("u", "w", "x", "y").mapInArrow(cosines, "a long, b long, cosine double")
+    scored = pairs.join(of("u", "x"), "u").join(of("w", "y"), "w").select("u", "w", "x", "y").transform(map_arrow, cosines, "a long, b long, cosine double")
     size = lambda c: sizes.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("radius").alias(f"r_{c}"))
     scored = join_checked(join_checked(scored, size("a"), "a", "left", n_cones, 32), size("b"), "b", "left", n_cones, 32)
     lonely = F.col("size_a").isNull() & F.col("size_b").isNull()
@@ -220,7 +220,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                     hit = c > 0
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(c[hit].astype(np.int64)), pa.array(np.full(hit.sum(), row["a"])), pa.array(np.full(hit.sum(), row["b"]))], ["vec_id", "c", "u", "v"])
 
-        met = materialize(met.mapInArrow(meet, "vec_id long, c long, u long, v long"), "met")
+        met = materialize(met.transform(map_arrow, meet, "vec_id long, c long, u long, v long"), "met")
         single = met.groupBy("vec_id").agg(F.sum("c").alias("by_member"))
         edges = edges.unionByName(met.select("u", "v").distinct())
     roots = materialize(components(edges), "roots")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 
 class UnionFind:
@@ -61,7 +61,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Per-partition union-find first shortens the edge list; then large-star and small-star rounds
     (Kiveris et al. 2014) until nothing changes. Nodes without edges and self-loops don't appear.
     """
-    stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u long, v long")
+    stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").transform(map_arrow, _forest, "u long, v long")
     e = materialize(stars.distinct(), "edges")
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

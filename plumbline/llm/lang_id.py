@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, materialize
+from .common import join_checked, map_arrow, materialize
 
 
 #: Hashed features: byte trigrams and bigrams of lower-cased letters, the rest as one separator.
@@ -144,7 +144,7 @@ def learn(labelled: DataFrame, per_lang: int = 500) -> Model:
             got = [(x, d, counts(t)) for x, d, t in zip(lang, b.column(1).to_pylist(), text) if t and has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([np.flatnonzero(g[2]).astype("<u2").tobytes() for g in got], pa.binary()), pa.array([g[2][g[2] > 0].astype("<u4").tobytes() for g in got], pa.binary())], ["lang", "doc_id", "at", "n"])
 
-    got = taken.select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(count, "lang string, doc_id long, at binary, n binary").collect()
+    got = taken.select("lang", F.col("doc_id").cast("long"), "text").transform(map_arrow, count, "lang string, doc_id long, at binary, n binary").collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"]))
     out = []
     for r in got:
@@ -175,4 +175,4 @@ def identify(docs: DataFrame, model: Model, near: float = 0.1) -> DataFrame:
                 score[some], near_tie[some] = s, a
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(near_tie)], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return keep.mapInArrow(run, f"{ddl}, lang_pred string, score double, ambiguous boolean")
+    return keep.transform(map_arrow, run, f"{ddl}, lang_pred string, score double, ambiguous boolean")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, materialize, mix64, partitions, shingle_set
+from .common import join_checked, map_arrow, materialize, mix64, partitions, shingle_set
 from .graph import components
 
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -89,7 +89,7 @@ def sign(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
             if ids:
                 yield done(ids, sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 # --- exact links inside a group -----------------------------------------------------------------
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
 
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
     sets = join_checked(texts, cand, "node", "inner", n_cand, 48).select("root", F.col("node").alias("cid"), "n", "text")
-    sets = sets.mapInArrow(shingles, "root long, cid long, n long, shingles binary")
+    sets = sets.transform(map_arrow, shingles, "root long, cid long, n long, shingles binary")
     sets = sets.where(F.length("shingles") > 0)
     link = _link_groups(num=percent, den=100)
     n = partitions(spark)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, materialize, mix64, partitions
+from .common import join_checked, map_arrow, materialize, mix64, partitions
 from .lyndon import suffix_arrays
 
 #: A gram's bytes; the rest of a string is what a minimizer chooses from.
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary())], ["doc_id", "n_bytes", "whole"])
 
-    known = materialize(texts.where("doc_id is not null").mapInArrow(digest, "doc_id long, n_bytes long, whole binary").where(F.col("n_bytes") >= length), "texts")
+    known = materialize(texts.where("doc_id is not null").transform(map_arrow, digest, "doc_id long, n_bytes long, whole binary").where(F.col("n_bytes") >= length), "texts")
     # Copies: all of a text that stands in a document with a smaller doc_id goes.
     first = known.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copies = materialize(known.join(first.where("c > 1"), "whole").select("doc_id", "n_bytes", (F.col("doc_id") > F.col("first")).alias("copy")).groupBy("doc_id", "n_bytes").agg(F.max("copy").alias("copy")).where("copy").select("doc_id", F.col("n_bytes").alias("copy_bytes")), "copies")
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
         parts = np.split(i, cuts)
         return pa.table({"doc_id": pa.array(d[np.concatenate(([0], cuts))] if len(d) else d, pa.int64()), "at": pa.array([p.astype("<u4").tobytes() for p in parts if len(p)], pa.binary())})
 
-    found = left.select("doc_id", "text").mapInArrow(find_anchors, "deal long, h binary, doc binary, i binary").groupBy("deal").applyInArrow(shared, "deal long, doc binary, i binary")
+    found = left.select("doc_id", "text").transform(map_arrow, find_anchors, "deal long, h binary, doc binary, i binary").groupBy("deal").applyInArrow(shared, "deal long, doc binary, i binary")
     marks = materialize(found.groupBy("deal").applyInArrow(by_document, "doc_id long, at binary"), "marks")
     n_marks, mark_bytes = marks.agg(F.count("*"), F.coalesce(F.sum(F.length("at")), F.lit(0))).first()
     marked = join_checked(left, marks, "doc_id", "inner", 1, int(mark_bytes) + 32 * n_marks).select("doc_id", "text", "at")
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                 spans.append(np.stack([a[new], z[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]], 1).astype("<i8").tobytes())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    met = marked.mapInArrow(surroundings, "deal long, h binary, doc binary, p binary, lead binary, tail binary, around binary")
+    met = marked.transform(map_arrow, surroundings, "deal long, h binary, doc binary, p binary, lead binary, tail binary, around binary")
     gone = met.groupBy("deal").applyInArrow(repeats, "deal long, doc binary, lo binary, hi binary").groupBy("deal").applyInArrow(spans_of, "doc_id long, spans binary")
     gone = materialize(gone, "spans")
     n_gone, gone_bytes = gone.agg(F.count("*"), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
@@ -338,4 +338,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
             arrays = [b.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[4], pa.binary())][: 5 + return_text], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + return_text])
 
-    return rows.select("doc_id", "text", "copy", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * return_text)
+    return rows.select("doc_id", "text", "copy", "spans").transform(map_arrow, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * return_text)

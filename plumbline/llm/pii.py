@@ -15,6 +15,8 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: Kinds of spans, in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -238,7 +240,7 @@ def find(docs: DataFrame) -> DataFrame:
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask_text(text: str | None) -> str | None:
@@ -266,4 +268,4 @@ def mask(docs: DataFrame) -> DataFrame:
             made = pa.array([mask_text(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import fresh_path, materialize, partitions
+from .common import fresh_path, map_arrow, materialize, partitions
 
 #: doc_id written for a null one.
 NULL_ID = -(1 << 63)
@@ -174,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) ->
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(sizes)], pa.int64()), "tokens": pa.array([total], pa.int64()), "dtype": [enc.dtype]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part int, docs long, tokens long, dtype string"), "manifest")
+    return materialize(ordered.transform(map_arrow, run, "part int, docs long, tokens long, dtype string"), "manifest")
 
 
 def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
@@ -196,7 +196,7 @@ def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == NULL_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, min(partitions(manifest.sparkSession), parts.count()))
-    return parts.repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n, "part").transform(map_arrow, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
