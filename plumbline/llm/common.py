@@ -59,6 +59,13 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, n_rows: int, b
     return left.join(F.broadcast(right) if small_enough(n_rows, bytes_per_row) else right, on, how)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of a thousand rows at most and workers that give back
     what a task leaves: rows are whole texts, and idle workers keep their memory."""
@@ -70,9 +77,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return df.mapInArrow(tidy, schema)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, map_arrow, materialize, mix64, partitions
+from .common import give_back, join_checked, map_arrow, materialize, mix64, partitions
 from .lyndon import suffix_arrays
 
 #: A gram's bytes; the rest of a string is what a minimizer chooses from.
@@ -26,8 +26,9 @@ _VALUE = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _LOW = np.uint64((1 << 24) - 1)
 #: Texts beyond so many bytes are scanned in pieces that overlap.
 PIECE = 1 << 23
-#: Surroundings sorted in one text.
+#: Surroundings sorted in one text, and rows sorted at once.
 TOGETHER = 4
+ROWS = 8_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -107,11 +108,11 @@ def first_holders(around: np.ndarray, group: np.ndarray, least: np.ndarray, lead
     held = np.bincount(text)
     order = np.argsort(np.repeat(held, held), kind="stable")  # texts of one size stand together
     keys, mins, cells = [], [], []
-    for c in range(0, len(rows), 40_000):
-        take = order[c : c + 40_000]
+    for c in range(0, len(rows), ROWS):
+        take = order[c : c + ROWS]
         if c and text[take[0]] == text[order[c - 1]]:
             take = take[text[take] != text[take[0]]]
-        if c + 40_000 < len(rows):  # the last text may go on
+        if c + ROWS < len(rows):  # the last text may go on
             last = text[take[-1]]
             take = np.concatenate([take[text[take] != last], order[text[order] == last]])
         t = text[take]
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                     hashes.append(h)
                     docs_.append(doc)
                     size += len(at)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield flush(ids, hashes, docs_)
                     ids, hashes, docs_, size = [], [], [], 0
         if docs_:
@@ -233,6 +234,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
         two = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
         keep = np.repeat(two, width)
         d, i = d[keep], i[keep]
+        del h, order, keep
+        give_back()
         rows = [(deal, _pack(d[p]), _pack(i[p])) for deal, p in _deal(mix64(d.view(np.uint64)), deals)]
         return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), "doc": pa.array([r[1] for r in rows], pa.binary()), "i": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -268,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                 for x, y in zip(got, (h, np.full(len(h), doc, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
                     x.append(y)
                 size += len(h)
-                if size > 200_000:
+                if size > 100_000:
                     yield flush(*got)
                     got, size = ([], [], [], [], [], []), 0
         if size:
@@ -298,6 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
             lo.append((start + gone.argmax(1))[hit])
             hi.append((start + gone.shape[1] - 1 - gone[:, ::-1].argmax(1) + length)[hit])
         ids, lo, hi = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ids, lo, hi))
+        del least, around, words, key
+        give_back()
         rows = [(deal, _pack(ids[k]), _pack(lo[k]), _pack(hi[k])) for deal, k in _deal(mix64(ids.view(np.uint64)), deals)]
         return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "doc"), (2, "lo"), (3, "hi"))}})
 
