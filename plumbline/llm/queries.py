@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import byte_bpe, embed_dup, lang_id, mixing, near_dup, passage_dup, pii, token_files, top_k, url_filter
+from .oracles import ORACLES  # noqa: F401  with QUERIES, what __spark_entry__ registers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,17 +61,3 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op3_embed_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op8_passage_dup, op9_mixing, op10_pii)}
-ORACLES: dict[str, str] = {
-    "op1_top_k": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
-          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0
-        ), r AS (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
-        )
-        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
-    """,
-}
