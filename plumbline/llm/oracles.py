@@ -1,4 +1,4 @@
-"""The contracts of op1, op2, op3 and op9 as DuckDB SQL, written from the contracts and not from the
+"""The contracts of op1, op2, op3, op4 and op9 as DuckDB SQL, written from the contracts and not from the
 operators: plain joins over all pairs, which only small tables bear."""
 
 ORACLES: dict[str, str] = {
@@ -38,6 +38,26 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
 SELECT m.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
 FROM embeddings m LEFT JOIN n ON n.x = m.vec_id LEFT JOIN c ON c.node = m.vec_id
+""",
+    "op4_url_filter": r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), hit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+), g AS (SELECT u.*, rule, ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS every FROM u LEFT JOIN hit USING (page_id)
+), seg AS (SELECT page_id, host, generate_subscripts(every[1:8], 1) AS level, unnest(every[1:8]) AS seg FROM g
+), kept AS (SELECT host, level, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, level) AS of_ FROM (SELECT host, level, seg, count(*) AS n FROM seg GROUP BY 1, 2, 3)) WHERE n >= 5 AND n >= of_ * 0.02 AND NOT regexp_matches(seg, '^[0-9]')
+), named AS (SELECT s.page_id, s.level, CASE WHEN k.seg IS NOT NULL THEN s.seg WHEN regexp_matches(s.seg, '^[0-9]+$') THEN '<num>' WHEN regexp_matches(s.seg, '^[0-9]+\.[A-Za-z0-9]+$') THEN '<num.ext>'
+    WHEN regexp_matches(s.seg, '^[0-9a-fA-F-]{16,}$') THEN '<hex>' ELSE '<any>' END AS name FROM seg s LEFT JOIN kept k ON s.host = k.host AND s.level = k.level AND s.seg = k.seg
+), t AS (SELECT g.*, coalesce(n.names, []) || CASE WHEN len(every) > 8 THEN ['**'] ELSE []::VARCHAR[] END AS tmpl FROM g LEFT JOIN (SELECT page_id, list(name ORDER BY level) AS names FROM named GROUP BY page_id) n USING (page_id)
+), node AS (SELECT host, ruled = 'block' AS bad, unnest(range(len(tmpl) + 1)) AS i, tmpl FROM t WHERE ruled IS NOT NULL
+), nodes AS (SELECT host, '/' || array_to_string(tmpl[1:i], '/') AS node, any_value(CASE WHEN i > 0 THEN '/' || array_to_string(tmpl[1:i - 1], '/') ELSE '' END) AS parent, count(*) AS n, count(*) FILTER (bad) AS bad FROM node GROUP BY 1, 2
+), x AS (SELECT *, abs(bad / n - r) <= 1.96 * sqrt(greatest(r * (1 - r), 1e-9) / n) AS alike FROM (SELECT *, sum(bad) OVER (PARTITION BY host, parent) / sum(n) OVER (PARTITION BY host, parent) AS r FROM nodes)
+), y AS (SELECT *, CASE WHEN alike THEN sum(n) FILTER (alike) OVER s ELSE n END AS support, CASE WHEN alike THEN sum(bad) FILTER (alike) OVER s ELSE bad END AS b FROM x WINDOW s AS (PARTITION BY host, parent)
+), prior AS (SELECT (count(*) FILTER (ruled = 'block') + 1) / (count(ruled) + 2) AS p FROM t)
+SELECT page_id, t.host, path, rule, coalesce(ruled, CASE WHEN (b + 5 * p) / (support + 5) >= 0.8 AND support >= 5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM t CROSS JOIN prior LEFT JOIN y ON y.host = t.host AND y.node = '/' || array_to_string(tmpl, '/')
 """,
     "op9_mixing": r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
