@@ -12,35 +12,41 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 2, metric: str = "l2"
     t_id): q_id, t_id, distance, rank. metric l2 (arrays of numbers) or hamming (arrays of bytes 0
     to 255).
 
-    Queries go in packed blocks, each of which meets every train batch in one matrix product; a
-    batch keeps k candidates a query, and a window joins the batches.
+    Queries go in packed blocks, each of which meets each part of the train rows once, in one matrix
+    computation; a part keeps k candidates a query, and a window joins the parts. A task holds at
+    most 16 blocks and one part.
     """
-
-    def packs(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, block):
-                part = b.slice(i, block)
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0)).astype("<i8").tobytes()]), pa.array([np.asarray(part.column(1).flatten()).astype("<f8").tobytes()])], ["ids", "vecs"])
-
-    q = queries.select(F.col("q_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null").mapInArrow(packs, "ids binary, vecs binary")
-    sent = q.sparkSession.sparkContext.broadcast([(bytes(r["ids"]), bytes(r["vecs"])) for r in q.collect()])
-
-    def search(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t_ids, t = np.asarray(b.column(0)), np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            for ids, vecs in sent.value:
-                ids = np.frombuffer(ids, "<i8")
-                x = np.frombuffer(vecs, "<f8").reshape(len(ids), -1)
+    parts = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packs(key, table):
+        return pa.table({"pack": [key[0].as_py()], "ids": [table.column("q_id").to_numpy().astype("<i8").tobytes()], "vecs": [np.asarray(table.column("vec").combine_chunks().flatten()).astype("<f8").tobytes()]})
+
+    q = queries.select(F.col("q_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null")
+    blocks = max(1, -(-q.count() // block))
+    groups = -(-blocks // 16)
+    q = q.withColumn("pack", F.pmod(F.xxhash64("q_id"), F.lit(blocks))).groupBy("pack").applyInArrow(packs, "pack long, ids binary, vecs binary")
+    q = q.withColumn("grp", F.col("pack") % groups).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1))))
+    t = train.select(F.col("t_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null").withColumn("part", F.pmod(F.xxhash64("t_id"), F.lit(parts)))
+    t = t.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1))))
+
+    def search(left, right):
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if left.num_rows and right.num_rows:
+            t_ids = right.column("t_id").to_numpy()
+            vecs = np.asarray(right.column("vec").combine_chunks().flatten()).reshape(len(t_ids), -1)
+            for row in left.select(["ids", "vecs"]).to_pylist():
+                ids = np.frombuffer(row["ids"], "<i8")
+                x = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), -1)
                 if metric == "hamming":
-                    d = np.bitwise_count(x.astype(np.uint8)[:, None] ^ t.astype(np.uint8)[None]).sum(2).astype(float)
+                    d = np.stack([np.bitwise_count(v.astype(np.uint8) ^ vecs.astype(np.uint8)).sum(1, dtype=float) for v in x])
                 else:
-                    d = np.sqrt(((x[:, None] - t[None]) ** 2).sum(2)) if len(x) * len(t) < 200_000 else np.stack([np.sqrt(((t - v) ** 2).sum(1)) for v in x])
+                    d = np.stack([np.sqrt(((vecs - v) ** 2).sum(1)) for v in x])
                 order = np.lexsort((np.broadcast_to(t_ids, d.shape), d))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(t_ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["q_id", "t_id", "distance"])
+                for column, values in zip(out, (np.repeat(ids, order.shape[1]), t_ids[order].ravel(), np.take_along_axis(d, order, 1).ravel())):
+                    column.append(values)
+        return pa.table(dict(zip(("q_id", "t_id", "distance"), map(np.concatenate, out))))
 
-    found = train.select(F.col("t_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null").mapInArrow(search, "q_id long, t_id long, distance double")
+    found = q.groupBy("grp", "part").cogroup(t.groupBy("grp", "part")).applyInArrow(search, "q_id long, t_id long, distance double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "t_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
