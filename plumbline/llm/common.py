@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if re.match(r"local($|\[)", spark.sparkContext.master):
         own = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, own, True)
         spark.conf.set("spark.checkpoint.dir", own)
