@@ -109,15 +109,22 @@ def train(rows: list[tuple[str, np.ndarray]], seed: int = 11, rounds: int = 300)
     apart = np.arange(len(y)) % 5 == 4
     balance = (1 / np.bincount(y, minlength=len(langs)))[y]
 
+    full = np.c_[x, np.ones(len(x), np.float32)]
+    # Steps in terms of the rows' inner products are the same steps, and cheaper with fewer rows than features.
+    gram = full @ full.T if len(full) <= full.shape[1] else None
+
     def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        xs, t = np.c_[x[keep], np.ones(keep.sum(), np.float32)], code[y[keep]].astype(np.float32)
+        t = code[y[keep]].astype(np.float32)
         b = (balance[keep] / balance[keep].sum()).astype(np.float32)[:, None]
-        w = v = np.zeros((xs.shape[1], t.shape[1]), np.float32)
+        xs = full[keep]
+        k = gram[np.ix_(keep, keep)] if gram is not None else None
+        w = v = np.zeros((len(k) if k is not None else xs.shape[1], t.shape[1]), np.float32)
         step, decay = 4.0, 1e-5
-        for k in range(rounds):
-            g = -xs.T @ (b * t / (1 + np.exp(np.clip(t * (xs @ v), -30, 30)))) + decay * v
-            new = v - step * g
-            v, w = new + (k / (k + 3)) * (new - w), new
+        for i in range(rounds):
+            pull = b * t / (1 + np.exp(np.clip(t * (k @ v if k is not None else xs @ v), -30, 30)))
+            new = v - step * (decay * v - (pull if k is not None else xs.T @ pull))
+            v, w = new + (i / (i + 3)) * (new - w), new
+        w = xs.T @ w if k is not None else w
         return w[:-1], w[-1]
 
     weight = np.ones(code.shape[1])
