@@ -51,8 +51,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_enough(n_rows: int, bytes_per_row: int, limit: int = 64 << 20) -> bool:
-    """Whether a table of n_rows may be broadcast; beyond the limit the callers join by shuffle."""
-    return n_rows * bytes_per_row <= limit
+    """Whether a table of n_rows may be broadcast; beyond the limit the callers join by shuffle. A hash
+    table takes about 96 bytes a row besides the row's own."""
+    return n_rows * (bytes_per_row + 96) <= limit
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, n_rows: int, bytes_per_row: int) -> DataFrame:
