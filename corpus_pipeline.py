@@ -40,12 +40,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes sources to their target weights in whole documents: each document appears as often as
-    the words the mix takes of it say, rounded: 0, 1 or 2 times."""
+    """Mixes sources to their target weights in whole documents: each document appears 0, 1 or 2
+    times, rounded so that the errors cancel within a source (mixing.whole)."""
     docs = docs.select(*DOC_COLUMNS)
-    taken = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"))
-    taken = materialize(taken.where("copies > 0").withColumnRenamed("doc_id", "_id"), "copies")
-    rows = join_checked(docs, taken, docs["doc_id"].eqNullSafe(taken["_id"]), "inner", taken.count(), 24)
+    taken = materialize(mixing.whole(mixing.mix(docs)).toDF("_id", "_source", "_size", "copies"), "copies")
+    same = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]) & (mixing.word_count(docs["text"]) == taken["_size"])
+    rows = join_checked(docs, taken, same, "inner", taken.count(), 48)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*DOC_COLUMNS)
 
 

@@ -61,7 +61,7 @@ def _hash(*parts) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, block_words: int = 256, least_blocks: int = 20_000, shard_words: int = 1 << 18, most_shards: int = 4096, seed: int = 7) -> DataFrame:
     """Documents (doc_id, text, source, ...) -> one row each: doc_id, source, size, source_size,
-    target, taken.
+    target, taken, and the source's place rn and the document's shard.
 
     A text that is null or has no words has size 0 and takes 0. A null source is a source of its own,
     last in order. Rows that repeat, also with the same doc_id, count each on their own. An empty
@@ -103,4 +103,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     part = cut.join(drawn, ["rn", "shard", "block"]).groupBy("rn", "shard", "at").agg(F.sum(part).alias("part"))
     out = rows.join(part, ["rn", "shard", "at"], "left")
     taken = F.coalesce(F.col("passes"), F.lit(0)) * F.col("size") + F.coalesce(F.col("part"), F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "rn", "shard")
+
+
+def whole(mixed: DataFrame, seed: int = 7) -> DataFrame:
+    """Rounds mix()'s rows to whole documents: doc_id, source, size, copies, where copies > 0.
+
+    Each document gets the whole part of taken / size, and one copy more where the running sum of
+    the fractions passes a half: in ascending size within a shard, by seed within a size, and
+    from each shard on to the source's next. So a source's copies are its fractions' sum to a half,
+    and by summation by parts its words differ from taken by no more than each shard's longest
+    document. Rows of one doc_id, source and size share their copies. Fractions are 30-bit integers.
+    """
+    u = mixed.where("size > 0").groupBy("rn", "shard", "source", "doc_id", "size").agg(F.sum("taken").alias("taken"), (F.count("*") * F.col("size")).alias("words"))
+    u = u.select("rn", "shard", "source", "doc_id", "size", "words", F.expr("taken div words").alias("sure"), F.expr("shiftleft(taken % words, 30) div words").alias("part"))
+    u = materialize(u, "units")
+    shards = u.groupBy("rn", "shard").agg(F.sum("part").alias("start"))
+    before = W.partitionBy("rn").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    shards = materialize(shards.withColumn("start", F.coalesce(F.sum("start").over(before), F.lit(0)) + (1 << 29)), "starts")
+    u = join_checked(u, shards, ["rn", "shard"], "inner", shards.count(), 32)
+    upto = W.partitionBy("rn", "shard").orderBy("words", _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    u = u.withColumn("end", F.col("start") + F.sum("part").over(upto))
+    copies = F.col("sure") + F.shiftright("end", 30) - F.shiftright(F.col("end") - F.col("part"), 30)
+    return u.select("doc_id", "source", "size", copies.cast("int").alias("copies")).where("copies > 0")
