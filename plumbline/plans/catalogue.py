@@ -402,3 +402,17 @@ def q35_ransac_similarity(spark, sf_dir):
 @query(f"SELECT paper_id, page, substr(string_agg(text, chr(10) ORDER BY block_no), 1, 8000) AS page_text FROM {B} GROUP BY paper_id, page")
 def q36_page_text(spark, sf_dir):
     return captions.page_text(A.blocks(spark, sf_dir))
+
+
+KNN_ALL = "(SELECT q_id, t_id, d, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS k FROM (SELECT q.vec_id AS q_id, t.vec_id AS t_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM embeddings q, embeddings t WHERE q.vec_id <> t.vec_id))"
+
+
+@query(f"SELECT a.q_id, a.t_id, round(a.d, 6) AS d1, round(b.d, 6) AS d2 FROM {KNN_ALL} a JOIN {KNN_ALL} b ON a.q_id = b.q_id AND a.k = 1 AND b.k = 2 WHERE a.d < 0.95 * b.d")
+def q37_knn_ratio_all(spark, sf_dir):
+    """q30 with every vector as a query against all others."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    three = matching.nearest(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("t_id"), F.col("embedding").alias("vec")), k=3)
+    # Of the three nearest, the vector itself goes; two at least are left.
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "t_id"))
+    others = three.where("q_id <> t_id").withColumn("rank", rank)
+    return matching.ratio_matches(others.where("rank <= 2"), 0.95).select("q_id", "t_id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
