@@ -387,7 +387,7 @@ def q34_incremental_runner(spark, sf_dir):
     top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
     root = f"{top.rstrip('/')}/incremental-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark)))):x}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return incremental.run_available(spark, f"{sf_dir}/events.parquet*", source.schema, lambda s: s.where("event_id % 5 = 0").select("event_id", "ts", "event_type"), f"{root}/sink", f"{root}/checkpoint")
+    return incremental.run_available(spark, f"{sf_dir}/events.parquet*", source.schema, lambda s: s.select("event_id", "ts", "event_type"), f"{root}/sink", f"{root}/checkpoint")
 
 
 @query()
@@ -416,3 +416,27 @@ def q37_knn_ratio_all(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "t_id"))
     others = three.where("q_id <> t_id").withColumn("rank", rank)
     return matching.ratio_matches(others.where("rank <= 2"), 0.95).select("q_id", "t_id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
+FOUND_ALL = f"""(SELECT obs_id, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.event_id AS obs_id, a.event_id AS record_id, a.ts AS a_ts FROM {OBS} o JOIN events a
+  ON a.event_id <> o.event_id AND a.ts BETWEEN o.ts - INTERVAL 600 SECOND AND o.ts + INTERVAL 600 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.event_type)) GROUP BY obs_id)"""
+
+
+def _matched_all(spark, sf_dir):
+    """q25's match for every observation, with all other events as its archive."""
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"))
+    return archive.window_match(A.observations(spark, sf_dir).withColumnRenamed("event_id", "obs_id"), records, 600, apart=True)
+
+
+@query(f"SELECT o.event_id AS obs_id, o.instrument, coalesce(f.record_id, -1) AS record_id FROM {OBS} o LEFT JOIN {FOUND_ALL} f ON o.event_id = f.obs_id")
+def q38_archive_match_all(spark, sf_dir):
+    return _matched_all(spark, sf_dir).select("obs_id", "instrument", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
+
+
+STATUS_ALL = f"(SELECT o.event_id, CASE WHEN o.event_id % 35 = 0 THEN 'skipped' WHEN f.record_id IS NULL THEN 'failed' ELSE {CHOSEN} END AS status FROM {OBS} o LEFT JOIN {FOUND_ALL} f ON o.event_id = f.obs_id)"
+
+
+@query(f"SELECT s.status, count(event_id) AS n FROM (VALUES ('strategy_a'), ('strategy_b'), ('strategy_c'), ('skipped'), ('failed')) s(status) LEFT JOIN {STATUS_ALL} t ON s.status = t.status GROUP BY s.status")
+def q39_status_counts_all(spark, sf_dir):
+    m = _matched_all(spark, sf_dir)
+    return archive.status_counts(m.select(archive.status(F.col("obs_id") % 35 == 0, F.col("record_id"), _strategy()).alias("status")))

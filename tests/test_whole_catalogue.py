@@ -17,3 +17,10 @@ def test_every_vector_is_a_query(spark, sf_dir):
             want[i] = ids[a]
     got = {r["q_id"]: r["t_id"] for r in catalogue.QUERIES["q37_knn_ratio_all"](spark, sf_dir).collect()}
     assert got == want and max(got) >= 40
+
+
+def test_every_event_is_streamed_and_matched(spark, sf_dir):
+    events = {r["event_id"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
+    for name, key in (("q34_incremental_runner", "event_id"), ("q38_archive_match_all", "obs_id")):
+        assert sorted(r[key] for r in catalogue.QUERIES[name](spark, sf_dir).collect()) == sorted(events), name
+    assert sum(r["n"] for r in catalogue.QUERIES["q39_status_counts_all"](spark, sf_dir).collect()) == len(events)
