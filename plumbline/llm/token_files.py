@@ -64,9 +64,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -74,7 +72,8 @@ class Encoder:
 
     A unit is a space and what follows up to the next. Where a space follows a character that isn't
     white space, and where punctuation follows a letter, the pre-tokenizer always cuts, so ids of
-    units join to ids of the text. A text in which a space follows white space is encoded whole.
+    units join to ids of the text; special tokens that stand in a text are one id, as by the library's
+    default, and hold no space. A text in which a space follows white space is encoded whole.
     """
 
     _tail = re.compile(r"(?<=[A-Za-z])[.,!?;:]+$")

@@ -1,10 +1,15 @@
 """Whole jobs of the operators, where a cut would keep their tests green."""
 
 import math
+import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from plumbline.llm import mixing
+from plumbline.llm import mixing, token_files
 from tests.llm.test_operators import docs
 
 
@@ -21,3 +26,14 @@ def test_mixing_stage_meets_the_targets_with_long_documents(spark):
         if s is not None:
             assert abs(words[s] - target) <= longest[s] * math.ceil(size / (1 << 18)) + 256, s
     assert max(Counter(r["doc_id"] for r in step if r["doc_id"] is not None).values()) == 2
+
+
+def test_token_files_by_the_plain_library_call(spark):
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a<|endoftext|>b c.<|endoftext|>. d", "end. <|endoftext|>", "x  <|endoftext|>\n y", "<|endoftext|><|endoftext|> word, <|endoftext|>!", "plain words."]
+    got = token_files.token_digests(docs(spark, texts), P.path("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    start = 0
+    for text, x in zip(texts, got):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
