@@ -77,9 +77,9 @@ def purity(nodes: DataFrame, prior: float, strength: float, z: float) -> DataFra
 def judge(pages: DataFrame, rules=RULES, threshold: float = 0.8, strength: float = 5.0, depth: int = 8, least: int = 5, variable: float = 0.02, z: float = 1.96) -> DataFrame:
     """Pages (page_id, url, ...) -> page_id, host, path, rule, verdict, template, purity.
 
-    Where a rule fits, its verdict holds; else "block" if the deepest labelled template of the
-    url's host has smoothed purity of at least threshold, else "allow". The rules' own verdicts are
-    the labels. Null urls and urls without :// have empty host and path and are allowed. Repeated
+    Where a rule fits, its verdict holds; else "block" if the url's own full template has labels and
+    smoothed purity of at least threshold, else "allow"; nodes above it don't count. The rules' own
+    verdicts are the labels. Null urls and urls without :// have empty host and path and are allowed. Repeated
     rows each get their verdict; an empty table gives no rows.
     """
     host, path = url_parts(F.col("url"))
