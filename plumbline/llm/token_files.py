@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
-from array import array
 from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -68,76 +67,121 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Texts to ids through the tokenizers library, which sees each distinct unit once a worker.
+    """Texts to ids through the tokenizers library, which sees each distinct word of a group of texts once.
 
-    A unit is a space and what follows up to the next. Where a space follows a character that isn't
-    white space, and where punctuation follows a letter, the pre-tokenizer always cuts, so ids of
-    units join to ids of the text; special tokens that stand in a text are one id, as by the library's
-    default, and hold no space. A text in which a space follows white space is encoded whole.
+    A unit is a space and the word up to the next. Where a space follows a character that isn't white
+    space, the pre-tokenizer always cuts, so ids of units join to ids of the text, and many units are
+    encoded as one text, whose ids fall to the units by their numbers of bytes. Special tokens that
+    stand in a text are one id, as by the library's default, and hold no space. A text in which a
+    space follows white space, or whose ids don't fall to its units, is encoded whole.
+
+    Arrow splits texts and finds their distinct words, and a group of texts is gathered from the words'
+    ids at once, without a step of Python for each word.
     """
 
-    _tail = re.compile(r"(?<=[A-Za-z])[.,!?;:]+$")
-
-    def __init__(self, path: str, most: int = 1_500_000):
-        self.t, self.most, self.known = tokenizer(path), most, {"": b""}
-        self.code, self.dtype = ("H", "<u2") if self.t.get_vocab_size() <= 1 << 16 else ("I", "<u4")
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        found = [array(self.code, e.ids) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in found:
-                x.byteswap()
-        return [x.tobytes() for x in found]
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.known) + len(units) > self.most:
-            self.known = {"": b""}
-        known, tail = self.known, self._tail
-        # A unit that ends in white space isn't cut off safely; texts with one lack it and go whole.
-        units = {u for u in units if not u[-1:].isspace()}
-        cut = {u: m.start() for u in units if (m := tail.search(u))}
-        need = units.difference(cut)
-        for u, k in cut.items():
-            need.add(u[:k])
-            need.add(u[k:])
-        need = [u for u in need if u not in known]
-        for i in range(0, len(need), 4096):
-            known.update(zip(need[i : i + 4096], self._pack(need[i : i + 4096])))
-        known.update((u, known[u[:k]] + known[u[k:]]) for u, k in cut.items())
-
-    def _join(self, texts: list[str], split: list[list[str]]):
-        new = set().union(*split).difference(self.known)
-        if new:
-            kept = self.known
-            self._learn(new)
-            if self.known is not kept:  # it began anew
-                self._learn(set().union(*split).difference(self.known))
-        get = self.known.__getitem__
-        for text, units in zip(texts, split):
-            try:
-                yield b"".join(map(get, units))
-            except KeyError:
-                yield self._pack([text])[0]
-
-    def encode(self, texts: list[str]):
-        """The ids of each text, packed, in order; words of about a million characters meet at once."""
-        group, split, size = [], [], 0
-        for s in texts:
-            group.append(s)
-            # A text that holds the mark itself gets one unit that is never known.
-            split.append(s.replace(" ", "\0 ").split("\0") if "\0" not in s else ["\0 "])
-            size += len(s)
-            if size > 1 << 20:
-                yield from self._join(group, split)
-                group, split, size = [], [], 0
-        if group:
-            yield from self._join(group, split)
+    TOGETHER = 2000  # units that are encoded as one text
+
+    def __init__(self, path: str, end_id: int):
+        self.t, self.end_id = tokenizer(path), end_id
+        self.dtype = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
+        added = {i: x.content for i, x in self.t.get_added_tokens_decoder().items()}
+        vocab = self.t.get_vocab()
+        # One character stands for each byte in a byte-level vocabulary.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for x, i in vocab.items():
+            self.width[i] = len(added[i].encode()) if i in added else len(x)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has)."""
+        found = [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of each word with a space before it; size -1 where it isn't cut off safely."""
+        ends_open = pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]\z"))
+        safe = np.flatnonzero(~ends_open.to_numpy(zero_copy_only=False))
+        some = words.take(pa.array(safe))
+        cuts = np.minimum(np.arange(0, len(safe) + self.TOGETHER, self.TOGETHER), len(safe))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), some), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids, _ = self._encode([" " + x for x, n in zip(joined, np.diff(cuts)) if n])
+        given = np.concatenate(([0], np.cumsum(self.width[ids])))
+        wanted = np.concatenate(([0], np.cumsum(pc.binary_length(some).to_numpy() + 1)))
+        at = np.searchsorted(given, wanted)
+        fits = given[np.minimum(at, len(given) - 1)] == wanted
+        start, size = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        start[safe] = at[:-1]
+        size[safe] = np.where(fits[:-1] & fits[1:], np.diff(at), -1)
+        return ids, start, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each with the end id; how many each has)."""
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        begin = split.offsets.to_numpy()
+        begin = begin[:-1] - begin[0]
+        n_words = np.diff(np.append(begin, len(words)))
+        place = words.indices.to_numpy().astype(np.int64)
+        ids, start, size = self._units(words.dictionary)
+        # A text's first word has no space before it: words of their own, behind the others.
+        first, where = np.unique(place[begin], return_inverse=True)
+        own, n_own = self._encode(words.dictionary.take(pa.array(first)).to_pylist())
+        place[begin] = len(size) + where
+        size = np.concatenate([size, n_own])
+        bad = np.logical_or.reduceat(size[place] < 0, begin)
+        which = np.flatnonzero(bad)
+        whole, n_whole = self._encode([texts[i].as_py() for i in which.tolist()])
+        place[begin[which]] = len(size) + np.arange(len(which))
+        size = np.concatenate([size, n_whole, [1, 0]])
+        end, nothing = len(size) - 2, len(size) - 1
+        rest = np.repeat(bad, n_words)
+        rest[begin[which]] = False
+        place[rest] = nothing
+        ids = np.concatenate([ids, own, whole, np.array([self.end_id], self.dtype)])
+        start = np.concatenate([start, len(ids) - 1 - len(whole) - len(own) + np.cumsum(n_own) - n_own, len(ids) - 1 - len(whole) + np.cumsum(n_whole) - n_whole, [len(ids) - 1, 0]])
+        # The end id stands after each text's last word.
+        place = np.insert(place, begin + n_words, end)
+        begin = begin + np.arange(len(begin))
+        n = size[place]
+        out = np.repeat(start[place] - (np.cumsum(n) - n), n)
+        out += np.arange(len(out))
+        return ids[out], np.add.reduceat(n, begin)
+
+    def groups(self, batches, column: int, most_bytes: int = 1 << 23):
+        """encode() over the batches' texts (null: empty) in groups of about most_bytes. A longer text
+        goes in pieces, cut before spaces that follow no white space."""
+        held, size = [], 0
+        for b in batches:
+            texts = pc.fill_null(b.column(column).cast(pa.large_string()), "")
+            long = np.flatnonzero(pc.binary_length(texts).to_numpy() > most_bytes)
+            here = 0
+            for i in [*long.tolist(), len(texts)]:
+                if i > here:
+                    held.append(texts.slice(here, i - here))
+                    size += pc.sum(pc.binary_length(held[-1])).as_py()
+                if held and (size > most_bytes or i < len(texts)):
+                    yield self.encode(pa.concat_arrays(held))
+                    held, size = [], 0
+                if i < len(texts):
+                    yield self._long(texts[i].as_py(), most_bytes)
+                here = i + 1
+        if held:
+            yield self.encode(pa.concat_arrays(held))
+
+    def _long(self, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+        parts, at = [], 0
+        while at < len(text):
+            cut = re.compile(r"(?<=\S) ").search(text, at + most)
+            end = cut.start() if cut else len(text)
+            parts.append(self.encode(pa.array([text[at:end]], pa.large_string()))[0][:-1])
+            at = end
+        ids = np.concatenate([*parts, np.array([self.end_id], self.dtype)])
+        return ids, np.array([len(ids)], np.int64)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One a worker, so that what it has learnt serves the worker's later tasks."""
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One a worker."""
+    return Encoder(path, end_id)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) -> DataFrame:
@@ -152,21 +196,23 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) ->
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), str(TaskContext.get().taskAttemptId())
-        enc = encoder(tokenizer_file)
-        end = np.array([end_id], enc.dtype).tobytes()
-        width = np.dtype(enc.dtype).itemsize
-        sizes, ids, total = [], [], 0
+        enc = encoder(tokenizer_file, end_id)
+        sizes, ids = [], []
         store = Store(folder)
 
-        def chunks():
+        def texts():
             for b in batches:
                 ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-                for x in enc.encode([s or "" for s in b.column(1).to_pylist()]):
-                    sizes.append(len(x) // width + 1)
-                    yield x + end
+                yield b
+
+        def chunks():
+            for made, n in enc.groups(texts(), 1):
+                sizes.append(n)
+                yield made.astype(enc.dtype, copy=False).tobytes()
 
         store.put(f"part-{part:05d}.bin", chunks(), attempt)
-        off = np.concatenate(([0], np.cumsum(np.array(sizes, np.uint64), dtype=np.uint64))).astype("<u8")
+        sizes = np.concatenate([np.empty(0, np.int64), *sizes])
+        off = np.concatenate(([0], np.cumsum(sizes.astype(np.uint64), dtype=np.uint64))).astype("<u8")
         store.put(f"part-{part:05d}.off", [off.tobytes()], attempt)
         store.put(f"part-{part:05d}.ids", [np.concatenate([np.empty(0, np.int64), *ids]).astype("<i8").tobytes()], attempt)
         total = int(off[-1])
@@ -199,5 +245,10 @@ def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Documents (doc_id, text, ...) -> doc_id, start, n_tokens, ids_crc32, through files in the shared
+    folder: write(), then read(). A null text counts as empty and has the end id alone. Texts of
+    any length go whole, in pieces beyond 8 MB. Rows of one doc_id stay together, in order of
+    text; null doc_ids come first and stay null; columns beside doc_id and text play no part; an
+    empty table gives no rows."""
     folder = fresh_path(docs.sparkSession, "tokens")
     return read(write(docs, folder, tokenizer_file), folder)
