@@ -1,5 +1,26 @@
-"""The contracts of op1, op2, op3, op4 and op9 as DuckDB SQL, written from the contracts and not from the
-operators: plain joins over all pairs, which only small tables bear."""
+"""DuckDB SQL for op1, op2, op3, op4 and op9: plain joins over all pairs, which only small tables bear.
+
+For op1, op2, op3 the SQL is the contract alone. What a contract leaves to the method (op4's verdicts
+without a rule, op9's words taken) the SQL computes by the method's definition, constants included,
+in other steps than the operator's.
+"""
+
+
+def _merged(level: int) -> str:
+    """The tree of op4 with one more level merged: each template's branch so far, from b{level - 1}."""
+    return f"""
+), c{level} AS (SELECT host, branch, tmpl[{level}] AS name, coalesce(tmpl[{level + 1}], '') AS after, count(*)::DOUBLE AS c, count(ruled) AS labels, count(*) FILTER (ruled = 'block') AS bad FROM b{level - 1} WHERE len(tmpl) >= {level} GROUP BY ALL
+), k{level} AS (SELECT c.host, c.branch, c.name, sum(c.c) AS n, sum(c.labels) AS labels, sum(c.bad) AS bad, count(*) AS ways, 0.5 * (sum(abs(c.c / o.n - a.c / h.n)) + 1 - sum(a.c / h.n)) AS distance
+  FROM c{level} c JOIN (SELECT host, branch, name, sum(c) AS n FROM c{level} GROUP BY ALL) o USING (host, branch, name) JOIN (SELECT host, branch, after, sum(c) AS c FROM c{level} GROUP BY ALL) a USING (host, branch, after)
+  JOIN (SELECT host, branch, sum(c) AS n FROM c{level} GROUP BY ALL) h USING (host, branch) GROUP BY c.host, c.branch, c.name
+), f{level} AS (SELECT *, n >= 5 AND distance <= 0.1 + 0.98 * sqrt(ways / n) AS shaped FROM k{level}
+), r{level} AS (SELECT host, branch, sum(bad) / sum(labels) AS rate FROM f{level} WHERE shaped GROUP BY ALL
+), a{level} AS (SELECT f.host, f.branch, f.name FROM f{level} f JOIN r{level} r USING (host, branch) WHERE f.shaped AND (f.labels = 0 OR abs(f.bad / f.labels - rate) <= 1.96 * sqrt(greatest(rate * (1 - rate), 1e-9) / f.labels))
+), m{level} AS (SELECT host, branch, name FROM a{level} JOIN (SELECT host, branch FROM a{level} GROUP BY ALL HAVING count(*) > 1) USING (host, branch)
+), b{level} AS (SELECT b.* EXCLUDE (branch, nodes), CASE WHEN len(tmpl) < {level} THEN b.branch ELSE b.branch || '/' || CASE WHEN m.name IS NULL THEN tmpl[{level}] ELSE '<like>' END END AS branch,
+    CASE WHEN len(tmpl) < {level} THEN nodes ELSE list_append(nodes, b.branch || '/' || CASE WHEN m.name IS NULL THEN tmpl[{level}] ELSE '<like>' END) END AS nodes
+  FROM b{level - 1} b LEFT JOIN m{level} m ON m.host = b.host AND m.branch = b.branch AND m.name = tmpl[{level}] AND len(tmpl) >= {level}"""
+
 
 ORACLES: dict[str, str] = {
     "op1_top_k": r"""
@@ -43,7 +64,7 @@ FROM embeddings m LEFT JOIN n ON n.x = m.vec_id LEFT JOIN c ON c.node = m.vec_id
 WITH u AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
-), rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), hit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 ), g AS (SELECT u.*, rule, ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS every FROM u LEFT JOIN hit USING (page_id)
 ), seg AS (SELECT page_id, host, generate_subscripts(every[1:8], 1) AS level, unnest(every[1:8]) AS seg FROM g
@@ -51,13 +72,13 @@ WITH u AS (
 ), named AS (SELECT s.page_id, s.level, CASE WHEN k.seg IS NOT NULL THEN s.seg WHEN regexp_matches(s.seg, '^[0-9]+$') THEN '<num>' WHEN regexp_matches(s.seg, '^[0-9]+\.[A-Za-z0-9]+$') THEN '<num.ext>'
     WHEN regexp_matches(s.seg, '^[0-9a-fA-F-]{16,}$') THEN '<hex>' ELSE '<any>' END AS name FROM seg s LEFT JOIN kept k ON s.host = k.host AND s.level = k.level AND s.seg = k.seg
 ), t AS (SELECT g.*, coalesce(n.names, []) || CASE WHEN len(every) > 8 THEN ['**'] ELSE []::VARCHAR[] END AS tmpl FROM g LEFT JOIN (SELECT page_id, list(name ORDER BY level) AS names FROM named GROUP BY page_id) n USING (page_id)
-), node AS (SELECT host, ruled = 'block' AS bad, unnest(range(len(tmpl) + 1)) AS i, tmpl FROM t WHERE ruled IS NOT NULL
-), nodes AS (SELECT host, '/' || array_to_string(tmpl[1:i], '/') AS node, any_value(CASE WHEN i > 0 THEN '/' || array_to_string(tmpl[1:i - 1], '/') ELSE '' END) AS parent, count(*) AS n, count(*) FILTER (bad) AS bad FROM node GROUP BY 1, 2
-), x AS (SELECT *, abs(bad / n - r) <= 1.96 * sqrt(greatest(r * (1 - r), 1e-9) / n) AS alike FROM (SELECT *, sum(bad) OVER (PARTITION BY host, parent) / sum(n) OVER (PARTITION BY host, parent) AS r FROM nodes)
-), y AS (SELECT *, CASE WHEN alike THEN sum(n) FILTER (alike) OVER s ELSE n END AS support, CASE WHEN alike THEN sum(bad) FILTER (alike) OVER s ELSE bad END AS b FROM x WINDOW s AS (PARTITION BY host, parent)
-), prior AS (SELECT (count(*) FILTER (ruled = 'block') + 1) / (count(ruled) + 2) AS p FROM t)
-SELECT page_id, t.host, path, rule, coalesce(ruled, CASE WHEN (b + 5 * p) / (support + 5) >= 0.8 AND support >= 5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM t CROSS JOIN prior LEFT JOIN y ON y.host = t.host AND y.node = '/' || array_to_string(tmpl, '/')
+), b0 AS (SELECT *, '' AS branch, []::VARCHAR[] AS nodes FROM t""" + "".join(map(_merged, range(1, 10))) + r"""
+), node AS (SELECT host, unnest(nodes) AS node, ruled FROM b9 WHERE ruled IS NOT NULL
+), prior AS (SELECT (count(*) FILTER (ruled = 'block') + 1) / (count(ruled) + 2) AS p FROM t
+), purity AS (SELECT host, node, (count(*) FILTER (ruled = 'block') + 5 * (SELECT p FROM prior)) / (count(*) + 5) AS purity FROM node GROUP BY ALL HAVING count(*) >= 5
+), best AS (SELECT page_id, arg_max(purity, level) AS purity FROM (SELECT page_id, host, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS level FROM b9) JOIN purity USING (host, node) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM b9 LEFT JOIN best USING (page_id)
 """,
     "op9_mixing": r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
