@@ -3,9 +3,11 @@ a smaller doc_id, found by sorting suffixes of the places where documents can ma
 
 A string of `length` bytes holds the same minimizer wherever it stands, so two equal strings share an
 anchor: a gram of bytes at one place in both. Anchors that occur in one document alone can't be
-part of a repeat; the others are dealt by content, with what surrounds them, and within one anchor's
-surroundings suffix arrays by linear grouping (lyndon.py) bring equal strings together. Bytes move
-in packed blocks, a few rows a task, and no document, anchor or match goes to the driver.
+part of a repeat; the others are dealt by content, with what surrounds them. All different
+surroundings of an anchor make one text, whose suffix array by linear grouping (lyndon.py) decides
+which strings are equal: neighbours in suffix order with `length` bytes in common. An anchor of very
+many surroundings is split by the bytes that its strings share. Bytes move in packed blocks, a few
+rows a task, and no document, anchor or match goes to the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ _VALUE = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _LOW = np.uint64((1 << 24) - 1)
 #: Texts beyond so many bytes are scanned in pieces that overlap.
 PIECE = 1 << 23
-#: Surroundings sorted in one text, and rows sorted at once.
-TOGETHER = 4
+#: The most surroundings in one text (a larger set is split first), and rows sorted at once.
+TOGETHER = 16
 ROWS = 8_000
 NONE = np.iinfo(np.int64).max
+#: A text of more than HOT rows is met by them in SALTS tasks.
+HOT, SALTS = 256, 32
 
 
 def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,93 +87,109 @@ def _bytes_of(text: str) -> np.ndarray:
 # --- which strings of a set of surroundings are equal -------------------------------------------
 
 
+def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each class of equal rows of 64-bit words, each row's class). Hashes bring equal rows
+    together; bytes decide."""
+    x, y = np.full(len(words), _P[3]), np.full(len(words), _P[5])
+    for k in range(words.shape[1]):
+        x, y = mix64(x ^ words[:, k]) * _P[1], mix64(y * _P[7] + words[:, k])
+    order = np.lexsort((y, x))
+    new = np.ones(len(words), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+    of = np.empty(len(words), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def _wide(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, the last one filled up with zeros."""
+    full = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    full[:, : rows.shape[1]] = rows
+    return full.view("<u8")
+
+
 def first_holders(around: np.ndarray, group: np.ndarray, least: np.ndarray, lead: np.ndarray, tail: np.ndarray, length: int) -> np.ndarray:
-    """For surroundings (rows of bytes, group ascending): the least document that holds each string
-    of `length` bytes, rows x strings; NONE where a row has no such string.
+    """For surroundings (rows of bytes): the least document that holds each string of `length` bytes in
+    a surrounding of the same group, rows x strings; NONE where a row has no such string.
 
-    lead and tail: how many bytes a row really has before and after the gram. Rows of a group are
-    sorted in texts of TOGETHER rows; equal strings are neighbours there, and the groups' texts
-    then join by the strings that are left.
+    lead and tail: how many bytes a row really has before and after the gram.
     """
-    n, span = around.shape
-    side = span - GRAM
-    n_strings = span - length + 1
-    o = np.arange(n_strings)
-    valid = (o[None] >= side // 2 - lead[:, None]) & (o[None] <= tail[:, None])
+    span = around.shape[1]
+    low, high = (span - GRAM) // 2 - lead, tail
+    return _holders(around, group, least, low, high, 0, span - length, length)
+
+
+def _holders(around, cell, least, low, high, a: int, b: int, length: int) -> np.ndarray:
+    """first_holders() for the strings that begin at a to b; a row has those from low to high.
+
+    Rows alike in what these strings cover count once. A cell of up to TOGETHER different rows is
+    sorted as one text. In a larger one the strings are halved, and each half's rows part by the
+    bytes that all strings of the half cover: rows that differ there share none of them. With one
+    string left these bytes are the string, and a cell holds one row.
+    """
+    low, high = np.clip(low, a, b + 1), np.clip(high, a - 1, b)
+    one, of = _classes(np.concatenate([np.stack([cell, low, high], 1).astype(np.int64).view("<u8"), _wide(around[:, a : b + length])], 1))
+    around, cell, low, high = around[one], cell[one], low[one], high[one]
+    lowest = np.full(len(one), NONE)
+    np.minimum.at(lowest, of, least)
+    o = np.arange(a, b + 1)
+    valid = (o[None] >= low[:, None]) & (o[None] <= high[:, None])
+    out = np.where(valid, lowest[:, None], NONE)
+    _, cell, count = np.unique(cell, return_inverse=True, return_counts=True)
+    few = np.flatnonzero((count[cell] > 1) & (count[cell] <= TOGETHER))
+    if len(few):
+        out[few] = _sorted(around[few, a : b + length], cell[few], lowest[few], valid[few], length)
+    many = np.flatnonzero(count[cell] > TOGETHER)
+    middle = (a + b) // 2
+    for x, y in ((a, middle), (middle + 1, b)) if len(many) and a < b else ():
+        part = many[(low[many] <= y) & (high[many] >= x)]
+        if len(part):
+            _, deeper = _classes(np.concatenate([cell[part, None].view("<u8"), _wide(around[part, y : x + length])], 1))
+            out[part, x - a : y - a + 1] = _holders(around[part], deeper, lowest[part], low[part], high[part], x, y, length)
+    return out[of]
+
+
+def _sorted(rows: np.ndarray, cell: np.ndarray, least: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+    """first_holders() for cells of few rows: a cell's rows make one text, each ended by a 1, the text by
+    a 0, and runs of neighbours in suffix order with equal strings share the least document."""
     out = np.where(valid, least[:, None], NONE)
-    counts = np.diff(np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), n)) if n else np.empty(0, np.int64)
-    many = np.repeat(counts > 1, counts)
-    rows = np.flatnonzero(many)
-    if not len(rows):
-        return out
-    # Texts: up to TOGETHER rows of one group, each row ended by a 1, the text by a 0.
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(counts[counts > 1]) - counts[counts > 1], counts[counts > 1])
-    text = np.cumsum(place % TOGETHER == 0) - 1
-    held = np.bincount(text)
-    order = np.argsort(np.repeat(held, held), kind="stable")  # texts of one size stand together
-    keys, mins, cells = [], [], []
-    for c in range(0, len(rows), ROWS):
-        take = order[c : c + ROWS]
-        if c and text[take[0]] == text[order[c - 1]]:
-            take = take[text[take] != text[take[0]]]
-        if c + ROWS < len(rows):  # the last text may go on
-            last = text[take[-1]]
-            take = np.concatenate([take[text[take] != last], order[text[order] == last]])
-        t = text[take]
+    n, span = rows.shape
+    n_strings = span - length + 1
+    held = np.bincount(cell)
+    order = np.lexsort((cell, held[cell]))  # texts of one size stand together
+    ends = np.flatnonzero(np.append(cell[order][1:] != cell[order][:-1], True)) + 1
+    cuts = [0]
+    while cuts[-1] < n:  # whole texts, about ROWS rows at once
+        cuts.append(int(ends[min(np.searchsorted(ends, cuts[-1] + ROWS), len(ends) - 1)]))
+    for c, d in zip(cuts, cuts[1:]):
+        take = order[c:d]
+        t = cell[take]
         begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         k = np.diff(np.append(begin, len(t)))
         size = k * (span + 1) + 1
         base = np.cumsum(size) - size
         chars = np.zeros(int(size.sum()), np.int64)
         spot = np.repeat(base, k) + (np.arange(len(t)) - np.repeat(begin, k)) * (span + 1)
-        cell = spot[:, None] + np.arange(span + 1)
-        chars[cell[:, :-1]] = around[rows[take]].astype(np.int64) + 2
-        chars[cell[:, -1]] = 1
+        at = spot[:, None] + np.arange(span + 1)
+        chars[at[:, :-1]] = rows[take].astype(np.int64) + 2
+        chars[at[:, -1]] = 1
         sa = suffix_arrays(chars, base, size)
         # Suffixes that begin one of the rows' strings, in suffix order.
         owner = np.full(len(chars), -1, np.int64)
-        which = valid[rows[take]]
-        at = (spot[:, None] + o)[which]
-        owner[at] = (np.arange(len(t))[:, None] * n_strings + o)[which]
+        which = valid[take]
+        owner[at[:, :n_strings][which]] = np.flatnonzero(which)
         s = sa[owner[sa] >= 0]
-        own = owner[s]
-        r, w = own // n_strings, own % n_strings
-        words = _words(around[rows[take]], length)[r, w]
-        same = np.zeros(len(s), bool)
-        same[1:] = (words[1:] == words[:-1]).all(1) & (t[r[1:]] == t[r[:-1]]) & (w[1:] == w[:-1])
-        begin = np.flatnonzero(~same)
-        low = np.minimum.reduceat(least[rows[take[r]]], begin) if len(begin) else np.empty(0, np.int64)
-        # One string of each run goes on to meet the group's other texts.
-        digest = np.full(len(begin), group[rows[take[r[begin]]]].astype(np.uint64) * np.uint64(64))
-        digest = mix64(digest + w[begin].astype(np.uint64))
-        second = digest ^ _VALUE[7]
-        for i in range(words.shape[1]):
-            digest, second = mix64(digest ^ words[begin, i]), mix64(second * _P[3] + words[begin, i])
-        keys.append(np.stack([digest, second], 1))
-        mins.append(low)
-        cells.append((rows[take[r]], w, np.diff(np.append(begin, len(s)))))
-    keys, mins = np.concatenate(keys), np.concatenate(mins)
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1))) if len(order) else np.empty(0, bool)
-    begin = np.flatnonzero(new)
-    best = np.empty(len(keys), np.int64)
-    if len(order):
-        best[order] = np.repeat(np.minimum.reduceat(mins[order], begin), np.diff(np.append(begin, len(order))))
-    used = 0
-    for row, w, run in cells:
-        out[row, w] = np.repeat(best[used : used + len(run)], run)
-        used += len(run)
+        r, w = np.divmod(owner[s], n_strings)
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(rows[take], length, axis=1)).reshape(len(take) * n_strings, length)
+        words = _wide(words)[owner[s]]
+        new = np.ones(len(s), bool)
+        new[1:] = (words[1:] != words[:-1]).any(1) | (t[r[1:]] != t[r[:-1]])
+        begin = np.flatnonzero(new)
+        if len(begin):
+            out[take[r], w] = np.repeat(np.minimum.reduceat(least[take[r]], begin), np.diff(np.append(begin, len(s))))
     return out
 
 
-def _words(around: np.ndarray, length: int) -> np.ndarray:
-    """Each string of each row as 64-bit words, the last one filled up with zeros."""
-    w = np.lib.stride_tricks.sliding_window_view(around, length, axis=1)
-    full = np.zeros((*w.shape[:2], -(-length // 8) * 8), np.uint8)
-    full[..., :length] = w
-    return full.view("<u8")
-
-
 # --- the stages ---------------------------------------------------------------------------------
 
 
@@ -186,47 +206,58 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
     side = length - GRAM
     span = GRAM + 2 * side
     n = partitions(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    # Rows of one doc_id may hold several texts: mark tells them apart.
+    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("mark", F.xxhash64("doc_id", "text"))
 
     def digest(batches):
         for b in batches:
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary())], ["doc_id", "n_bytes", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), b.column(2)], ["doc_id", "n_bytes", "whole", "mark"])
 
-    known = materialize(texts.where("doc_id is not null").transform(map_arrow, digest, "doc_id long, n_bytes long, whole binary").where(F.col("n_bytes") >= length), "texts")
+    known = materialize(texts.where("doc_id is not null").transform(map_arrow, digest, "doc_id long, n_bytes long, whole binary, mark long").where(F.col("n_bytes") >= length), "texts")
     # Copies: all of a text that stands in a document with a smaller doc_id goes.
-    first = known.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
-    copies = materialize(known.join(first.where("c > 1"), "whole").select("doc_id", "n_bytes", (F.col("doc_id") > F.col("first")).alias("copy")).groupBy("doc_id", "n_bytes").agg(F.max("copy").alias("copy")).where("copy").select("doc_id", F.col("n_bytes").alias("copy_bytes")), "copies")
+    first = known.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = materialize(first, "first")
+    hot = first.where(F.col("c") > HOT).select("whole", F.col("first").alias("hot"))
+    n_hot = hot.count()
+    rows = known
+    if n_hot:  # one text may be a third of all rows: they meet its first holder in SALTS tasks
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = join_checked(known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), hot, ["whole", "salt"], "left", n_hot * SALTS, 48)
+    own = ["doc_id", "mark"]
+    pairs = (rows.where("hot is null") if n_hot else rows).join(first.where(F.col("c") <= HOT), "whole").select(*own, "first")
+    if n_hot:
+        pairs = pairs.unionByName(rows.where("hot is not null").select(*own, F.col("hot").alias("first")))
+    copies = materialize(pairs.where("doc_id > first").select("doc_id", "mark").distinct(), "copies")
     n_copies = copies.count()
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     deals = int(max(2 * n, total // (16 << 20) + 1))
-    # Rows of one doc_id may hold several texts; a copy is told by its size too.
-    left = join_checked(texts.where("doc_id is not null and text is not null").withColumn("copy_bytes", F.octet_length("text").cast("long")), copies, ["doc_id", "copy_bytes"], "left_anti", n_copies, 32)
+    left = join_checked(texts.where("doc_id is not null and text is not null"), copies, ["doc_id", "mark"], "left_anti", n_copies, 48)
 
     def find_anchors(batches):
-        def flush(ids, hashes, docs_):
-            h, d = np.concatenate(hashes), np.repeat(np.array(docs_, np.int64), [len(x) for x in hashes])
+        def flush(ids, hashes, marks_):
+            h, d = np.concatenate(hashes), np.repeat(np.array(marks_, np.int64), [len(x) for x in hashes])
             i = np.concatenate(ids)
             rows = [(deal, _pack(h[p] & np.uint64((1 << 48) - 1)), _pack(d[p]), _pack(i[p])) for deal, p in _deal(h, deals)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["deal", "h", "doc", "i"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["deal", "h", "mark", "i"])
 
-        ids, hashes, docs_, size = [], [], [], 0
+        ids, hashes, marks_, size = [], [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, h = anchors(_bytes_of(text), length)
                 if len(at):
                     ids.append(np.arange(len(at)))
                     hashes.append(h)
-                    docs_.append(doc)
+                    marks_.append(mark)
                     size += len(at)
                 if size > 1_000_000:
-                    yield flush(ids, hashes, docs_)
-                    ids, hashes, docs_, size = [], [], [], 0
-        if docs_:
-            yield flush(ids, hashes, docs_)
+                    yield flush(ids, hashes, marks_)
+                    ids, hashes, marks_, size = [], [], [], 0
+        if marks_:
+            yield flush(ids, hashes, marks_)
 
     def shared(table):
-        h, d, i = (_unpack(table.column(c).to_pylist()) for c in ("h", "doc", "i"))
+        h, d, i = (_unpack(table.column(c).to_pylist()) for c in ("h", "mark", "i"))
         order = np.argsort(h, kind="stable")
         h, d, i = h[order], d[order], i[order]
         begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -237,95 +268,89 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
         del h, order, keep
         give_back()
         rows = [(deal, _pack(d[p]), _pack(i[p])) for deal, p in _deal(mix64(d.view(np.uint64)), deals)]
-        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), "doc": pa.array([r[1] for r in rows], pa.binary()), "i": pa.array([r[2] for r in rows], pa.binary())})
+        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), "mark": pa.array([r[1] for r in rows], pa.binary()), "i": pa.array([r[2] for r in rows], pa.binary())})
 
     def by_document(table):
-        d, i = (_unpack(table.column(c).to_pylist()) for c in ("doc", "i"))
+        d, i = (_unpack(table.column(c).to_pylist()) for c in ("mark", "i"))
         order = np.lexsort((i, d))
         d, i = d[order], i[order]
         cuts = np.flatnonzero(np.diff(d)) + 1
         parts = np.split(i, cuts)
-        return pa.table({"doc_id": pa.array(d[np.concatenate(([0], cuts))] if len(d) else d, pa.int64()), "at": pa.array([p.astype("<u4").tobytes() for p in parts if len(p)], pa.binary())})
+        return pa.table({"mark": pa.array(d[np.concatenate(([0], cuts))] if len(d) else d, pa.int64()), "at": pa.array([p.astype("<u4").tobytes() for p in parts if len(p)], pa.binary())})
 
-    found = left.select("doc_id", "text").transform(map_arrow, find_anchors, "deal long, h binary, doc binary, i binary").groupBy("deal").applyInArrow(shared, "deal long, doc binary, i binary")
-    marks = materialize(found.groupBy("deal").applyInArrow(by_document, "doc_id long, at binary"), "marks")
+    found = left.select("mark", "text").transform(map_arrow, find_anchors, "deal long, h binary, mark binary, i binary").groupBy("deal").applyInArrow(shared, "deal long, mark binary, i binary")
+    marks = materialize(found.groupBy("deal").applyInArrow(by_document, "mark long, at binary"), "marks")
     n_marks, mark_bytes = marks.agg(F.count("*"), F.coalesce(F.sum(F.length("at")), F.lit(0))).first()
-    marked = join_checked(left, marks, "doc_id", "inner", 1, int(mark_bytes) + 32 * n_marks).select("doc_id", "text", "at")
+    marked = join_checked(left, marks, "mark", "inner", 1, int(mark_bytes) + 128 * n_marks).select("doc_id", "mark", "text", "at")
 
     def surroundings(batches):
-        def flush(h, d, p, lead, tail, rows):
-            h, d, p, lead, tail, rows = (np.concatenate(x) for x in (h, d, p, lead, tail, rows))
-            out = [(deal, *(_pack(x[k]) for x in (h, d, p, lead, tail)), rows[k].tobytes()) for deal, k in _deal(mix64(h), deals)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7))], ["deal", "h", "doc", "p", "lead", "tail", "around"])
+        def flush(h, d, m, p, lead, tail, rows):
+            h, d, m, p, lead, tail, rows = (np.concatenate(x) for x in (h, d, m, p, lead, tail, rows))
+            out = [(deal, *(_pack(x[k]) for x in (h, d, m, p, lead, tail)), rows[k].tobytes()) for deal, k in _deal(mix64(h), deals)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 8))], ["deal", "h", "doc", "mark", "p", "lead", "tail", "around"])
 
-        got, size = ([], [], [], [], [], []), 0
+        got, size = ([], [], [], [], [], [], []), 0
         for b in batches:
-            for doc, text, at in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, mark, text, at in zip(*(c.to_pylist() for c in b.columns)):
                 raw = _bytes_of(text)
                 place, h = anchors(raw, length)
                 i = np.frombuffer(at, "<u4").astype(np.int64)
-                i = i[i < len(place)]  # another text of the same doc_id may have fewer
+                i = i[i < len(place)]  # marks of two texts may be equal, at odds of 1 in 2**64
                 place, h = place[i], h[i]
                 full = np.zeros(len(raw) + 2 * side, np.uint8)
                 full[side : side + len(raw)] = raw
-                for x, y in zip(got, (h, np.full(len(h), doc, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
+                for x, y in zip(got, (h, np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
                     x.append(y)
                 size += len(h)
                 if size > 100_000:
                     yield flush(*got)
-                    got, size = ([], [], [], [], [], []), 0
+                    got, size = ([], [], [], [], [], [], []), 0
         if size:
             yield flush(*got)
 
     def repeats(table):
-        h, d, p, lead, tail = (_unpack(table.column(c).to_pylist()) for c in ("h", "doc", "p", "lead", "tail"))
+        h, d, m, p, lead, tail = (_unpack(table.column(c).to_pylist()) for c in ("h", "doc", "mark", "p", "lead", "tail"))
         around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint8).reshape(-1, span)
-        # Equal surroundings count once.
-        words = np.ascontiguousarray(around).view("<u8")
-        key = mix64(h.view(np.uint64) + np.uint64(1))
-        for k in range(words.shape[1]):
-            key = mix64(key ^ words[:, k]) * _P[1]
-        key = mix64(key ^ (lead * 64 + tail).view(np.uint64))
-        order = np.lexsort((d, key, h))
-        h, d, p, lead, tail, key = h[order], d[order], p[order], lead[order], tail[order], key[order]
-        begin = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]))))
-        width = np.diff(np.append(begin, len(h)))
-        least = first_holders(around[order[begin]], h[begin], d[begin], lead[begin], tail[begin], length)
-        ids, lo, hi = [], [], []
-        of = np.repeat(np.arange(len(begin)), width)
+        # Equal surroundings count once, with their least document.
+        one, of = _classes(np.concatenate([np.stack([h, lead, tail], 1).view("<u8"), _wide(around)], 1))
+        low = np.full(len(one), NONE)
+        np.minimum.at(low, of, d)
+        least = first_holders(around[one], h[one], low, lead[one], tail[one], length)
+        ids, own, lo, hi = [], [], [], []
         for c in range(0, len(h), 100_000):
             gone = least[of[c : c + 100_000]] < d[c : c + 100_000, None]
             hit = gone.any(1)
             start = p[c : c + 100_000] - side
             ids.append(d[c : c + 100_000][hit])
+            own.append(m[c : c + 100_000][hit])
             lo.append((start + gone.argmax(1))[hit])
             hi.append((start + gone.shape[1] - 1 - gone[:, ::-1].argmax(1) + length)[hit])
-        ids, lo, hi = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ids, lo, hi))
-        del least, around, words, key
+        ids, own, lo, hi = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ids, own, lo, hi))
+        del least, around
         give_back()
-        rows = [(deal, _pack(ids[k]), _pack(lo[k]), _pack(hi[k])) for deal, k in _deal(mix64(ids.view(np.uint64)), deals)]
-        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "doc"), (2, "lo"), (3, "hi"))}})
+        rows = [(deal, *(_pack(x[k]) for x in (ids, own, lo, hi))) for deal, k in _deal(mix64(own.view(np.uint64)), deals)]
+        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "doc"), (2, "mark"), (3, "lo"), (4, "hi"))}})
 
     def spans_of(table):
-        d, lo, hi = (_unpack(table.column(c).to_pylist()) for c in ("doc", "lo", "hi"))
-        ids, spans = [], []
-        order = np.lexsort((lo, d))
-        d, lo, hi = d[order], lo[order], hi[order]
-        for part in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d)) + 1):
+        d, m, lo, hi = (_unpack(table.column(c).to_pylist()) for c in ("doc", "mark", "lo", "hi"))
+        ids, own, spans = [], [], []
+        order = np.lexsort((lo, d, m))
+        d, m, lo, hi = d[order], m[order], lo[order], hi[order]
+        for part in np.split(np.arange(len(d)), np.flatnonzero((np.diff(d) != 0) | (np.diff(m) != 0)) + 1):
             if len(part):
                 a, z = lo[part], np.maximum.accumulate(hi[part])
                 new = np.concatenate(([True], a[1:] > z[:-1]))
                 ids.append(int(d[part[0]]))
+                own.append(int(m[part[0]]))
                 spans.append(np.stack([a[new], z[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]], 1).astype("<i8").tobytes())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(own, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    met = marked.transform(map_arrow, surroundings, "deal long, h binary, doc binary, p binary, lead binary, tail binary, around binary")
-    gone = met.groupBy("deal").applyInArrow(repeats, "deal long, doc binary, lo binary, hi binary").groupBy("deal").applyInArrow(spans_of, "doc_id long, spans binary")
+    met = marked.transform(map_arrow, surroundings, "deal long, h binary, doc binary, mark binary, p binary, lead binary, tail binary, around binary")
+    gone = met.groupBy("deal").applyInArrow(repeats, "deal long, doc binary, mark binary, lo binary, hi binary").groupBy("deal").applyInArrow(spans_of, "doc_id long, mark long, spans binary")
     gone = materialize(gone, "spans")
     n_gone, gone_bytes = gone.agg(F.count("*"), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
-    rows = texts.withColumn("copy_bytes", F.octet_length("text").cast("long"))
-    rows = join_checked(rows, copies.withColumn("copy", F.lit(True)), ["doc_id", "copy_bytes"], "left", n_copies, 32)
-    rows = join_checked(rows, gone, "doc_id", "left", 1, int(gone_bytes) + 32 * n_gone)
+    rows = join_checked(texts, copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left", n_copies, 48)
+    rows = join_checked(rows, gone, ["doc_id", "mark"], "left", 1, int(gone_bytes) + 128 * n_gone)
 
     def cut(batches):
         for b in batches:
