@@ -2,7 +2,7 @@
 
 Rotations learnt on a bounded sample turn vectors into binary codes; half of the rotations see centred
 vectors (balanced bits), half raw ones (whose flips follow the angle alone). Tables of b bits propose
-pairs, full codes filter them, original vectors decide.
+pairs, a 64-bit code filters them, original vectors decide.
 
 A hot cell, as a group of near copies makes, is not compared pair by pair: members within half
 the link angle of the cell's least id form a cone. Members of one cone are all linked, by the
@@ -46,8 +46,13 @@ class Quantiser:
             r = (u @ w).T
         return axes @ r
 
+    @property
+    def n_bits(self) -> int:
+        """The bits of the code."""
+        return min(64, len(self.raw) * self.width)
+
     def __call__(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of the tables, packed raw-rotation code in 64-bit words)."""
+        """(keys of the tables, the first bits of the raw rotations as one 64-bit word)."""
         raw = np.concatenate([unit @ r for r in self.raw], 1) > 0
         centred = np.concatenate([(unit - self.mean) @ r for r in self.centred], 1) > 0
         weight = 1 << np.arange(self.bits, dtype=np.int64)
@@ -55,10 +60,9 @@ class Quantiser:
         for t in range(self.tables):
             side, at = (raw, t // 2) if t % 2 == 0 else (centred, t // 2)
             keys[:, t] = side[:, at * self.bits : (at + 1) * self.bits] @ weight
-        words = -(-raw.shape[1] // 64)
-        code = np.zeros((len(unit), words * 64), bool)
-        code[:, : raw.shape[1]] = raw
-        return keys, np.packbits(code, axis=1).view("<u8")
+        code = np.zeros((len(unit), 64), bool)
+        code[:, : self.n_bits] = raw[:, : self.n_bits]
+        return keys, np.packbits(code, axis=1).view("<u8").ravel()
 
 
 def flips(angle, n_bits: int):
@@ -84,33 +88,53 @@ def _blobs(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.01, sample: int = 4096, hot: int = 64, pack: int = 2048, most_lengths: int = 16) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.01, sample: int = 4096, hot: int = 64, pack: int = 2048, few: int = 1024) -> DataFrame:
     """Vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row for each row.
 
     Links: cosine in double precision of at least `cosine`. Vectors that are null, empty, zero or hold
     a null, NaN or infinite component link with nothing: n_links 0, their own component. Vectors
-    of different lengths don't link; beyond most_lengths lengths the function refuses. Rows that
-    repeat a vec_id are one vector, the least counts. A null vec_id has n_links 0 and null component.
+    of different lengths don't link; a length that at most `few` vectors have is compared whole in one
+    task, so there may be any number of lengths. Rows that repeat a vec_id are one vector, the least
+    counts, and each row gets its result. A null vec_id has n_links 0 and null component. Columns
+    beside vec_id and embedding play no part; an empty table gives no rows.
     A pair at the cosine is missed with probability of about `miss`, nearer ones less.
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(F.col("vec_id").isNotNull() & good).groupBy("vec_id").agg(F.min("v").alias("v"))
-    lengths = sorted((r[0], r[1]) for r in v.groupBy(F.size("v")).count().limit(most_lengths + 1).collect())
-    if len(lengths) > most_lengths:
-        raise ValueError(f"over {most_lengths} vector lengths")
-    out = None
-    for dim, n in lengths:
-        some = _near(v.where(F.size("v") == dim), dim, n, cosine, miss, sample, hot, pack)
-        out = some if out is None else out.unionByName(some)
+    v = v.where(F.col("vec_id").isNotNull() & good).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    v = materialize(v, "vectors")
+    per = v.groupBy("dim").agg(F.count("*").alias("c"))
+    large = [(r["dim"], r["c"]) for r in per.where(F.col("c") > few).orderBy("dim").collect()]  # one in `few` vectors at most
+    rest = v.where(~F.col("dim").isin([d for d, _ in large])) if large else v
+    out = rest.groupBy("dim").applyInArrow(_whole(cosine), "vec_id long, n_links long, component_id long")
+    for dim, n in large:
+        out = out.unionByName(materialize(_near(v.where(F.col("dim") == dim).select("vec_id", "v"), dim, n, cosine, miss, sample, hot, pack), "found"))
     own = vectors.select(F.col("vec_id").cast("long"))
-    if out is None:
-        found = own.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id")})
-    else:
-        found = own.join(out, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    found = own.join(out, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _whole(cosine: float):
+    """All links of one length's few vectors at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        ids = table.column("vec_id").to_numpy()
+        unit = _unit(_floats(table.column("v").combine_chunks(), len(ids)))
+        link = unit @ unit.T >= cosine
+        np.fill_diagonal(link, False)
+        root = np.arange(len(ids))
+        while True:  # the least place among a vector's own and its neighbours' roots
+            new = np.minimum(root, np.where(link, root[None], len(ids)).min(1, initial=len(ids)))
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        return pa.table({"vec_id": ids, "n_links": link.sum(1).astype(np.int64), "component_id": ids[root]})
+
+    return run
+
+
 def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: int, hot: int, pack: int) -> DataFrame:
     spark = v.sparkSession
     angle = math.acos(cosine)
@@ -119,7 +143,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
     seen = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toArrow().combine_chunks()
     seen = _floats(seen.column("v").combine_chunks(), seen.num_rows)
     q = Quantiser(_unit(seen), tables, bits)
-    n_bits = len(q.raw) * q.width
+    n_bits = q.n_bits
     sent = spark.sparkContext.broadcast(q)
 
     def encode(batches):
@@ -127,9 +151,9 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
             if b.num_rows:
                 unit = _unit(_floats(b.column(1), b.num_rows))
                 keys, code = sent.value(unit)
-                yield pa.RecordBatch.from_arrays([b.column(0), _blobs(unit), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(code.view(np.int64)), pa.list_(pa.int64()))], ["vec_id", "unit", "keys", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _blobs(unit), pa.array(list(keys), pa.list_(pa.int64())), pa.array(code.view(np.int64))], ["vec_id", "unit", "keys", "code"])
 
-    coded = materialize(v.transform(map_arrow, encode, "vec_id long, unit binary, keys array<long>, code array<long>"), "codes")
+    coded = materialize(v.transform(map_arrow, encode, "vec_id long, unit binary, keys array<long>, code long"), "codes")
     units = coded.select("vec_id", "unit")
     cells = coded.select("vec_id", "code", F.posexplode("keys").alias("t", "key"))
 
@@ -139,7 +163,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
     half, limit = math.cos(angle / 2) + 1e-9, int(flips(angle / 2, n_bits))
     near = cells.join(leaders, ["t", "key"]).select("vec_id", "leader", "code").distinct()
     lead_code = coded.select(F.col("vec_id").alias("leader"), F.col("code").alias("other"))
-    apart = F.aggregate(F.zip_with("code", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    apart = F.bit_count(F.col("code").bitwiseXOR(F.col("other")))
     near = near.join(lead_code, "leader").where(apart <= limit).select("vec_id", "leader")
     near = near.join(units, "vec_id").join(units.select(F.col("vec_id").alias("leader"), F.col("unit").alias("centre")), "leader")
 
@@ -171,7 +195,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
 
     def propose(table):
         cell, rep = table.column("cell").to_numpy(), table.column("rep").to_numpy()
-        code = _floats(table.column("code").combine_chunks(), len(rep)).view(np.uint64)
+        code = table.column("code").to_numpy().view(np.uint64)
         radius = table.column("radius").to_numpy()
         order = np.argsort(cell, kind="stable")
         cuts = np.flatnonzero(np.diff(cell[order])) + 1
@@ -181,9 +205,7 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                 x = part[i : i + 1024]
                 for j in range(i, len(part), 1024):
                     y = part[j : j + 1024]
-                    diff = np.zeros((len(x), len(y)), np.int32)
-                    for k in range(code.shape[1]):
-                        diff += np.bitwise_count(code[x, k][:, None] ^ code[y, k][None])
+                    diff = np.bitwise_count(code[x][:, None] ^ code[y][None])
                     ok = diff <= flips(angle + radius[x][:, None] + radius[y][None], n_bits)
                     a, b = np.nonzero(np.triu(ok, 1) if i == j else ok)
                     u.append(rep[x[a]])
