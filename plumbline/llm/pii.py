@@ -1,7 +1,7 @@
 """Personal data: base patterns, and offset-preserving deobfuscation that adds to them.
 
-Transducers rewrite a text (homoglyphs, other scripts' digits, spelled digits, at/dot disguises)
-and keep, for each rewritten piece, where it came from. Identifiers found in the rewritten text are
+Transducers rewrite a text (homoglyphs, other scripts' digits, spelled digits, at/dot disguises in
+English, Spanish, French and German) and keep, for each rewritten piece, where it came from. Identifiers found in the rewritten text are
 mapped back, so every span is in code points of the source. All scans are linear in the text.
 """
 
@@ -92,20 +92,35 @@ _TABLE = _one_to_one()
 _HIDDEN = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 _ODD = frozenset([*map(chr, _TABLE), *_HIDDEN])
 
-#: English names of the digits.
-DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
-_SEP = r"[ .,()-]{1,3}"
-# Three in a row at least: ordinary prose has "one" or "two six" at most.
-_SPELLED = re.compile(rf"(?<![^\W\d_])(?:plus{_SEP})?(?:(?:{_NAME}|[0-9]+){_SEP})*?{_NAME}{_SEP}(?:{_NAME}|[0-9]+){_SEP}(?:{_NAME}|[0-9]+)(?:{_SEP}(?:{_NAME}|[0-9]+))*(?![^\W\d_])", re.I)
-_HINT_SPELLED = re.compile(rf"[\s.,()\-:;\"'/]{_NAME}{_SEP}(?:[0-9]|(?=[zotfsen]){_NAME}(?![a-z]))")
-_WORD = re.compile(rf"plus|{_NAME}", re.I)
+#: Names of the digits in English, Spanish, French and German.
+DIGIT_NAMES = {
+    **{"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"},
+    **{"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"},
+    **{"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"},
+    **{"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"},
+}
+#: Words for @, for the dot and for a leading + in these languages.
+AT_WORDS = ("at", "arroba", "arobase", "ät")
+DOT_WORDS = ("dot", "punto", "point", "punkt")
+PLUS_WORDS = ("plus", "más")
+_NAMES, _ATS, _DOTS, _PLUS = ("|".join(x) for x in (DIGIT_NAMES, AT_WORDS, DOT_WORDS, PLUS_WORDS))
+_NAME = rf"(?:(?:{_NAMES})(?![^\W_]))"
+_SEP = rf"(?:[ .,()-]{{1,3}}| (?:{_DOTS}) )"
+_ITEM = f"(?:{_NAME}|[0-9]+)"
+# Every run is taken whole, so the search is linear.
+_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS}){_SEP})?{_ITEM}(?:{_SEP}{_ITEM})++(?![^\W_])", re.I)
+_HINT_SPELLED = re.compile(rf"[\s.,()\-:;\"'/]{_NAME}{_SEP}(?:[0-9]|{_NAME})")
+_HINT_DOTTED = re.compile(rf"[0-9] (?:{_DOTS}) [0-9]")
+_WORD = re.compile(rf"(?<![^\W_])(?:{_PLUS}|{_NAME}|[0-9]+)(?![^\W_])", re.I)
+_DOT_WORD = re.compile(rf" (?:{_DOTS}) ", re.I)
 _BRACKET = r"[ \t]{{0,2}}[\[({{<][ \t]{{0,2}}(?:{0})[ \t]{{0,2}}[\])}}>][ \t]{{0,2}}"
-_AT, _DOT = _BRACKET.format("at|@"), _BRACKET.format(r"dot|\.")
+_AT, _DOT = _BRACKET.format(f"{_ATS}|@"), _BRACKET.format(rf"{_DOTS}|\.")
 _MARKED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-_HINT_MARKED = re.compile(r"[\[({<][ \t]{0,2}(?:at|dot|@|\.)[ \t]{0,2}[\])}>]")
-# A bare " at " counts in front of a name with a bare or marked " dot " alone.
-_BARE = re.compile(r"(?<=[A-Za-z0-9._%+-])(?P<at> at | ?@ ?)(?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9-]+)|(?<=[A-Za-z0-9-])(?P<dot> dot )(?=[A-Za-z0-9-]+)", re.I)
+_HINT_MARKED = re.compile(rf"[\[({{<][ \t]{{0,2}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0,2}}[\])}}>]")
+# A bare " at " counts in front of a name with a spelled or marked dot; in front of a plain dotted name
+# ("look at example.com") only behind a local part with a sign or a digit in it ("j.doe at ...").
+_BARE = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?P<at> (?:{_ATS}) | ?@ ?)(?=[A-Za-z0-9-]+(?: (?:{_DOTS}) | \. |(?<=@)\.)[A-Za-z0-9-]+)|(?<=[A-Za-z0-9-])(?P<dot> (?:{_DOTS}) | \. )(?=[A-Za-z0-9-]+)", re.I)
+_BARE_DOTTED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+|(?<=[0-9]))++(?P<at> (?:{_ATS}) | ?@ ?)(?=[A-Za-z0-9-]+\.[A-Za-z0-9-]+)", re.I)
 _HINT_DIGITLIKE = re.compile(r"[0-9][.]?[OoIl][0-9.]|[OoIl][0-9]+\.[0-9]")
 _DIGITLIKE = re.compile(r"(?<=[0-9.])[OoIl](?=[0-9.])|(?<=\b)[OoIl](?=[0-9]+\.[0-9])")
 
@@ -165,12 +180,42 @@ class Mapped:
         return self.src[later] if later < len(self.at) else whole
 
 
+def _spaced(low: str) -> bool:
+    """Whether an @ and a dot could stand bare or among spaces. low: the text in small letters."""
+    return any(f" {w} " in low for w in AT_WORDS) or " @" in low or "@ " in low or "@" in low and any(f" {w} " in low for w in DOT_WORDS)
+
+
 def hinted(text: str) -> bool:
     """Whether any transducer could change the text to a point."""
     if not text.isascii() and not _ODD.isdisjoint(text):
         return True
     low = " " + text.lower()
-    return " dot " in low or bool(_HINT_MARKED.search(low)) or bool(_HINT_SPELLED.search(low)) or bool(_HINT_DIGITLIKE.search(text))
+    if _spaced(low) and (any(f" {w} " in low for w in DOT_WORDS) or " . " in low or _BARE_DOTTED.search(low)):
+        return True
+    return bool(_HINT_MARKED.search(low) or _HINT_SPELLED.search(low) or _HINT_DOTTED.search(low) or _HINT_DIGITLIKE.search(text))
+
+
+def _digits(text: str):
+    """(start, end, new) of runs of spelled digits: names become digits, words for dots become dots, and
+    what lies between two single digits goes, as "one nine two dot 1 6 8" means 192.168."""
+    for run in _RUN.finditer(text):
+        words = list(_WORD.finditer(text, run.start(), run.end()))
+        named = sum(w.group().lower() in DIGIT_NAMES for w in words)
+        # Ordinary prose has "one" or "two six" at most.
+        if not (named and len(words) > 2 or _DOT_WORD.search(text, run.start(), run.end())):
+            continue
+        last = None
+        for w in words:
+            new = DIGIT_NAMES.get(w.group().lower(), w.group() if w.group()[0].isdigit() else "+")
+            if last is not None:
+                between = text[last.end() : w.start()]
+                single = len(value) == 1 == len(new)
+                sep = "." if _DOT_WORD.fullmatch(between) else "" if value == "+" or single and not between.strip(" ") else between if "." in between and named < len(words) else " "
+                if sep != between:
+                    yield last.end(), w.start(), sep
+            if new != w.group():
+                yield w.start(), w.end(), new
+            last, value = w, new
 
 
 def normalise(text: str) -> Mapped:
@@ -182,17 +227,15 @@ def normalise(text: str) -> Mapped:
     m.text = _DIGITLIKE.sub(lambda x: "0" if x.group() in "Oo" else "1", m.text)
     found = [(x.start(), x.end(), "@" if x["at"] else ".") for x in _MARKED.finditer(m.text)]
     m = m.rewrite(found) if found else m
-    found = [(x.start(), x.end(), "@" if x["at"] else ".") for x in _BARE.finditer(m.text) if x.group() != "@"] if " dot " in m.text.lower() or found else []
-    m = m.rewrite(found) if found else m
-    found = []
-    for run in _SPELLED.finditer(m.text):
-        last = None
-        for w in _WORD.finditer(m.text, run.start(), run.end()):
-            new = DIGIT_NAMES.get(w.group().lower(), "+")
-            # What separates two digits becomes one space at most.
-            start = w.start() if last is None or m.text[last:w.start()].strip(" .,()-") else last
-            found.append((start, w.end(), (" " if start < w.start() and new != "+" and not (found and found[-1][2].endswith("+")) else "") + new))
-            last = w.end()
+    low = f" {m.text.lower()}"
+    if found or _spaced(low):
+        some = [(x.start("at"), x.end("at"), "@") for x in _BARE_DOTTED.finditer(m.text) if x["at"] != "@"]
+        m = m.rewrite(some) if some else m
+        some = [(x.start(), x.end(), "@" if x["at"] else ".") for x in _BARE.finditer(m.text) if x.group() != "@"]
+        # Between digits a word for a dot is left to the runs of digits.
+        some = [x for x in some if x[2] == "@" or not (m.text[x[0] - 1].isdigit() and m.text[x[1] : x[1] + 1].isdigit())]
+        m = m.rewrite(some) if some else m
+    found = list(_digits(m.text))
     return m.rewrite(found) if found else m
 
 
@@ -224,11 +267,14 @@ def spelled(spans: list[Span]) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans (base and
-    added), n_added. A null text counts as empty: no spans. Repeated rows each give a row."""
+    added), n_added, n_spans (base and added). A null text counts as empty: no spans. Repeated rows
+    each give a row, null doc_ids stay null, columns already named like these play no part, an empty
+    table gives no rows. Texts of any length are scanned whole, in linear time. Spans of different kinds
+    may overlap; of one kind the leftmost wins, and a base span over an added one."""
 
     def run(batches):
         for b in batches:
-            counts, sha, spans, added = {k: [] for k in KINDS}, [], [], []
+            counts, sha, spans, added, every = {k: [] for k in KINDS}, [], [], [], []
             for x in b.column(1).to_pylist():
                 text = x or ""
                 base = base_spans(text)
@@ -238,9 +284,10 @@ def find(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(spelled(base).encode()).hexdigest())
                 spans.append(spelled(base + more))
                 added.append(len(more))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                every.append(len(base) + len(more))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(every, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def mask_text(text: str | None) -> str | None:
