@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def to_gray(bgr: np.ndarray) -> np.ndarray:
@@ -101,24 +103,29 @@ def features(bgr: np.ndarray) -> dict:
     inner = v[h // 8 : 7 * h // 8, w // 8 : 7 * w // 8]
     circle = find_circle(gray)
     centred = circle is not None and w / 4 < circle[0] < 3 * w / 4 and h / 4 < circle[1] < 3 * h / 4
-    return {"width": w, "height": h, "border_white": float((v[border] > 240).mean()), "border_dark": float((v[border] < 25).mean()), "dark": float((v < 20).mean()), "circle": circle is not None, "centred": centred, "hue_sum": float(sum((b & vivid).mean() for b in bands)), "mean_s": float(hsv[..., 1].mean()), "std": float(gray.std()), "edge": float(edges(gray).mean()), "interior_white": float((inner > 240).mean()) if inner.size else 0.0}
+    return {"width": w, "height": h, "border_white": float((v[border] > 240).mean()), "border_dark": float((v[border] < 25).mean()), "dark": float((v < 20).mean()), "circle": circle is not None, "centred": centred, "radius": circle[2] if circle is not None else None, "hue_sum": float(sum((b & vivid).mean() for b in bands)), "mean_s": float(hsv[..., 1].mean()), "std": float(gray.std()), "edge": float(edges(gray).mean()), "interior_white": float((inner > 240).mean()) if inner.size else 0.0}
 
 
-def raster_features(images):
+def raster_features(images: DataFrame) -> DataFrame:
     """Rows of the image source (origin, width, height, nChannels, data) -> feature rows by Arrow
-    batches; gray and alpha channels become BGR; unreadable images are left out."""
-    import pandas as pd
+    batches; gray and alpha channels become BGR. An image that can't be read keeps its row, with
+    readable false and all else null, so that it is rejected and not lost."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                if r.width > 0:
-                    x = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                    rows.append({"origin": r.origin} | features(np.repeat(x, 3, 2) if r.nChannels == 1 else x[..., :3]))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RASTER.split(", ")])
+            for origin, width, height, channels, data in zip(*(b.column(i) for i in range(5))):
+                row, w, h, n = {"origin": origin.as_py(), "readable": False}, width.as_py(), height.as_py(), channels.as_py()
+                raw = data.as_buffer() if data.is_valid else b""
+                if w and w > 0 and len(raw) == w * h * n:
+                    x = np.frombuffer(raw, np.uint8).reshape(h, w, n)
+                    row |= {"readable": True} | features(np.repeat(x, 3, 2) if n == 1 else x[..., :3])
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return images.mapInPandas(run, RASTER)
+    return images.select("origin", "width", "height", "nChannels", "data").mapInArrow(run, RASTER)
 
 
-RASTER = "origin string, width int, height int, border_white double, border_dark double, dark double, circle boolean, centred boolean, hue_sum double, mean_s double, std double, edge double, interior_white double"
+RASTER = "origin string, readable boolean, width int, height int, border_white double, border_dark double, dark double, circle boolean, centred boolean, radius double, hue_sum double, mean_s double, std double, edge double, interior_white double"
+_KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
+_SCHEMA = pa.schema([(f.split(" ")[0], _KINDS[f.split(" ")[1]]) for f in RASTER.split(", ")])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The patterns of captions, citations and authors. Word boundaries are written out, as
+# Java's \\b takes other letters than other engines do.
 #: White space as Unicode defines it, with the four ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 CAPTION_START = r"(?i)^(?:Figure|Fig\.)\s*\d+[a-z]?[.:\s]"
@@ -53,7 +55,9 @@ def _author(x: Column, pattern: str, last: int, initial: int) -> Column:
 
 
 def author_of_field(authors: Column) -> Column:
-    """struct(last, initial) from "Last, F. I.; ..." or else "F. I. Last, ...", else null."""
+    """struct(last, initial) from "Last, F. I.; ..." or else "F. I. Last, ...", else null. White space
+    around the field doesn't count."""
+    authors = F.regexp_replace(authors, r"(?U)^\s+|\s+$", "")
     return F.coalesce(_author(authors, r"^([A-Z][a-zA-Z'\-]+),\s+([A-Z])", 1, 2), _author(authors, r"^([A-Z])[.\s]+(?:[A-Z][.\s]+)*([A-Z][a-z]{2,})", 2, 1))
 
 
@@ -83,6 +87,11 @@ def folder_name(date: Column, last: Column, initial: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(name, r'[/\\:*?"<>|]', "_"), " {2,}", " "))
 
 
+def compact_date(d: str) -> str:
+    """A date as it stands in file names."""
+    return d.replace("-", "")
+
+
 def safe_name(x: Column) -> Column:
     """Everything but letters, digits, _ and - becomes _."""
     return F.regexp_replace(x, r"[^\p{L}\p{N}_\-]", "_")

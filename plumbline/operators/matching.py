@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int = 2, metric: str = "l2", block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, train: DataFrame, k: int = 2, metric: str = "l2", block: int = 1024, apart: bool = False) -> DataFrame:
     """Queries (q_id, vec) against all train rows (t_id, vec): the k nearest of each, by (distance,
     t_id): q_id, t_id, distance, rank. metric l2 (arrays of numbers) or hamming (arrays of bytes 0
-    to 255).
+    to 255). apart leaves out the train row of the query's own id.
 
     Queries go in packed blocks, each of which meets each part of the train rows once, in one matrix
     computation; a part keeps k candidates a query, and a window joins the parts. A task holds at
@@ -40,10 +40,14 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 2, metric: str = "l2"
                 if metric == "hamming":
                     d = np.stack([np.bitwise_count(v.astype(np.uint8) ^ vecs.astype(np.uint8)).sum(1, dtype=float) for v in x])
                 else:
-                    d = np.stack([np.sqrt(((vecs - v) ** 2).sum(1)) for v in x])
+                    d = np.stack([np.sqrt(((vecs - v) ** 2).sum(1)) for v in x])  # no cancellation, as in |x|^2 + |y|^2 - 2 x y
+                if apart:
+                    d[ids[:, None] == t_ids[None]] = np.inf
                 order = np.lexsort((np.broadcast_to(t_ids, d.shape), d))[:, :k]
-                for column, values in zip(out, (np.repeat(ids, order.shape[1]), t_ids[order].ravel(), np.take_along_axis(d, order, 1).ravel())):
-                    column.append(values)
+                near = np.take_along_axis(d, order, 1).ravel()
+                there = near < np.inf
+                for column, values in zip(out, (np.repeat(ids, order.shape[1]), t_ids[order].ravel(), near)):
+                    column.append(values[there])
         return pa.table(dict(zip(("q_id", "t_id", "distance"), map(np.concatenate, out))))
 
     found = q.groupBy("grp", "part").cogroup(t.groupBy("grp", "part")).applyInArrow(search, "q_id long, t_id long, distance double")

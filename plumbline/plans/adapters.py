@@ -37,14 +37,14 @@ SELECT paper_id, CAST(floor(seq / 2.0) AS INT) + 1 AS page, seq, CASE WHEN seq %
   CAST(100 + (l_partkey * 37) % 900 AS INT) AS width, CAST(100 + (l_suppkey * 53) % 700 AS INT) AS height,
   CAST(1 + l_suppkey % 5 AS INT) AS colour, l_quantity / 100 AS border_white, l_discount * 4 AS border_dark, l_tax * 2 AS dark,
   l_partkey % 3 = 0 AS circle, l_suppkey % 2 = 0 AS centred, (l_partkey % 40) / 200.0 AS hue_sum, CAST(l_suppkey % 30 AS DOUBLE) AS mean_s,
-  CAST(l_partkey % 80 AS DOUBLE) AS std, (l_partkey % 25) / 100.0 AS edge, (l_suppkey % 45) / 100.0 AS interior_white
+  CAST(l_partkey % 80 AS DOUBLE) AS std, (l_partkey % 25) / 100.0 AS edge, (l_suppkey % 45) / 100.0 AS interior_white, CAST(20 + l_partkey % 200 AS DOUBLE) + 0.5 AS radius
 FROM (SELECT *, l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS seq FROM {lineitem}) t
 """
 PIXELS_SPARK = "SELECT p_partkey AS image_id, x, y FROM {part} LATERAL VIEW explode(sequence(0, 23)) a AS x LATERAL VIEW explode(sequence(0, 15)) b AS y"
 PIXELS_DUCK = "SELECT p_partkey AS image_id, CAST(a.x AS INT) AS x, CAST(b.y AS INT) AS y FROM {part}, range(24) a(x), range(16) b(y)"
 PIXELS = """
 SELECT image_id, x, y, CAST((image_id * 13 + x * 5 + y * 3) % 180 AS INT) AS h, CAST((image_id * 7 + x * 11 + y) % 256 AS INT) AS s,
-  CAST((image_id * 31 + x * 17 + y * 7 + x * y) % 256 AS INT) AS v, CAST((image_id * 3 + x * 19 + y * 23) % 997 - 400 AS DOUBLE) AS value
+  CAST((image_id * 31 + x * 17 + y * 7 + x * y) % 256 AS INT) AS v, CAST((image_id * 3 + x * 19 + y * 23) % 997 - 400 AS DOUBLE) AS value, 24 AS w, 16 AS hgt
 FROM ({grid}) t
 """
 ANSWERS = """

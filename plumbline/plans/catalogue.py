@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import archive, captions, figures, matching, metadata, papers
+from .. import stages
 from ..streaming import incremental
 from . import adapters as A
 
@@ -91,11 +92,16 @@ def q06_author_from_text(spark, sf_dir):
     return d.select("doc_id", X.author_of_text(F.col("t"))["last"].alias("last_name"))
 
 
+#: The text of a paper's first page: some name an author, some don't, some can't be read.
+FIRST_PAGE = "CASE id % 4 WHEN 0 THEN concat('on loops. Y. L. Moss1,2 and others, ', title) WHEN 1 THEN '1 2 3' WHEN 2 THEN NULL ELSE 'letter. Ray, K. writes' END"
+OF_TEXT = "CASE id % 4 WHEN 0 THEN 'Moss|Y' WHEN 3 THEN 'Ray|K' END"
+
+
 @query(rf"""
 SELECT id, trim(regexp_replace(regexp_replace(concat({DATE}, ' - ', split_part(a, '|', 1), ', ', split_part(a, '|', 2)), '[/\\:*?"<>|]', '_', 'g'), ' {{2,}}', ' ', 'g')) AS folder
-FROM (SELECT *, coalesce({FIELD}, {BIB}) AS a FROM {P})""".replace("{{2,}}", "{2,}"))
+FROM (SELECT *, coalesce({FIELD}, {OF_TEXT}, {BIB}) AS a FROM {P})""".replace("{{2,}}", "{2,}"))
 def q07_folder_name(spark, sf_dir):
-    p = A.papers(spark, sf_dir).withColumn("a", X.first_author(F.col("authors"), F.col("bibcode"), F.lit(None).cast("string")))
+    p = A.papers(spark, sf_dir).withColumn("a", X.first_author(F.col("authors"), F.col("bibcode"), F.expr(FIRST_PAGE)))
     return p.select("id", X.folder_name(F.col("publication_date"), F.col("a.last"), F.col("a.initial")).alias("folder"))
 
 
@@ -130,12 +136,19 @@ def _scored(spark, sf_dir):
     return figures.score(_deduped(spark, sf_dir))
 
 
-@query(f"""SELECT paper_id, index, raw, is_solar, score, image_type, CASE WHEN small THEN 'too_small' ELSE concat_ws('|', CASE WHEN border_white > 0.5 THEN 'white_background' WHEN border_dark > 0.2 THEN 'dark_background' END,
-  CASE WHEN dark > 0.15 THEN 'dark_region' WHEN dark > 0.05 THEN 'moderate_dark_region' END, CASE WHEN circle AND centred THEN 'full_disk_circle' WHEN circle THEN 'off_center_circle' END,
-  CASE WHEN hue_sum > 0.15 THEN 'aia_false_color' WHEN hue_sum > 0.05 THEN 'aia_weak_color' END, CASE WHEN mean_s < 15 AND circle AND centred THEN 'hmi_grayscale' WHEN mean_s < 15 THEN 'hmi_region' END,
-  CASE WHEN std > 40 AND NOT (circle AND centred) THEN 'high_texture' END, CASE WHEN edge > 0.15 AND interior_white > 0.30 THEN 'scientific_plot' WHEN edge > 0.10 AND interior_white > 0.20 THEN 'possible_diagram' END) END AS signals FROM {S}""")
+PCT = "concat(CAST(CAST(round_even({}::DOUBLE * 100, 0) AS BIGINT) AS VARCHAR), '%')"
+SIGNALS = f"""CASE WHEN small THEN 'too_small' ELSE concat_ws('|', CASE WHEN border_white > 0.5 THEN 'white_background' WHEN border_dark > 0.2 THEN 'dark_background' END,
+  CASE WHEN dark > 0.15 THEN 'dark_region_' || {PCT.format('dark')} WHEN dark > 0.05 THEN 'moderate_dark_region' END,
+  CASE WHEN circle AND centred THEN 'full_disk_circle_r' || CAST(CAST(floor(radius) AS INT) AS VARCHAR) WHEN circle THEN 'off_center_circle' END,
+  CASE WHEN hue_sum > 0.15 THEN 'aia_false_color_' || {PCT.format('hue_sum')} WHEN hue_sum > 0.05 THEN 'aia_weak_color_' || {PCT.format('hue_sum')} END,
+  CASE WHEN mean_s < 15 AND circle AND centred THEN 'hmi_grayscale_sat' || printf('%.1f', mean_s) WHEN mean_s < 15 THEN 'hmi_region_sat' || printf('%.1f', mean_s) END,
+  CASE WHEN std > 40 AND NOT (circle AND centred) THEN 'high_texture_std' || CAST(CAST(round_even(std, 0) AS BIGINT) AS VARCHAR) END,
+  CASE WHEN edge > 0.15 AND interior_white > 0.30 THEN 'scientific_plot_edges' || printf('%.2f', edge::DOUBLE) || '_white' || {PCT.format('interior_white')} WHEN edge > 0.10 AND interior_white > 0.20 THEN 'possible_diagram' END) END"""
+
+
+@query(f"SELECT paper_id, index, raw, is_solar, score, image_type, {SIGNALS} AS signals FROM {S}")
 def q10_score_rules(spark, sf_dir):
-    return _scored(spark, sf_dir).select("paper_id", "index", "raw", "is_solar", "score", "image_type", "signals")
+    return _scored(spark, sf_dir).select("paper_id", "index", "raw", "is_solar", "score", "image_type", F.array_join("signals", "|").alias("signals"))
 
 
 @query(f"""WITH p AS (SELECT *, x < 5 OR y < 5 OR x >= 19 OR y >= 11 AS border, x BETWEEN 3 AND 20 AND y BETWEEN 2 AND 13 AS inner_ FROM {PX})
@@ -286,19 +299,20 @@ def q24_cache_keys(spark, sf_dir):
     return o.select("event_id", archive.cache_key(F.col("paper"), F.col("event_id"), F.col("instrument"), F.col("wavelength"), ts).alias("cache_key"), archive.output_name(F.col("paper"), F.col("event_id")).alias("output"))
 
 
-ARCHIVE = "(SELECT event_id AS record_id, ts, event_type AS instrument FROM events WHERE event_id % 5 <> 0)"
-WATCHED = f"(SELECT * FROM {OBS} WHERE event_id % 5 = 0)"
-FOUND = f"""(SELECT obs_id, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.event_id AS obs_id, a.record_id, a.ts AS a_ts FROM {WATCHED} o JOIN {ARCHIVE} a
-  ON a.ts BETWEEN o.ts - INTERVAL 600 SECOND AND o.ts + INTERVAL 600 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.instrument)) GROUP BY obs_id)"""
+FOUND = f"""(SELECT obs_id, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.event_id AS obs_id, a.event_id AS record_id, a.ts AS a_ts FROM {OBS} o JOIN events a
+  ON a.event_id <> o.event_id AND a.ts BETWEEN o.ts - INTERVAL 60 SECOND AND o.ts + INTERVAL 60 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.event_type)) GROUP BY obs_id)"""
+
+
+def _records(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"), (F.col("event_id") % 4 * 100).alias("wavelength"))
 
 
 def _matched(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    records = e.where("event_id % 5 <> 0").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"))
-    return archive.window_match(A.observations(spark, sf_dir).where("event_id % 5 = 0").withColumnRenamed("event_id", "obs_id"), records, 600)
+    """Every observation, with all other events as its archive."""
+    return archive.window_match(A.observations(spark, sf_dir).withColumnRenamed("event_id", "obs_id"), _records(spark, sf_dir), apart=True)
 
 
-@query(f"SELECT o.event_id AS obs_id, o.instrument, coalesce(f.record_id, -1) AS record_id FROM {WATCHED} o LEFT JOIN {FOUND} f ON o.event_id = f.obs_id")
+@query(f"SELECT o.event_id AS obs_id, o.instrument, coalesce(f.record_id, -1) AS record_id FROM {OBS} o LEFT JOIN {FOUND} f ON o.event_id = f.obs_id")
 def q25_archive_window_match(spark, sf_dir):
     return _matched(spark, sf_dir).select("obs_id", "instrument", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
 
@@ -327,7 +341,7 @@ def q27_crop_bounds(spark, sf_dir):
     return o.withColumn("b", archive.bounds(F.col("strategy"), F.col("tx"), F.col("ty"), fov, F.col("limb"))).select("event_id", "strategy", "b.*")
 
 
-STATUS = f"(SELECT o.event_id, CASE WHEN o.event_id % 35 = 0 THEN 'skipped' WHEN f.record_id IS NULL THEN 'failed' ELSE {CHOSEN} END AS status FROM {WATCHED} o LEFT JOIN {FOUND} f ON o.event_id = f.obs_id)"
+STATUS = f"(SELECT o.event_id, CASE WHEN o.event_id % 35 = 0 THEN 'skipped' WHEN f.record_id IS NULL THEN 'failed' ELSE {CHOSEN} END AS status FROM {OBS} o LEFT JOIN {FOUND} f ON o.event_id = f.obs_id)"
 
 
 @query(f"SELECT s.status, count(event_id) AS n FROM (VALUES ('strategy_a'), ('strategy_b'), ('strategy_c'), ('skipped'), ('failed')) s(status) LEFT JOIN {STATUS} t ON s.status = t.status GROUP BY s.status")
@@ -341,12 +355,14 @@ def q29_minmax_uint8(spark, sf_dir):
     return archive.to_uint8(A.pixels(spark, sf_dir)).groupBy("image_id").agg(F.sum("u8").alias("total"), F.min("u8").alias("least"), F.max("u8").alias("most"))
 
 
-KNN = "(SELECT q_id, t_id, d, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS k FROM (SELECT q.vec_id AS q_id, t.vec_id AS t_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM embeddings q, embeddings t WHERE q.vec_id < 40 AND t.vec_id >= 40))"
+KNN = "(SELECT q_id, t_id, d, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS k FROM (SELECT q.vec_id AS q_id, t.vec_id AS t_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM embeddings q, embeddings t WHERE q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id))"
 
 
 def _neighbours(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return matching.nearest(e.where("vec_id < 40").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), e.where("vec_id >= 40").select(F.col("vec_id").alias("t_id"), F.col("embedding").alias("vec")))
+    """The two nearest others of every vector whose id is divisible by 50, the stated query set."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
+    return matching.nearest(q, e.select(F.col("vec_id").alias("t_id"), F.col("embedding").alias("vec")), apart=True)
 
 
 @query(f"SELECT a.q_id, a.t_id, round(a.d, 6) AS d1, round(b.d, 6) AS d2 FROM {KNN} a JOIN {KNN} b ON a.q_id = b.q_id AND a.k = 1 AND b.k = 2 WHERE a.d < 0.95 * b.d")
@@ -381,22 +397,25 @@ def q33_resume_antijoin(spark, sf_dir):
     return archive.cached(archive.pending(e, done, "event_id"), cache).select("event_id", "cached")
 
 
-@query()
+@query("SELECT event_id, ts, event_type FROM events")
 def q34_incremental_runner(spark, sf_dir):
-    """Strategies of the events stream; the folders are this run's own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    root = f"{top.rstrip('/')}/incremental-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark)))):x}"
+    """All events through an incremental run whose folders are this run's own."""
+    root = f"{incremental.shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     return incremental.run_available(spark, f"{sf_dir}/events.parquet*", source.schema, lambda s: s.select("event_id", "ts", "event_type"), f"{root}/sink", f"{root}/checkpoint")
 
 
-@query()
+@query("""SELECT user_id AS pair_id, count(*) AS matches, CASE WHEN count(*) > 10 THEN count(*) FILTER (event_id % 4 <> 0 OR 2 * (event_id * 53 % 701) ** 2 <= 9) ELSE 0 END AS inliers,
+  CASE WHEN count(*) > 10 THEN 0.8::DOUBLE END AS a, CASE WHEN count(*) > 10 THEN 0.3::DOUBLE END AS b,
+  count(*) > 10 AND count(*) FILTER (event_id % 4 <> 0 OR 2 * (event_id * 53 % 701) ** 2 <= 9) > 15 AS accepted FROM events GROUP BY user_id""")
 def q35_ransac_similarity(spark, sf_dir):
+    """A planted transform (a = 0.8, b = 0.3) behind a quarter of strayed points."""
     e = F.col("event_id")
     x, y = (e * 37 % 1009).cast("double"), (e * 91 % 983).cast("double")
     noise = F.when(e % 4 == 0, (e * 53 % 701).cast("double")).otherwise(0.0)
     points = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("pair_id"), x.alias("qx"), y.alias("qy"), (0.8 * x - 0.3 * y + 12 + noise).alias("tx"), (0.3 * x + 0.8 * y - 7 - noise).alias("ty"))
-    return matching.fit_similarity(points, rounds=100)
+    f = matching.fit_similarity(points, rounds=100)
+    return f.select("pair_id", "matches", "inliers", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "accepted")
 
 
 @query(f"SELECT paper_id, page, substr(string_agg(text, chr(10) ORDER BY block_no), 1, 8000) AS page_text FROM {B} GROUP BY paper_id, page")
@@ -404,39 +423,96 @@ def q36_page_text(spark, sf_dir):
     return captions.page_text(A.blocks(spark, sf_dir))
 
 
-KNN_ALL = "(SELECT q_id, t_id, d, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS k FROM (SELECT q.vec_id AS q_id, t.vec_id AS t_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM embeddings q, embeddings t WHERE q.vec_id <> t.vec_id))"
+LOGGED = f"""(SELECT paper_id, count(*) AS n, count(*) FILTER (is_solar AND score >= 0.25) AS saved, string_agg(concat_ws(' ', index, page, concat(width, 'x', height), CASE colour WHEN 1 THEN 'gray' WHEN 3 THEN 'rgb' WHEN 4 THEN 'cmyk' ELSE concat('cs', colour) END,
+  'png', is_solar, printf('%.3f', score), {SIGNALS}, image_type), chr(10) ORDER BY index) AS entries FROM {S} GROUP BY paper_id)"""
 
 
-@query(f"SELECT a.q_id, a.t_id, round(a.d, 6) AS d1, round(b.d, 6) AS d2 FROM {KNN_ALL} a JOIN {KNN_ALL} b ON a.q_id = b.q_id AND a.k = 1 AND b.k = 2 WHERE a.d < 0.95 * b.d")
-def q37_knn_ratio_all(spark, sf_dir):
-    """q30 with every vector as a query against all others."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    three = matching.nearest(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("t_id"), F.col("embedding").alias("vec")), k=3)
-    # Of the three nearest, the vector itself goes; two at least are left.
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "t_id"))
-    others = three.where("q_id <> t_id").withColumn("rank", rank)
-    return matching.ratio_matches(others.where("rank <= 2"), 0.95).select("q_id", "t_id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+@query(f"""SELECT id AS paper_id, coalesce(title, '') AS title, publication_date, bibcode, doi, ads_url, concat(replace(coalesce({FIELD}, {BIB}), '|', ', ')) AS first_author,
+  CAST(coalesce(n, 0) AS INT) AS total_images_found, CAST(coalesce(saved, 0) AS INT) AS solar_images_saved, 0.25::DOUBLE AS min_score_threshold, coalesce(entries, '') AS entries FROM {P} LEFT JOIN {LOGGED} ON id = paper_id""")
+def q37_extraction_log(spark, sf_dir):
+    p = A.papers(spark, sf_dir).withColumn("a", X.first_author(F.col("authors"), F.col("bibcode"), F.lit(None).cast("string"))).select("*", "a.*")
+    i = _scored(spark, sf_dir).withColumns({"color_space": X.colour_space(F.col("colour")), "encoding": F.lit("png")})
+    log = figures.extraction_log(i, p)
+    line = lambda e: F.concat_ws(" ", e["index"], e["page"], e["size"], e["color_space"], e["encoding"], e["is_solar"], F.format_string("%.3f", e["score"]), F.array_join(e["signals"], "|"), e["image_type"])
+    return log.withColumn("entries", F.array_join(F.transform("images", line), "\n")).drop("images")
 
 
-FOUND_ALL = f"""(SELECT obs_id, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.event_id AS obs_id, a.event_id AS record_id, a.ts AS a_ts FROM {OBS} o JOIN events a
-  ON a.event_id <> o.event_id AND a.ts BETWEEN o.ts - INTERVAL 600 SECOND AND o.ts + INTERVAL 600 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.event_type)) GROUP BY obs_id)"""
+# --- whole stages, on stand-ins that SQL can follow ---------------------------------------------------
 
+FOLDER = rf"""trim(regexp_replace(regexp_replace(concat({DATE}, ' - ', replace(coalesce({FIELD}, {BIB}), '|', ', ')), '[/\\:*?"<>|]', '_', 'g'), ' {{2,}}', ' ', 'g'))"""
+PAPER = f"(SELECT id, concat({FOLDER}, ' ', id) AS folder, replace(coalesce({FIELD}, {BIB}), '|', ', ') AS author FROM {P})"
 
-def _matched_all(spark, sf_dir):
-    """q25's match for every observation, with all other events as its archive."""
-    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"))
-    return archive.window_match(A.observations(spark, sf_dir).withColumnRenamed("event_id", "obs_id"), records, 600, apart=True)
 
+def _papers(spark, sf_dir):
+    """Papers in folders of their own: many of the test papers have one author and date."""
+    return stages.folders(A.papers(spark, sf_dir)).withColumn("folder", F.concat_ws(" ", "folder", "id"))
 
-@query(f"SELECT o.event_id AS obs_id, o.instrument, coalesce(f.record_id, -1) AS record_id FROM {OBS} o LEFT JOIN {FOUND_ALL} f ON o.event_id = f.obs_id")
-def q38_archive_match_all(spark, sf_dir):
-    return _matched_all(spark, sf_dir).select("obs_id", "instrument", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
 
+def _halves(texts):
+    """A stand-in classifier: texts of even length are flares, others a plage below the threshold."""
+    return [("Flare", 0.5) if len(t) % 2 == 0 else ("Plage", 0.05) for t in texts]
 
-STATUS_ALL = f"(SELECT o.event_id, CASE WHEN o.event_id % 35 = 0 THEN 'skipped' WHEN f.record_id IS NULL THEN 'failed' ELSE {CHOSEN} END AS status FROM {OBS} o LEFT JOIN {FOUND_ALL} f ON o.event_id = f.obs_id)"
 
+class _Even:
+    """A stand-in model: sure where the prompt's length is even, without an object where it is odd."""
 
-@query(f"SELECT s.status, count(event_id) AS n FROM (VALUES ('strategy_a'), ('strategy_b'), ('strategy_c'), ('skipped'), ('failed')) s(status) LEFT JOIN {STATUS_ALL} t ON s.status = t.status GROUP BY s.status")
-def q39_status_counts_all(spark, sf_dir):
-    m = _matched_all(spark, sf_dir)
-    return archive.status_counts(m.select(archive.status(F.col("obs_id") % 35 == 0, F.col("record_id"), _strategy()).alias("status")))
+    def __call__(self, prompts):
+        return ['{"instrument": "AIA", "confidence": "high"}' if len(p) % 2 == 0 else "no idea" for p in prompts]
+
+
+@query(f"""SELECT k.paper_id, k.index, k.name, p.folder, k.index % 3 > 0 AS saved FROM
+  (SELECT *, printf('solar_%03d_p%d_%s', row_number() OVER (PARTITION BY paper_id ORDER BY index), page, image_type) AS name FROM {S} WHERE is_solar AND score >= 0.4) k JOIN {PAPER} p ON p.id = k.paper_id""")
+def q38_extract_stage(spark, sf_dir):
+    p, sights = _papers(spark, sf_dir), A.image_refs(spark, sf_dir)
+    names = stages.extract_figures(p, sights, min_score=0.4).kept.where("index % 3 > 0").join(p.select(F.col("id").alias("paper_id"), "folder"), "paper_id")
+    x = stages.extract_figures(p, sights, min_score=0.4, files=names.select("folder", F.concat("name", F.lit(".png")).alias("name")))
+    return x.kept.select("paper_id", "index", "name", "folder", "saved")
+
+
+BLANK = f"(SELECT *, substr({SQUEEZE.format(LABEL_OFF)}, 1, 512) AS cleaned FROM (SELECT *, caption_text AS t FROM {NEAR}))"
+STRUCTURED = f"""(SELECT *, printf('solar_%03d_p%d_%s', row_number() OVER (PARTITION BY paper_id ORDER BY index), page, image_type) AS name,
+  CASE WHEN cleaned <> '' AND length(cleaned) % 2 = 0 THEN 'Flare' ELSE 'Other' END AS label, CASE WHEN cleaned = '' THEN 0.0::DOUBLE WHEN length(cleaned) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END AS sure FROM {BLANK} WHERE is_solar)"""
+
+
+@query(f"""SELECT concat(folder, '.pdf') AS paper_filename, concat('papers/', folder, '.pdf') AS paper_path, concat('images/', folder, '/', name, '.png') AS image_path, figure_label, caption_text,
+  label AS structure_label, sure AS structure_confidence, match AS caption_match_confidence, image_type, score AS classifier_score FROM {STRUCTURED} JOIN {PAPER} ON id = paper_id""")
+def q39_label_stage(spark, sf_dir):
+    return stages.label_figures(_scored(spark, sf_dir), A.blocks(spark, sf_dir), _papers(spark, sf_dir), _halves)
+
+
+ASKED = f"""(SELECT i.*, caption_text <> '' OR paragraphs IS NOT NULL AS asked, concat('Figure: ', CASE WHEN figure_label = '' THEN '(unknown)' ELSE figure_label END, chr(10), 'Caption: ', CASE WHEN caption_text = '' THEN '(none)' ELSE caption_text END, chr(10), 'Text:', chr(10),
+  CASE WHEN paragraphs IS NULL THEN '(none)' ELSE '- ' || replace(paragraphs, '¶', chr(10) || '- ') END) AS prompt FROM {STRUCTURED} i LEFT JOIN {LISTS} l ON i.paper_id = l.paper_id AND figure_key = regexp_extract(figure_label, '(\\d+[a-zA-Z]?)$', 1))"""
+
+
+@query(f"""SELECT id AS paper_id, author AS paper_authors, CASE WHEN id % 7 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_observations, CASE WHEN id % 7 = 0 THEN 'skipped' WHEN n > 0 THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN id % 7 = 0 THEN 0 ELSE coalesce(high, 0) END AS n_high, CASE WHEN id % 7 = 0 THEN 0 ELSE coalesce(flares, 0) END AS n_flares FROM {PAPER} LEFT JOIN
+  (SELECT paper_id, count(*) AS n, count(*) FILTER (asked AND length(prompt) % 2 = 0) AS high, count(*) FILTER (label = 'Flare') AS flares FROM {ASKED} GROUP BY paper_id) ON id = paper_id""")
+def q40_metadata_stage(spark, sf_dir):
+    p = _papers(spark, sf_dir).select(F.col("id").alias("paper_id"), F.concat("last", F.lit(", "), "initial").alias("first_author"), F.lit(None).cast("string").alias("pdf_author"))
+    d = stages.extract_metadata(_scored(spark, sf_dir), A.blocks(spark, sf_dir), p, _halves, _Even, p.where("paper_id % 7 = 0"))
+    count = lambda x: F.coalesce(F.regexp_count("observations", F.lit(x)), F.lit(0))
+    return d.select("paper_id", "paper_authors", "n_observations", "status", count('"confidence":"high"').alias("n_high"), count('"phenomenon":"Flare"').alias("n_flares"))
+
+
+PLACED = f"(SELECT *, row_number() OVER (PARTITION BY paper ORDER BY event_id) - 1 AS place FROM {OBS})"
+HIT = f"""(SELECT paper, place, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.paper, o.place, a.event_id AS record_id, a.ts AS a_ts FROM {PLACED} o JOIN events a
+  ON a.ts BETWEEN date_trunc('second', o.ts) - INTERVAL 60 SECOND AND date_trunc('second', o.ts) + INTERVAL 60 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.event_type)
+  AND (coalesce(o.wavelength, 0) = 0 OR o.wavelength = a.event_id % 400)) GROUP BY ALL)"""
+
+
+@query(f"""SELECT paper, event_index, status, CASE WHEN status = 'skipped' OR event_index % 9 = 4 THEN -1 ELSE coalesce(record_id, -1) END AS record_id, cache_key, tx_min, ty_max FROM (
+  SELECT o.paper, CAST(o.place AS INT) AS event_index, record_id, CASE WHEN o.place % 35 = 0 THEN 'skipped' WHEN record_id IS NULL AND o.place % 9 <> 4 THEN 'failed' ELSE strategy END AS status,
+    concat({SAFE.format('o.paper')}, '__', printf('%03d', o.place), '__', {SAFE.format("coalesce(nullif(instrument, ''), 'unknown')")}, '__', coalesce(CAST(nullif(wavelength, 0) AS VARCHAR), 'na'), '__', {SAFE.format("strftime(ts, '%Y-%m-%dT%H:%M:%S')")}, '.fits') AS cache_key,
+    {_side("tx - coalesce(fov, 300) / 2", "x0", "-1200")} AS tx_min, {_side("ty + coalesce(fov, 300) / 2", "y1", "1200")} AS ty_max
+  FROM (SELECT *, {CHOSEN} AS strategy FROM {PLACED}) o LEFT JOIN {LIMBS} ON limb = pos LEFT JOIN {HIT} h ON h.paper = o.paper AND h.place = o.place)""")
+def q41_query_stage(spark, sf_dir):
+    o = A.observations(spark, sf_dir)
+    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    fov = F.when(F.col("fov").isNotNull(), F.array("fov", "fov"))
+    one = F.struct("event_id", ts.alias("timestamp_start"), "instrument", F.nullif(F.col("wavelength").cast("string"), F.lit("0")).alias("wavelength_angstrom"), F.col("limb").alias("limb_position"), fov.alias("fov_arcsec"), F.col("tx").alias("center_tx_arcsec"), F.col("ty").alias("center_ty_arcsec"), "confidence")
+    docs = o.groupBy("paper").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("observations")).withColumn("status", F.lit("success"))
+    e = stages.events_of(docs)
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"), (F.col("event_id") % 400).cast("int").alias("wavelength"))
+    cache = e.where("event_index % 9 = 4").select("cache_key", F.concat(F.lit("/cache/"), "cache_key").alias("path"))
+    m = stages.match_observations(e, records, e.where("event_index % 35 = 0").select("output"), cache)
+    return m.select("paper", F.col("event_index").cast("int").alias("event_index"), "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"), "cache_key", "bounds.tx_min", "bounds.ty_max")

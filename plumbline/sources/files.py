@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import os
 import shutil
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -65,6 +67,23 @@ def write_documents(docs: DataFrame, root: str, key: str, body: str) -> None:
     docs.select(key, F.col(body).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(root)
 
 
+def write_json_files(docs: DataFrame, root: str) -> None:
+    """<folder>.json a row of (folder, json) under root, a folder that all executors share; written by the
+    executors, whole or absent."""
+
+    def run(batches):
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            for folder, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = os.path.join(root, f".{folder}.{uuid.uuid4().hex}")
+                with open(own, "w", encoding="utf-8") as f:
+                    f.write(body)
+                os.replace(own, os.path.join(root, f"{folder}.json"))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    docs.select("folder", "json").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def copy_once(files: DataFrame, root: str) -> DataFrame:
     """Copies (path, name, length) rows whose file is absent or of another size under root, a folder
     all executors share: name, copied."""
