@@ -5,9 +5,14 @@ A string of `length` bytes holds the same minimizer wherever it stands, so two e
 anchor: a gram of bytes at one place in both. Anchors that occur in one document alone can't be
 part of a repeat; the others are dealt by content, with what surrounds them. All different
 surroundings of an anchor make one text, whose suffix array by linear grouping (lyndon.py) decides
-which strings are equal: neighbours in suffix order with `length` bytes in common. An anchor of very
-many surroundings is split by the bytes that its strings share. Bytes move in packed blocks, a few
-rows a task, and no document, anchor or match goes to the driver.
+which strings are equal: neighbours in suffix order with `length` bytes in common. An anchor of many
+surroundings is split by the bytes that its strings share.
+
+Of what many documents share, each flush of rows settles what it can by itself, as a string goes
+where any smaller document has it, and sends its first holders alone. The few anchors that are hot
+none the less (in 20,000 places and more) are dealt by their strings and not by themselves, so none
+meets in one task. Bytes move in packed blocks, and no document, anchor of few or match goes to the
+driver.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import give_back, join_checked, map_arrow, materialize, mix64, partitions
@@ -34,6 +40,9 @@ ROWS = 8_000
 NONE = np.iinfo(np.int64).max
 #: A text of more than HOT rows is met by them in SALTS tasks.
 HOT, SALTS = 256, 32
+#: An anchor so often in a million is combined before it is sent; one in so many places is hot, and about
+#: so many are hot at most, as more places are asked for beyond.
+REPEATED, HOT_ANCHOR, MOST_HOT = 16, 20_000, 20_000
 
 
 def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +89,29 @@ def _deal(key: np.ndarray, n: int):
         yield int(d[part[0]]), part
 
 
+# Messages between the stages: packed columns of numbers, and rows of bytes, for one deal.
+COLUMNS = [f"x{k}" for k in range(6)]
+MESSAGE = f"deal long, kind int, {', '.join(f'{c} binary' for c in COLUMNS)}, rows binary"
+_SCHEMA = pa.schema([("deal", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in [*COLUMNS, "rows"])])
+
+
+def _send(kind: int, key: np.ndarray, n: int, columns: list[np.ndarray], rows: np.ndarray | None = None) -> list[dict]:
+    return [{"deal": deal, "kind": kind, "rows": None if rows is None else rows[at].tobytes()} | {c: _pack(x[at]) for c, x in zip(COLUMNS, columns)} for deal, at in _deal(key, n)]
+
+
+def _received(table: pa.Table, kind: int, n: int) -> list[np.ndarray]:
+    """The first n columns of a kind's messages, and their rows of bytes one after another."""
+    own = table.filter(pc.equal(table.column("kind"), kind))
+    raw = b"".join(x for x in own.column("rows").to_pylist() if x is not None)
+    return [*(_unpack(own.column(c).to_pylist()) for c in COLUMNS[:n]), np.frombuffer(raw, np.uint8)]
+
+
+def _least(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, NONE)
+    np.minimum.at(out, of, values)
+    return out
+
+
 def _bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -206,15 +238,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
     side = length - GRAM
     span = GRAM + 2 * side
     n = partitions(docs.sparkSession)
-    # Rows of one doc_id may hold several texts: mark tells them apart.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("mark", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
 
     def digest(batches):
         for b in batches:
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), b.column(2)], ["doc_id", "n_bytes", "whole", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary())], ["doc_id", "own", "n_bytes", "whole"])
 
-    known = materialize(texts.where("doc_id is not null").transform(map_arrow, digest, "doc_id long, n_bytes long, whole binary, mark long").where(F.col("n_bytes") >= length), "texts")
+    own = F.pmod(F.xxhash64("text"), F.lit(1 << 62)) + 1
+    known = materialize(texts.where("doc_id is not null").withColumn("own", own).transform(map_arrow, digest, "doc_id long, own long, n_bytes long, whole binary").where(F.col("n_bytes") >= length), "texts")
+    # Rows of one doc_id may hold several texts: mark tells them apart, and is 0 elsewhere.
+    several = materialize(known.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several")), "several")
+    n_several = several.count()
+
+    def marked_rows(rows, own):
+        if not n_several:
+            return rows.withColumn("mark", F.lit(0).cast("long"))
+        rows = join_checked(rows, several, "doc_id", "left", n_several, 24)
+        return rows.withColumn("mark", F.when(F.col("several"), own).otherwise(F.lit(0)).cast("long")).drop("several")
+
+    known, texts = marked_rows(known, F.col("own")), marked_rows(texts, own)
     # Copies: all of a text that stands in a document with a smaller doc_id goes.
     first = known.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     first = materialize(first, "first")
@@ -224,117 +267,195 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
     if n_hot:  # one text may be a third of all rows: they meet its first holder in SALTS tasks
         hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = join_checked(known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), hot, ["whole", "salt"], "left", n_hot * SALTS, 48)
-    own = ["doc_id", "mark"]
-    pairs = (rows.where("hot is null") if n_hot else rows).join(first.where(F.col("c") <= HOT), "whole").select(*own, "first")
+    key = ["doc_id", "mark"]
+    pairs = (rows.where("hot is null") if n_hot else rows).join(first.where(F.col("c") <= HOT), "whole").select(*key, "first")
     if n_hot:
-        pairs = pairs.unionByName(rows.where("hot is not null").select(*own, F.col("hot").alias("first")))
+        pairs = pairs.unionByName(rows.where("hot is not null").select(*key, F.col("hot").alias("first")))
     copies = materialize(pairs.where("doc_id > first").select("doc_id", "mark").distinct(), "copies")
     n_copies = copies.count()
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     deals = int(max(2 * n, total // (16 << 20) + 1))
     left = join_checked(texts.where("doc_id is not null and text is not null"), copies, ["doc_id", "mark"], "left_anti", n_copies, 48)
 
-    def find_anchors(batches):
-        def flush(ids, hashes, marks_):
-            h, d = np.concatenate(hashes), np.repeat(np.array(marks_, np.int64), [len(x) for x in hashes])
-            i = np.concatenate(ids)
-            rows = [(deal, _pack(h[p] & np.uint64((1 << 48) - 1)), _pack(d[p]), _pack(i[p])) for deal, p in _deal(h, deals)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["deal", "h", "mark", "i"])
+    hot_least = max(HOT_ANCHOR, total // (15 * MOST_HOT))  # there is an anchor in about 15 bytes
 
-        ids, hashes, marks_, size = [], [], [], 0
+    def find_anchors(batches):
+        def flush(ids, hashes, rows):
+            h = (np.concatenate(hashes) & np.uint64((1 << 48) - 1)).view(np.int64)
+            of, i = np.array(rows, np.int64).reshape(-1, 2).repeat([len(x) for x in hashes], 0), np.concatenate(ids)
+            order = np.argsort(h, kind="stable")
+            h, d, m, i = h[order], of[order, 0], of[order, 1], i[order]
+            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            width = np.diff(np.append(begin, len(h)))
+            low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+            # An anchor that repeats here in several documents is shared for sure: two occurrences, with the
+            # number of all, stand for it where it meets the others'.
+            many = np.repeat((width >= REPEATED) & (low != high), width)
+            group, weight, sent = np.repeat(np.arange(len(begin)), width), np.ones(len(h), np.int64), ~many
+            for side_ in (low, high):
+                at = np.flatnonzero(many & (d == side_[group]))
+                _, one = np.unique(group[at], return_index=True)
+                sent[at[one]] = True
+                if side_ is low:
+                    weight[at[one]] = width[group[at[one]]] - 1
+            sure = ~sent
+            out = _send(0, h[sent].view(np.uint64), deals, [h[sent], d[sent], m[sent], i[sent], weight[sent]])
+            return pa.RecordBatch.from_pylist(out + _send(1, mix64(d[sure].view(np.uint64)), deals, [d[sure], m[sure], i[sure]]), _SCHEMA)
+
+        ids, hashes, rows, size = [], [], [], 0
         for b in batches:
-            for mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, mark, text in zip(*(c.to_pylist() for c in b.columns)):
                 at, h = anchors(_bytes_of(text), length)
                 if len(at):
                     ids.append(np.arange(len(at)))
                     hashes.append(h)
-                    marks_.append(mark)
+                    rows.append((doc, mark))
                     size += len(at)
                 if size > 1_000_000:
-                    yield flush(ids, hashes, marks_)
-                    ids, hashes, marks_, size = [], [], [], 0
-        if marks_:
-            yield flush(ids, hashes, marks_)
+                    yield flush(ids, hashes, rows)
+                    ids, hashes, rows, size = [], [], [], 0
+        if rows:
+            yield flush(ids, hashes, rows)
 
     def shared(table):
-        h, d, i = (_unpack(table.column(c).to_pylist()) for c in ("h", "mark", "i"))
+        h, d, m, i, weight, _ = _received(table, 0, 5)
+        sure = _received(table, 1, 3)
         order = np.argsort(h, kind="stable")
-        h, d, i = h[order], d[order], i[order]
-        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        width = np.diff(np.append(begin, len(h)))
-        two = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        keep = np.repeat(two, width)
-        d, i = d[keep], i[keep]
-        del h, order, keep
+        h, d, m, i, weight = (x[order] for x in (h, d, m, i, weight))
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+        out = []
+        if len(begin):
+            two = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+            hot = h[begin[two & (np.add.reduceat(weight, begin) >= hot_least)]]
+            if len(hot):
+                out.append({"deal": -1, "kind": 1, "x0": _pack(hot)})
+            keep = np.repeat(two, np.diff(np.append(begin, len(h))))
+            d, m, i = d[keep], m[keep], i[keep]
+        d, m, i = (np.concatenate(x) for x in zip((d, m, i), sure[:3]))
+        del h, order, weight
         give_back()
-        rows = [(deal, _pack(d[p]), _pack(i[p])) for deal, p in _deal(mix64(d.view(np.uint64)), deals)]
-        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), "mark": pa.array([r[1] for r in rows], pa.binary()), "i": pa.array([r[2] for r in rows], pa.binary())})
+        return pa.Table.from_pylist(out + _send(0, mix64(d.view(np.uint64)), deals, [d, m, i]), _SCHEMA)
 
     def by_document(table):
-        d, i = (_unpack(table.column(c).to_pylist()) for c in ("mark", "i"))
-        order = np.lexsort((i, d))
-        d, i = d[order], i[order]
-        cuts = np.flatnonzero(np.diff(d)) + 1
-        parts = np.split(i, cuts)
-        return pa.table({"mark": pa.array(d[np.concatenate(([0], cuts))] if len(d) else d, pa.int64()), "at": pa.array([p.astype("<u4").tobytes() for p in parts if len(p)], pa.binary())})
-
-    found = left.select("mark", "text").transform(map_arrow, find_anchors, "deal long, h binary, mark binary, i binary").groupBy("deal").applyInArrow(shared, "deal long, mark binary, i binary")
-    marks = materialize(found.groupBy("deal").applyInArrow(by_document, "mark long, at binary"), "marks")
+        """Which of a row's anchors are shared: one bit an anchor. The hot anchors stand in a row without
+        doc_id."""
+        d, m, i, _ = _received(table, 0, 3)
+        order = np.lexsort((i, m, d))
+        d, m, i = d[order], m[order], i[order]
+        cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(m) != 0)) + 1
+        first = np.concatenate(([0], cuts)) if len(d) else np.empty(0, np.int64)
+        bits = []
+        for part in np.split(i, cuts) if len(d) else []:
+            flags = np.zeros(part[-1] + 1, bool)
+            flags[part] = True
+            bits.append(np.packbits(flags).tobytes())
+        ids, marks = d[first].tolist(), m[first].tolist()
+        hot = _received(table, 1, 1)[0]
+        if len(hot):
+            ids, marks, bits = [*ids, None], [*marks, None], [*bits, hot.tobytes()]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "at": pa.array(bits, pa.binary())})
+
+    found = left.select("doc_id", "mark", "text").transform(map_arrow, find_anchors, MESSAGE).groupBy("deal").applyInArrow(shared, MESSAGE)
+    marks = materialize(found.groupBy("deal").applyInArrow(by_document, "doc_id long, mark long, at binary"), "marks")
+    hot_anchors = np.unique(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(bytes(r["at"]), np.int64) for r in marks.where("doc_id is null").collect())]))
+    marks = marks.where("doc_id is not null")
     n_marks, mark_bytes = marks.agg(F.count("*"), F.coalesce(F.sum(F.length("at")), F.lit(0))).first()
-    marked = join_checked(left, marks, "mark", "inner", 1, int(mark_bytes) + 128 * n_marks).select("doc_id", "mark", "text", "at")
+    marked = join_checked(left, marks, ["doc_id", "mark"], "inner", 1, int(mark_bytes) + 128 * n_marks).select("doc_id", "mark", "text", "at")
 
     def surroundings(batches):
-        def flush(h, d, m, p, lead, tail, rows):
-            h, d, m, p, lead, tail, rows = (np.concatenate(x) for x in (h, d, m, p, lead, tail, rows))
-            out = [(deal, *(_pack(x[k]) for x in (h, d, m, p, lead, tail)), rows[k].tobytes()) for deal, k in _deal(mix64(h), deals)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 8))], ["deal", "h", "doc", "mark", "p", "lead", "tail", "around"])
+        """Kind 0: surroundings; 1: strings of hot anchors; 2: spans that go for sure. What stands in a
+        smaller document of the same flush needs no other task; only first holders meet the others', so a
+        surrounding or string that all documents share is sent once a flush."""
 
-        got, size = ([], [], [], [], [], [], []), 0
+        def flush(*got):
+            h, d, m, p, lead, tail = (np.concatenate(x) for x in got[:6])
+            rows, out = np.concatenate(got[6]), []
+            gone = [[np.empty(0, np.int64)] for _ in range(4)]
+
+            def cut(at, lo, hi):
+                for x, y in zip(gone, (d[at], m[at], lo, hi)):
+                    x.append(y)
+
+            hot = np.isin(h, hot_anchors)
+            plain = np.flatnonzero(~hot)
+            if len(plain):
+                one, of = _classes(np.concatenate([np.stack([h, lead, tail], 1)[plain].view("<u8"), _wide(rows[plain])], 1))
+                first = d[plain] == _least(d[plain], of, len(one))[of]
+                x = plain[~first]
+                cut(x, p[x] - lead[x], p[x] + GRAM + tail[x])
+                x = plain[first]
+                out += _send(0, mix64(h[x].view(np.uint64)), deals, [h[x], d[x], m[x], p[x], lead[x], tail[x]], rows[x])
+            hot = np.flatnonzero(hot)
+            for c in range(0, len(hot), 10_000):
+                row, o = np.nonzero((np.arange(side + 1)[None] >= side - lead[hot[c : c + 10_000], None]) & (np.arange(side + 1)[None] <= tail[hot[c : c + 10_000], None]))
+                row += c
+                strings = np.lib.stride_tricks.sliding_window_view(rows[hot[c : c + 10_000]], length, axis=1)[row - c, o]
+                one, of = _classes(_wide(strings))
+                row = hot[row]
+                first = d[row] == _least(d[row], of, len(one))[of]
+                lo = p[row] - side + o
+                go = np.flatnonzero(~first)  # in runs: row by row, string after string
+                new = np.flatnonzero(np.append(True, (row[go][1:] != row[go][:-1]) | (o[go][1:] != o[go][:-1] + 1))) if len(go) else go
+                cut(row[go[new]], lo[go[new]], lo[go[np.append(new[1:], len(go)) - 1]] + length)
+                key = np.zeros(len(one), np.uint64)
+                for w in _wide(strings[one]).T:
+                    key = mix64(key * _P[1] + w)
+                out += _send(1, key[of[first]], deals, [d[row[first]], m[row[first]], lo[first]], strings[first])
+            ids, marks_, lo, hi = (np.concatenate(x) for x in gone)
+            return pa.RecordBatch.from_pylist(out + _send(2, mix64(ids.view(np.uint64)), deals, [ids, marks_, lo, hi]), _SCHEMA)
+
+        got, size = [[] for _ in range(7)], 0
         for b in batches:
             for doc, mark, text, at in zip(*(c.to_pylist() for c in b.columns)):
                 raw = _bytes_of(text)
-                place, h = anchors(raw, length)
-                i = np.frombuffer(at, "<u4").astype(np.int64)
-                i = i[i < len(place)]  # marks of two texts may be equal, at odds of 1 in 2**64
-                place, h = place[i], h[i]
+                every, hashes = anchors(raw, length)
+                some = np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8))[: len(every)])
                 full = np.zeros(len(raw) + 2 * side, np.uint8)
                 full[side : side + len(raw)] = raw
-                for x, y in zip(got, (h, np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
-                    x.append(y)
-                size += len(h)
-                if size > 100_000:
-                    yield flush(*got)
-                    got, size = ([], [], [], [], [], [], []), 0
+                for c in range(0, len(some), 100_000):
+                    place, h = every[some[c : c + 100_000]], hashes[some[c : c + 100_000]].view(np.int64)
+                    for x, y in zip(got, (h, np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
+                        x.append(y)
+                    size += len(h)
+                    if size >= 100_000:
+                        yield flush(*got)
+                        got, size = [[] for _ in range(7)], 0
         if size:
             yield flush(*got)
 
     def repeats(table):
-        h, d, m, p, lead, tail = (_unpack(table.column(c).to_pylist()) for c in ("h", "doc", "mark", "p", "lead", "tail"))
-        around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint8).reshape(-1, span)
-        # Equal surroundings count once, with their least document.
-        one, of = _classes(np.concatenate([np.stack([h, lead, tail], 1).view("<u8"), _wide(around)], 1))
-        low = np.full(len(one), NONE)
-        np.minimum.at(low, of, d)
-        least = first_holders(around[one], h[one], low, lead[one], tail[one], length)
-        ids, own, lo, hi = [], [], [], []
-        for c in range(0, len(h), 100_000):
-            gone = least[of[c : c + 100_000]] < d[c : c + 100_000, None]
-            hit = gone.any(1)
-            start = p[c : c + 100_000] - side
-            ids.append(d[c : c + 100_000][hit])
-            own.append(m[c : c + 100_000][hit])
-            lo.append((start + gone.argmax(1))[hit])
-            hi.append((start + gone.shape[1] - 1 - gone[:, ::-1].argmax(1) + length)[hit])
-        ids, own, lo, hi = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ids, own, lo, hi))
-        del least, around
+        h, d, m, p, lead, tail, around = _received(table, 0, 6)
+        around = around.reshape(-1, span)
+        gone = _received(table, 2, 4)[:4]
+        ids, own, lo, hi = ([x] for x in gone)
+        if len(h):
+            # Equal surroundings count once, with their least document.
+            one, of = _classes(np.concatenate([np.stack([h, lead, tail], 1).view("<u8"), _wide(around)], 1))
+            least = first_holders(around[one], h[one], _least(d, of, len(one)), lead[one], tail[one], length)
+            for c in range(0, len(h), 100_000):
+                less = least[of[c : c + 100_000]] < d[c : c + 100_000, None]
+                hit = less.any(1)
+                start = p[c : c + 100_000] - side
+                ids.append(d[c : c + 100_000][hit])
+                own.append(m[c : c + 100_000][hit])
+                lo.append((start + less.argmax(1))[hit])
+                hi.append((start + less.shape[1] - 1 - less[:, ::-1].argmax(1) + length)[hit])
+            del least
+        del around
+        d, m, at, strings = _received(table, 1, 3)
+        if len(d):
+            one, of = _classes(_wide(strings.reshape(-1, length)))
+            hit = d > _least(d, of, len(one))[of]
+            for x, y in zip((ids, own, lo, hi), (d[hit], m[hit], at[hit], at[hit] + length)):
+                x.append(y)
+        ids, own, lo, hi = (np.concatenate(x) for x in (ids, own, lo, hi))
         give_back()
-        rows = [(deal, *(_pack(x[k]) for x in (ids, own, lo, hi))) for deal, k in _deal(mix64(own.view(np.uint64)), deals)]
-        return pa.table({"deal": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "doc"), (2, "mark"), (3, "lo"), (4, "hi"))}})
+        return pa.Table.from_pylist(_send(0, mix64(ids.view(np.uint64)), deals, [ids, own, lo, hi]), _SCHEMA)
 
     def spans_of(table):
-        d, m, lo, hi = (_unpack(table.column(c).to_pylist()) for c in ("doc", "mark", "lo", "hi"))
+        d, m, lo, hi, _ = _received(table, 0, 4)
         ids, own, spans = [], [], []
-        order = np.lexsort((lo, d, m))
+        order = np.lexsort((lo, m, d))
         d, m, lo, hi = d[order], m[order], lo[order], hi[order]
         for part in np.split(np.arange(len(d)), np.flatnonzero((np.diff(d) != 0) | (np.diff(m) != 0)) + 1):
             if len(part):
@@ -345,8 +466,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                 spans.append(np.stack([a[new], z[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]], 1).astype("<i8").tobytes())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(own, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    met = marked.transform(map_arrow, surroundings, "deal long, h binary, doc binary, mark binary, p binary, lead binary, tail binary, around binary")
-    gone = met.groupBy("deal").applyInArrow(repeats, "deal long, doc binary, mark binary, lo binary, hi binary").groupBy("deal").applyInArrow(spans_of, "doc_id long, mark long, spans binary")
+    met = marked.transform(map_arrow, surroundings, MESSAGE)
+    gone = met.groupBy("deal").applyInArrow(repeats, MESSAGE).groupBy("deal").applyInArrow(spans_of, "doc_id long, mark long, spans binary")
     gone = materialize(gone, "spans")
     n_gone, gone_bytes = gone.agg(F.count("*"), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
     rows = join_checked(texts, copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left", n_copies, 48)
