@@ -168,7 +168,7 @@ def _link_groups(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120, rows: int = 6, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120, rows: int = 6, block: int = 512, deal_bytes: int = 32 << 20) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, n_shingles, component_id, kept, one row for each row.
 
     Links: 100 * |x & y| >= percent * |x | y| over full sets of distinct k-word shingles (fewer
@@ -202,7 +202,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
     n = partitions(spark)
     if n_big:
         sets = materialize(sets, "sets")
-    dealt = sets.where("n is null").select(F.col("root").alias("grp"), "cid", "shingles", F.pmod(F.xxhash64("root"), F.lit(16 * n)).alias("deal"))
+    # A deal has about deal_bytes of sets, however many there are, and a group beyond `block` is none of it.
+    held = join_checked(signed.select(F.col("doc_id").alias("cid"), "n_shingles"), cand.withColumnRenamed("node", "cid"), "cid", "left_semi", n_cand, 48)
+    deals = int(max(16 * n, 8 * (held.agg(F.sum("n_shingles")).first()[0] or 0) // deal_bytes + 1))
+    dealt = sets.where("n is null").select(F.col("root").alias("grp"), "cid", "shingles", F.pmod(F.xxhash64("root"), F.lit(deals)).alias("deal"))
     edges = dealt.groupBy("deal").applyInArrow(link, "u long, v long")
     if n_big:
         edges = edges.unionByName(_link_big(sets.where("n is not null"), link, block))
