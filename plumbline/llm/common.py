@@ -33,8 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: The folders that this driver made, in order.
+MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of intermediate tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""DuckDB SQL for op1, op2, op3, op4 and op9: plain joins over all pairs, which only small tables bear.
+"""DuckDB SQL for op1, op2, op3, op4, op8 and op9: plain joins over all pairs or all substrings, which
+only small tables bear.
 
-For op1, op2, op3 the SQL is the contract alone. What a contract leaves to the method (op4's verdicts
+For op1, op2, op3, op8 the SQL is the contract alone. What a contract leaves to the method (op4's verdicts
 without a rule, op9's words taken) the SQL computes by the method's definition, constants included,
 in other steps than the operator's.
 """
@@ -79,6 +80,17 @@ WITH u AS (
 ), best AS (SELECT page_id, arg_max(purity, level) AS purity FROM (SELECT page_id, host, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS level FROM b9) JOIN purity USING (host, node) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
 FROM b9 LEFT JOIN best USING (page_id)
+""",
+    "op8_passage_dup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS part FROM (SELECT doc_id, h, unnest(range(greatest(n - 49, 0))) AS i FROM d)
+), f AS (SELECT part, min(doc_id) AS least FROM s GROUP BY part HAVING min(doc_id) <> max(doc_id)
+), hit AS (SELECT s.doc_id, s.i FROM s JOIN f USING (part) WHERE s.doc_id > least
+), b AS (SELECT x.doc_id, p, c, coalesce(max(i) OVER (PARTITION BY x.doc_id ORDER BY p) >= p - 49, FALSE) AS gone
+  FROM (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS c FROM (SELECT doc_id, h, unnest(range(n)) AS p FROM d)) x LEFT JOIN hit ON hit.doc_id = x.doc_id AND hit.i = p
+), r AS (SELECT *, gone AND NOT lag(gone, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY p) AS starts FROM b
+), k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """,
     "op9_mixing": r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,34 @@ def test_near_vectors(spark):
     assert embed_dup.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_near_vectors_of_many_lengths_and_odd_rows(spark):
+    """Twenty lengths, repeated and null ids, columns that clash."""
+    rows = [(100 * d + i, [float(1 + (i % 2) * k) for k in range(d)], 0) for d in range(2, 22) for i in range(4)]
+    rows += [(200, [0.0, 1.0], 0), (200, [5.0, 5.0], 0), (None, [1.0, 2.0], 0)]
+    data = vectors(spark, rows).withColumns({"dim": F.lit("x"), "keys": F.lit(1), "rep": F.lit(2), "root": F.lit(3)})
+    x = {i: v for i, v, _ in rows[:-3]} | {200: [0.0, 1.0]}
+    cosine = lambda a, b: sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5
+    links = {i: [j for j in x if j != i and len(x[i]) == len(x[j]) and cosine(x[i], x[j]) >= 0.9] for i in x}
+    got = embed_dup.near_vectors(data).collect()
+    assert len(got) == len(rows) and sum(r["vec_id"] == 200 for r in got) == 3
+    for r in got:
+        if r["vec_id"] is None:
+            assert (r["n_links"], r["component_id"], r["kept"]) == (0, None, None)
+        else:
+            assert r["n_links"] == len(links[r["vec_id"]])
+    want = {}
+    for i in x:
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(links[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        want[i] = min(seen)
+    assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"] is not None} == want
+    few = embed_dup.near_vectors(data, few=2, miss=1e-6).collect()  # every length by the tables
+    assert {r["vec_id"]: r["component_id"] for r in few if r["vec_id"] is not None} == want
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 
 
@@ -279,6 +308,65 @@ def test_language_id_edges(spark):
     assert (np.abs(code.sum(0)) < 12).all() and min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) >= 5
 
 
+def plain_features(text):
+    """The n-gram counts of a text, one n-gram after another."""
+    letters = [b if b >= 128 or 97 <= b <= 122 else 0 for b in text.lower().encode()]
+    out = {}
+    for i in range(len(letters) - 2):
+        a, b, c = letters[i : i + 3]
+        if (a != 0) + (b != 0) + (c != 0) >= 2:
+            h = ((a * 0x9E3779B1 + b) * 0x85EBCA6B + c) * 0xC2B2AE35 % 2**32
+            h = (h ^ (h >> 15)) % lang_id.FEATURES
+            out[h] = out.get(h, 0) + 1
+    for a, b in zip(letters, letters[1:]):
+        if a and b:
+            h = (a * 0x9E3779B1 + b) * 0x27D4EB2F % 2**32 >> 19
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_language_decoding_by_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    model = lang_id.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    for x in lang_id.identify(d, model).collect():
+        counts = plain_features(texts[x["doc_id"]] or "")
+        norm = sum(counts.values()) ** 0.5 or 1.0
+        margin = [sum(c**0.5 / norm * float(model.coef[h, b]) for h, c in counts.items()) + float(model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(w * np.exp(-min(3, max(-3, m)) * int(bit)) for w, m, bit in zip(model.weight, margin, word)) for word in model.code]
+        share = np.exp(-4 * (np.array(loss) - min(loss)))
+        share /= share.sum()
+        assert x["lang_pred"] == model.langs[int(np.argmin(loss))] and abs(x["score"] - share.max()) < 1e-3
+        assert x["ambiguous"] == (np.sort(share)[-1] - np.sort(share)[-2] < 0.1)
+
+
+def test_language_features_are_those_of_whole_texts(monkeypatch):
+    text = "Ünd dér Hund 12 läuft, ñandú x. " * 90_000 + "ab"
+    want = np.zeros(lang_id.FEATURES, int)
+    for h, c in plain_features(text).items():
+        want[h] = c
+    assert (lang_id.counts(text) == want).all()
+    assert lang_id.counts("é").sum() == 1 and lang_id.counts("").sum() == 0
+
+
+def test_language_sample_is_bounded(spark):
+    """Null and equal ids don't enlarge the sample; rows that repeat whole count once."""
+    import plumbline.llm.lang_id as module
+
+    taken = []
+    real, module.materialize = module.materialize, lambda df, name: (taken.append((name, real(df, name))), taken[-1][1])[1]
+    try:
+        n = 3000
+        d = docs(spark, [f"the cat {i} sat" for i in range(n)] + ["same text"] * n + [f"der hund {i} lief" for i in range(n)], ids=[None] * n + [7] * n + [None] * n, lang=["en"] * (2 * n) + ["de"] * n)
+        model = lang_id.learn(d, per_lang=50)
+    finally:
+        module.materialize = real
+    sample = dict(taken)["sample"].groupBy("lang").count().collect()
+    assert model.langs == ["de", "en"] and all(0 < r["count"] <= 50 for r in sample)
+    got = [x["lang_pred"] for x in lang_id.identify(docs(spark, ["the cat sat", "der hund lief", "the cat sat"], ids=[1, 1, None]), model).collect()]
+    assert got == ["en", "de", "en"]
+
+
 # --- 6 and 7 ------------------------------------------------------------------------------------
 
 ODD = ["", "Hello world", "  two  spaces ", "\n\n a\n b", "it's don't 'll", "tab\t x", "日本語 text é", "\x00 nul \x1c sep ", "<|endoftext|> x", "a" * 3000, "word, word. word!", "12 345", " lead", "trail ", "😀 ok"]
@@ -301,6 +389,21 @@ def test_token_files(spark):
     assert token_files.token_digests(docs(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_of_long_texts_and_clashing_columns(spark):
+    t = token_files.tokenizer(P.path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    long = " ".join(r.choice(["word", "Ünd", "x\n", "12,", "<|endoftext|>", "a" * 50]) + str(i % 977) for i in range(400_000))
+    texts = [long, "w " * 300_000, "b" * 20_000, "one  two"]
+    d = docs(spark, texts).withColumns({"part": F.lit("x"), "start": F.lit(1), "tokens": F.lit(None).cast("string")})
+    for x in token_files.token_digests(d, P.path("byte_bpe_50k.json")).collect():
+        want = [*t.encode(texts[x["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (x["n_tokens"], x["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    enc = token_files.Encoder(P.path("byte_bpe_50k.json"), 0)
+    batch = pa.RecordBatch.from_arrays([pa.array([long[:40_000], None, "x y"])], ["text"])
+    parts = list(enc.groups([batch, batch], 0, 1000))
+    assert [n for _, m in parts for n in m.tolist()] == 2 * [len(t.encode(s, add_special_tokens=False).ids) + 1 for s in (long[:40_000], "", "x y")]
+
+
 def test_byte_bpe(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     import tiktoken
@@ -395,8 +498,12 @@ def test_suffix_order_decides_which_strings_are_equal(monkeypatch):
     assert (passage_dup.first_holders(*x, 50) != want).any()
 
 
-def test_passages_of_hot_texts_and_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("hot_anchor", [8, 20_000])
+def test_passages_of_hot_texts_and_anchors(spark, monkeypatch, hot_anchor):
+    """Texts of many rows, and anchors of many places: by their strings, or combined where they repeat."""
     monkeypatch.setattr(passage_dup, "HOT", 3)
+    monkeypatch.setattr(passage_dup, "REPEATED", 3)
+    monkeypatch.setattr(passage_dup, "HOT_ANCHOR", hot_anchor)
     r = random.Random(8)
     line = "".join(r.choice("abcdefgh ") for _ in range(70))
     rows = [(i, "".join(r.choice("xyz ") for _ in range(r.randint(0, 50))) + line[r.randint(0, 8) :] + str(i)) for i in range(80)]
@@ -404,6 +511,9 @@ def test_passages_of_hot_texts_and_anchors(spark, monkeypatch):
     got = passage_dup.remove_repeats(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
     assert sorted(map(tuple, got))[:-1] == sorted(removed(rows[:-1]))
     assert max(map(tuple, got))[:4] == (300, len(rows[-1][1]), 70, 1)
+    some = [r for r in rows[:-1] if r[0] < 300]
+    got = passage_dup.remove_repeats(docs(spark, [t for _, t in some], ids=[i for i, _ in some])).collect()
+    assert sorted(map(tuple, got)) == sorted(removed(some))
 
 
 def test_anchors_stand_in_every_string():

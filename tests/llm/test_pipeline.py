@@ -1,6 +1,9 @@
 """The corpus pipeline: its stages by brute force on a small fixture, edges, and the queries' SQL."""
 
+import base64
+
 import duckdb
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from plumbline.llm import pii, queries
 from plumbline.llm.common import DOC_COLUMNS
-from tests.llm.test_operators import docs, groups
+from tests.llm.test_operators import WORD, docs, groups
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -49,12 +52,71 @@ def test_stages(spark, sf_dir):
     assert len(step) == len(rows) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in step)
 
 
+def targets(size):
+    """Words that each source should give, by water filling: weights 5, 2, 1 in order, 150 % of all words,
+    at most twice a source's own."""
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(size.values()), list(names)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * size[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 2 * size[s]
+            left -= target[s]
+            free.remove(s)
+    return target
+
+
+def plain_encoder():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_whole_pipeline_by_brute_force(spark, sf_dir):
+    """run() against the stages by plain Python, but for the classifier's own predictions."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).select("doc_id", "lang").collect()}
+    rows = sorted((r | {"lang": kept[r["doc_id"]]} for r in rows if r["doc_id"] in kept), key=lambda r: r["doc_id"])
+    _, root = groups([r["text"] for r in rows], 80)
+    rows = {r["doc_id"]: r | {"text": pii.mask_text(r["text"])} for i, r in enumerate(rows) if root[i] == i}
+    size, longest = {}, {}
+    for r in rows.values():
+        n = len(WORD.findall(r["text"] or ""))
+        size[r["source"]] = size.get(r["source"], 0) + n
+        longest[r["source"]] = max(longest.get(r["source"], 0), n)
+    goal = targets(size)
+    enc, words, copies = plain_encoder(), dict.fromkeys(goal, 0), {}
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        want = rows[r["doc_id"]]
+        ids = enc.encode_ordinary(want["text"])
+        assert (r["lang"], r["source"], r["ids"], r["n_tokens"], r["round_trip"]) == (want["lang"], want["source"], ids, len(ids), True)
+        words[r["source"]] += len(WORD.findall(want["text"]))
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert max(copies.values()) <= 2
+    for s, n in goal.items():
+        assert abs(words[s] - n) <= longest[s] + 0.02 * n + 60, s
+
+
 def test_pipeline_edges(spark):
     odd = docs(spark, [None, "", "1 2 3", "the cat sat here today", "the cat sat here today", "x", "the dog ran off now"], ids=[1, 2, 3, 4, 4, None, None]).withColumn("ids", F.lit("clash"))
-    for empty in (odd, odd.limit(0)):
-        step = empty
-        for _, stage in corpus_pipeline.STAGES:
-            step = stage(spark, step, "")
-        assert step.count() >= 0
+    seen = []
+    step = odd
+    for name, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, "")
+        seen.append(sorted((r["doc_id"] or 0) for r in step.collect()))
+        assert name == "byte_bpe" or step.columns == DOC_COLUMNS
+    # Texts that are null, empty or without a letter go; of the equal rows one stays, null ids stay.
+    assert seen[0] == [0, 0, 4, 4] and seen[1] == seen[2] == [0, 0, 4] and set(seen[3]) <= {0, 4} and seen[4] == seen[3]
+    words = sum(len(enc.split()) for enc in (plain_encoder().decode(r["ids"]) for r in step.collect()))
+    assert abs(words - 1.5 * 11) <= 5 + 1  # the mix, to the longest document
+    step = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, "")
+        assert step.count() == 0
     once = corpus_pipeline.near_duplicates(spark, odd, "").where("doc_id = 4")
     assert once.count() == 1
