@@ -66,6 +66,13 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then the same for the next."""
+    out = np.repeat((start - (np.cumsum(size) - size)).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Encoder:
     """Texts to ids through the tokenizers library, which sees each distinct word of a group of texts once.
 
@@ -93,10 +100,12 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has)."""
-        found = [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for i in range(0, len(texts), 16):  # the library's results take far more memory than their ids
+            found += [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)]
         return np.concatenate([np.empty(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64)
 
-    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) of each word with a space before it; size -1 where it isn't cut off safely."""
         ends_open = pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]\z"))
         safe = np.flatnonzero(~ends_open.to_numpy(zero_copy_only=False))
@@ -113,6 +122,29 @@ class Encoder:
         size[safe] = np.where(fits[:-1] & fits[1:], np.diff(at), -1)
         return ids, start, size
 
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) as by _stems(), but that words which differ in the punctuation at their end
+        share their stem's ids: the pre-tokenizer cuts between a letter and punctuation."""
+        stems = pc.replace_substring_regex(words, r"([A-Za-z])[.,!?;:*$&\"')%#]+\z", r"\1")
+        known = stems.dictionary_encode()
+        ids, start, size = self._stems(known.dictionary)
+        of = known.indices.to_numpy()
+        start, size = start[of], size[of]
+        longer = np.flatnonzero((pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()) & (size >= 0))
+        if not len(longer):
+            return ids, start, size
+        cut = [w[len(s) :] for w, s in zip(words.take(pa.array(longer)).to_pylist(), stems.take(pa.array(longer)).to_pylist())]
+        tails = {x: i for i, x in enumerate(dict.fromkeys(cut))}
+        own, n_own = self._encode(list(tails))
+        tail = np.array([tails[x] for x in cut])
+        both = np.concatenate([ids, own])
+        at = np.stack([start[longer], len(ids) + (np.cumsum(n_own) - n_own)[tail]], 1).ravel()
+        n = np.stack([size[longer], n_own[tail]], 1).ravel()
+        more = both[_spread(at, n)]
+        size[longer] += n_own[tail]
+        start[longer] = len(ids) + np.cumsum(size[longer]) - size[longer]
+        return np.concatenate([ids, more]), start, size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; how many each has)."""
         split = pc.split_pattern(texts, " ")
@@ -142,11 +174,9 @@ class Encoder:
         place = np.insert(place, begin + n_words, end)
         begin = begin + np.arange(len(begin))
         n = size[place]
-        out = np.repeat(start[place] - (np.cumsum(n) - n), n)
-        out += np.arange(len(out))
-        return ids[out], np.add.reduceat(n, begin)
+        return ids[_spread(start[place], n)], np.add.reduceat(n, begin)
 
-    def groups(self, batches, column: int, most_bytes: int = 1 << 23):
+    def groups(self, batches, column: int, most_bytes: int = 1 << 24):
         """encode() over the batches' texts (null: empty) in groups of about most_bytes. A longer text
         goes in pieces, cut before spaces that follow no white space."""
         held, size = [], 0
@@ -247,7 +277,7 @@ def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
 def token_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """Documents (doc_id, text, ...) -> doc_id, start, n_tokens, ids_crc32, through files in the shared
     folder: write(), then read(). A null text counts as empty and has the end id alone. Texts of
-    any length go whole, in pieces beyond 8 MB. Rows of one doc_id stay together, in order of
+    any length go whole, in pieces beyond 16 MB. Rows of one doc_id stay together, in order of
     text; null doc_ids come first and stay null; columns beside doc_id and text play no part; an
     empty table gives no rows."""
     folder = fresh_path(docs.sparkSession, "tokens")
