@@ -1,9 +1,10 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, exact verification, union-find groups.
 
 Copies collapse first: documents with the same shingle set form a class, and only class
-representatives go on. Bands propose candidate groups; each group's full shingle sets meet once, and
-every pair of a group is compared exactly, so no link that the bands propose, directly or through
-others, is lost, and no pair crosses the network.
+representatives go on. A band's bucket is a candidate group. Each member's full shingle set first meets
+that of its bucket's hub, the least id; buckets that are thereby in one component are done, and in the
+others every pair is compared exactly. So no link between two that share a band is lost, what shares
+none is not compared, and no pair crosses the network.
 """
 
 from __future__ import annotations
@@ -168,6 +169,32 @@ def _link_groups(num: int, den: int):
     return run
 
 
+def _link_hubs(num: int, den: int):
+    """(u, hub) for each follower that links with its hub. A doc_id may stand in several rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hub, chunk, cid = (table.column(c).to_numpy() for c in ("hub", "chunk", "cid"))
+        blobs = table.column("shingles")
+        order = np.lexsort((chunk, hub))
+        cuts = np.flatnonzero((np.diff(hub[order]) != 0) | (np.diff(chunk[order]) != 0)) + 1
+        u, v = [], []
+        for part in np.split(order, cuts):
+            heads = [np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in part if cid[i] == hub[i]]
+            for i in part:
+                if cid[i] != hub[i]:
+                    own = np.frombuffer(blobs[int(i)].as_buffer(), np.uint64)
+                    for head in heads:
+                        small, large = (own, head) if len(own) < len(head) else (head, own)
+                        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                        if den * both >= num * (len(own) + len(head) - both):
+                            u.append(int(cid[i]))
+                            v.append(int(hub[i]))
+                            break
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120, rows: int = 6, block: int = 512, deal_bytes: int = 32 << 20) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, n_shingles, component_id, kept, one row for each row.
 
@@ -175,7 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
     words: the whole sequence is one shingle). Null texts and texts without words have no shingles
     and link with nothing. Rows with equal doc_id count as one document with links of each. A null
     doc_id links with nothing and has component_id and kept null.
-    With m = 120 in bands of 6, a pair at 0.85 shares a band with probability 0.9999.
+    With m = 120 in bands of 6, a pair at 0.85 shares a band with probability 0.9999. Columns beside
+    doc_id and text play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     signed = materialize(sign(docs, k, m, rows), "signed")
@@ -183,36 +211,51 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
     classes = materialize(classes, "classes")
     in_band = classes.select("cid", F.explode("bands").alias("key"))
     hubs = in_band.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub <> far").select("key", "hub")
-    star = in_band.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v"))
-    cand = materialize(components(star), "candidates")
-    big = cand.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    n_cand, n_big = cand.count(), big.count()
-    cand = join_checked(cand, big, "root", "left", n_big, 32)
+    buckets = materialize(in_band.join(hubs, "key"), "buckets")
+    cand = materialize(buckets.select(F.col("cid").alias("node")).distinct(), "candidates")
+    n_cand = cand.count()
 
     def shingles(batches):
         for b in batches:
-            sets = pa.array([shingle_set(t, k).tobytes() for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], sets], ["root", "cid", "n", "shingles"])
+            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = join_checked(texts, cand, "node", "inner", n_cand, 48).select("root", F.col("node").alias("cid"), "n", "text")
-    sets = sets.transform(map_arrow, shingles, "root long, cid long, n long, shingles binary")
-    sets = sets.where(F.length("shingles") > 0)
-    link = _link_groups(num=percent, den=100)
-    n = partitions(spark)
-    if n_big:
-        sets = materialize(sets, "sets")
-    # A deal has about deal_bytes of sets, however many there are, and a group beyond `block` is none of it.
-    held = join_checked(signed.select(F.col("doc_id").alias("cid"), "n_shingles"), cand.withColumnRenamed("node", "cid"), "cid", "left_semi", n_cand, 48)
-    deals = int(max(16 * n, 8 * (held.agg(F.sum("n_shingles")).first()[0] or 0) // deal_bytes + 1))
-    dealt = sets.where("n is null").select(F.col("root").alias("grp"), "cid", "shingles", F.pmod(F.xxhash64("root"), F.lit(deals)).alias("deal"))
-    edges = dealt.groupBy("deal").applyInArrow(link, "u long, v long")
-    if n_big:
-        edges = edges.unionByName(_link_big(sets.where("n is not null"), link, block))
-        edges = components(edges).where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    edges = materialize(edges.distinct(), "links")
-    n_roots = edges.count()
-    roots = edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+    sets = join_checked(texts, cand, "node", "left_semi", n_cand, 16).transform(map_arrow, shingles, "cid long, shingles binary")
+    sets = materialize(sets.where(F.length("shingles") > 0), "sets")
+    set_bytes = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+
+    def deals(rows: int) -> int:
+        """So many that one has about deal_bytes of sets."""
+        return int(max(16 * partitions(spark), set_bytes * rows // max(1, n_cand) // deal_bytes + 1))
+
+    # First everyone meets the hubs of its buckets, in chunks of a hub's followers.
+    star = materialize(buckets.where("cid <> hub").select("cid", "hub").distinct(), "stars")
+    n_star = star.count()
+    fan = star.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("chunks"))
+    asked = star.join(fan, "hub").select("hub", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"), "cid")
+    heads = fan.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("cid"))
+    met = asked.unionByName(heads).join(sets, "cid").withColumn("deal", F.pmod(F.xxhash64("hub", "chunk"), F.lit(deals(n_star))))
+    links = materialize(met.groupBy("deal").applyInArrow(_link_hubs(num=percent, den=100), "u long, v long"), "links")
+    known = materialize(components(links), "linked")
+    # Then the members of buckets that aren't one component yet meet each other. A bucket of the same
+    # members as another is left out; a pair that shares no band doesn't meet, so nothing chains.
+    at = join_checked(buckets, known.withColumnRenamed("node", "cid"), "cid", "left", known.count(), 32).withColumn("linked", F.coalesce("root", "cid")).drop("root")
+    mixed = at.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("same"), F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 31))).alias("sum"), F.min("hub").alias("hub")).where("low <> high and n > 2")
+    mixed = materialize(mixed.groupBy("n", "same", "sum", "hub").agg(F.min("key").alias("root")).select("root", "n"), "mixed")
+    n_mixed, n_met, n_big = mixed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > block)).first()
+    edges = links
+    if n_mixed:
+        link = _link_groups(num=percent, den=100)
+        rest = join_checked(buckets.select(F.col("key").alias("root"), "cid"), mixed, "root", "inner", n_mixed, 32).join(sets, "cid").select("root", "cid", "n", "shingles")
+        if n_big:
+            rest = materialize(rest, "rest")
+            edges = edges.unionByName(_link_big(rest.where(F.col("n") > block), link, block))
+        dealt = rest.where(F.col("n") <= block).select(F.col("root").alias("grp"), "cid", "shingles", F.pmod(F.xxhash64("root"), F.lit(deals(n_met))).alias("deal"))
+        edges = edges.unionByName(dealt.groupBy("deal").applyInArrow(link, "u long, v long"))
+        known = components(edges)
+    roots = materialize(known.where("node <> root").select(F.col("node").alias("cid"), "root"), "roots")
+    n_roots = roots.count()
     member = classes.select("set_id", "cid")
     member = join_checked(member, roots, "cid", "left", n_roots, 32).select("set_id", F.coalesce("root", "cid").alias("class_root"))
     # Rows of one doc_id may hold several texts: all take the least root.
