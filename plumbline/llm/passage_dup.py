@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, join_checked, map_arrow, materialize, mix64, partitions
+from .common import give_back, join_checked, map_arrow, materialize, mix64
 from .lyndon import suffix_arrays
 
 #: A gram's bytes; the rest of a string is what a minimizer chooses from.
@@ -35,12 +35,14 @@ _LOW = np.uint64((1 << 24) - 1)
 #: Texts beyond so many bytes are scanned in pieces that overlap.
 PIECE = 1 << 23
 #: The most surroundings in one text (a larger set is split first), and rows sorted at once.
-TOGETHER = 16
+TOGETHER = 8
 ROWS = 8_000
 NONE = np.iinfo(np.int64).max
+#: Bytes of text whose anchors meet in one group, about.
+DEAL_BYTES = 6 << 20
 #: A text of more than HOT rows is met by them in SALTS tasks.
 HOT, SALTS = 256, 32
-#: An anchor so often in a million is combined before it is sent; one in so many places is hot, and about
+#: An anchor so often in a flush of half a million is combined before it is sent; one in so many places is hot, and about
 #: so many are hot at most, as more places are asked for beyond.
 REPEATED, HOT_ANCHOR, MOST_HOT = 16, 20_000, 20_000
 
@@ -237,16 +239,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
         raise ValueError(f"length must be {2 * GRAM} at least")
     side = length - GRAM
     span = GRAM + 2 * side
-    n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
     def digest(batches):
         for b in batches:
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary())], ["doc_id", "own", "n_bytes", "whole"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary())],
+                ["doc_id", "own", "n_bytes", "whole"],
+            )
 
     own = F.pmod(F.xxhash64("text"), F.lit(1 << 62)) + 1
-    known = materialize(texts.where("doc_id is not null").withColumn("own", own).transform(map_arrow, digest, "doc_id long, own long, n_bytes long, whole binary").where(F.col("n_bytes") >= length), "texts")
+    known = materialize(
+        texts.where("doc_id is not null").withColumn("own", own).transform(map_arrow, digest, "doc_id long, own long, n_bytes long, whole binary").where(F.col("n_bytes") >= length),
+        "texts",
+    )
     # Rows of one doc_id may hold several texts: mark tells them apart, and is 0 elsewhere.
     several = materialize(known.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several")), "several")
     n_several = several.count()
@@ -274,7 +281,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
     copies = materialize(pairs.where("doc_id > first").select("doc_id", "mark").distinct(), "copies")
     n_copies = copies.count()
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
-    deals = int(max(2 * n, total // (16 << 20) + 1))
+    # Groups go by the data alone: every group may send to every other, so more of them would be more messages.
+    deals = int(max(16, total // DEAL_BYTES + 1))
     left = join_checked(texts.where("doc_id is not null and text is not null"), copies, ["doc_id", "mark"], "left_anti", n_copies, 48)
 
     hot_least = max(HOT_ANCHOR, total // (15 * MOST_HOT))  # there is an anchor in about 15 bytes
@@ -311,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                     hashes.append(h)
                     rows.append((doc, mark))
                     size += len(at)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush(ids, hashes, rows)
                     ids, hashes, rows, size = [], [], [], 0
         if rows:
@@ -414,7 +422,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                 full[side : side + len(raw)] = raw
                 for c in range(0, len(some), 100_000):
                     place, h = every[some[c : c + 100_000]], hashes[some[c : c + 100_000]].view(np.int64)
-                    for x, y in zip(got, (h, np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), place, np.minimum(place, side), np.minimum(len(raw) - place - GRAM, side), full[place[:, None] + np.arange(span)])):
+                    for x, y in zip(
+                        got,
+                        (
+                            h,
+                            np.full(len(h), doc, np.int64),
+                            np.full(len(h), mark, np.int64),
+                            place,
+                            np.minimum(place, side),
+                            np.minimum(len(raw) - place - GRAM, side),
+                            full[place[:, None] + np.arange(span)],
+                        ),
+                    ):
                         x.append(y)
                     size += len(h)
                     if size >= 100_000:
