@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_checked, map_arrow, materialize, mix64, partitions, shingle_set
+from .common import give_back, join_checked, map_arrow, materialize, mix64, partitions, shingle_set
 from .graph import components
 
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -76,7 +76,10 @@ def sign(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
             keys = band_keys(superminhash(sets, m), rows)
             bands = [row.tolist() if len(s) else [] for row, s in zip(keys, sets)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "bands"],
+            )
 
         for b in batches:
             ids, sets, size = [], [], 0
@@ -164,7 +167,10 @@ def _link_groups(num: int, den: int):
                 u.append(ids[part])
                 v.append(linked_roots(ids[part], [np.frombuffer(blobs[i], np.uint64) for i in part], num, den))
         u, v = (np.concatenate([np.empty(0, np.int64), *a]) for a in (u, v))
-        return pa.table({"u": u[u != v], "v": v[u != v]})
+        out = pa.table({"u": u[u != v], "v": v[u != v]})
+        del blobs, table
+        give_back()
+        return out
 
     return run
 
@@ -190,12 +196,14 @@ def _link_hubs(num: int, den: int):
                             u.append(int(cid[i]))
                             v.append(int(hub[i]))
                             break
+        del blobs, table
+        give_back()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120, rows: int = 6, block: int = 512, deal_bytes: int = 32 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120, rows: int = 6, block: int = 512, deal_bytes: int = 16 << 20) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, n_shingles, component_id, kept, one row for each row.
 
     Links: 100 * |x & y| >= percent * |x | y| over full sets of distinct k-word shingles (fewer
@@ -241,7 +249,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
     # Then the members of buckets that aren't one component yet meet each other. A bucket of the same
     # members as another is left out; a pair that shares no band doesn't meet, so nothing chains.
     at = join_checked(buckets, known.withColumnRenamed("node", "cid"), "cid", "left", known.count(), 32).withColumn("linked", F.coalesce("root", "cid")).drop("root")
-    mixed = at.groupBy("key").agg(F.min("linked").alias("low"), F.max("linked").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("same"), F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 31))).alias("sum"), F.min("hub").alias("hub")).where("low <> high and n > 2")
+    mixed = at.groupBy("key").agg(
+        F.min("linked").alias("low"),
+        F.max("linked").alias("high"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("cid")).alias("same"),
+        F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 31))).alias("sum"),
+        F.min("hub").alias("hub"),
+    ).where("low <> high and n > 2")
     mixed = materialize(mixed.groupBy("n", "same", "sum", "hub").agg(F.min("key").alias("root")).select("root", "n"), "mixed")
     n_mixed, n_met, n_big = mixed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > block)).first()
     edges = links
@@ -275,7 +290,10 @@ def _link_big(sets: DataFrame, link, block: int) -> DataFrame:
     one component, as with copies of one text, nothing is left to compare.
     """
     sets = sets.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    least = sets.groupBy("root").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cid"), F.col("blocks")) == 0, F.col("cid")))).alias("ids")).select("root", F.explode(F.slice("ids", 1, 64)).alias("cid"))
+    least = sets.groupBy("root").agg(F.array_sort(F.collect_set(F.when(
+        F.pmod(F.xxhash64("cid"), F.col("blocks")) == 0,
+        F.col("cid"),
+    ))).alias("ids")).select("root", F.explode(F.slice("ids", 1, 64)).alias("cid"))
     common = sets.join(least, ["root", "cid"], "left_semi").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = sets.unionByName(common).withColumn("grp", F.xxhash64("root", "b"))
     first = materialize(keyed.groupBy("grp").applyInArrow(link, "u long, v long"), "links")
@@ -286,7 +304,10 @@ def _link_big(sets: DataFrame, link, block: int) -> DataFrame:
     out = materialize(at.join(main, "root").where("comp <> main").select("root", F.col("node").alias("cid")), "outside")
     chunks = out.groupBy("root").agg(F.ceil(F.count("*") / block).alias("chunks"))
     sets = sets.join(chunks, "root")
-    outside = sets.join(out, ["root", "cid"], "left_semi").withColumn("c", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    outside = sets.join(out, ["root", "cid"], "left_semi").withColumn("c", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks"))).withColumn(
+        "b",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)),
+    )
     rest = sets.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     keyed = outside.unionByName(rest).withColumn("grp", F.xxhash64("root", "b", "c"))
     return first.unionByName(keyed.groupBy("grp").applyInArrow(link, "u long, v long"))
