@@ -174,7 +174,11 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], ["a", "b", "cosine"])
 
     in_cone = near.select("vec_id", "leader", "unit", "centre").transform(map_arrow, cosines, "a long, b long, cosine double").where(F.col("cosine") >= half)
-    in_cone = in_cone.groupBy(F.col("a").alias("vec_id")).agg(F.min(F.struct(F.col("b"), F.col("cosine"))).alias("m")).select("vec_id", F.col("m.b").alias("rep"), F.acos(F.least(F.lit(1.0), "m.cosine")).alias("off"))
+    in_cone = in_cone.groupBy(F.col("a").alias("vec_id")).agg(F.min(F.struct(F.col("b"), F.col("cosine"))).alias("m")).select(
+        "vec_id",
+        F.col("m.b").alias("rep"),
+        F.acos(F.least(F.lit(1.0), "m.cosine")).alias("off"),
+    )
     cones = materialize(in_cone, "cones")
     n_coned = cones.count()
     reps = join_checked(coded, cones, "vec_id", "left", n_coned, 48)
@@ -225,7 +229,10 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
     kind = F.when(lonely, F.when(F.col("cosine") >= cosine, "all").otherwise("none")).when(beta + r <= angle - 1e-7, "all").when(beta - r > angle + 1e-7, "none").otherwise("open")
     scored = materialize(scored.select("a", "b", F.coalesce("size_a", F.lit(1)).alias("size_a"), F.coalesce("size_b", F.lit(1)).alias("size_b"), kind.alias("kind")).where("kind <> 'none'"), "scored")
     full = scored.where("kind = 'all'")
-    gained = full.select(F.col("a").alias("rep"), F.col("size_b").alias("c")).unionByName(full.select(F.col("b").alias("rep"), F.col("size_a").alias("c"))).groupBy("rep").agg(F.sum("c").alias("by_class"))
+    gained = full.select(F.col("a").alias("rep"), F.col("size_b").alias("c")).unionByName(full.select(
+        F.col("b").alias("rep"),
+        F.col("size_a").alias("c"),
+    )).groupBy("rep").agg(F.sum("c").alias("by_class"))
     edges = full.select(F.col("a").alias("u"), F.col("b").alias("v"))
     single = None
     if n_cones and scored.where("kind = 'open'").limit(1).count():
@@ -240,7 +247,10 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
                     ok = np.frombuffer(row["x"], "<f8").reshape(len(i), -1) @ np.frombuffer(row["y"], "<f8").reshape(len(j), -1).T >= cosine
                     ids, c = np.concatenate([i, j]), np.concatenate([ok.sum(1), ok.sum(0)])
                     hit = c > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(c[hit].astype(np.int64)), pa.array(np.full(hit.sum(), row["a"])), pa.array(np.full(hit.sum(), row["b"]))], ["vec_id", "c", "u", "v"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[hit]), pa.array(c[hit].astype(np.int64)), pa.array(np.full(hit.sum(), row["a"])), pa.array(np.full(hit.sum(), row["b"]))],
+                        ["vec_id", "c", "u", "v"],
+                    )
 
         met = materialize(met.transform(map_arrow, meet, "vec_id long, c long, u long, v long"), "met")
         single = met.groupBy("vec_id").agg(F.sum("c").alias("by_member"))
@@ -254,7 +264,10 @@ def _near(v: DataFrame, dim: int, n: int, cosine: float, miss: float, sample: in
         all_ = all_.join(single, "vec_id", "left")
     else:
         all_ = all_.withColumn("by_member", F.lit(0))
-    least = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("vec_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    least = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(
+        F.min("vec_id").alias("component_id"),
+        F.count("*").alias("_n"),
+    ).where("_n > 1").drop("_n")
     all_ = all_.join(least, "root", "left")
     links = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("by_class", F.lit(0)) + F.coalesce("by_member", F.lit(0))
     return all_.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -70,7 +70,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(low, "u").select(F.explode(F.array(
+            F.struct(F.col("u"), F.col("m").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+        )).alias("e")).select("e.*").where("u <> v").distinct()
         new = materialize(small, "edges")
         # A forest of stars: no node is both a root and below one, and each has one root.
         n, nodes, mixed = new.select(F.count("*"), F.count_distinct("u"), F.lit(0)).first()

@@ -168,7 +168,10 @@ def learn(labelled: DataFrame, per_lang: int = 500, most_rows: int = 4000, most_
     def count(batches):
         for b in batches:
             got = [counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.flatnonzero(g).astype("<u2").tobytes() for g in got], pa.binary()), pa.array([g[g > 0].astype("<f4").tobytes() for g in got], pa.binary())], ["lang", "h", "at", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([np.flatnonzero(g).astype("<u2").tobytes() for g in got], pa.binary()), pa.array([g[g > 0].astype("<f4").tobytes() for g in got], pa.binary())],
+                ["lang", "h", "at", "n"],
+            )
 
     counted = materialize(taken.transform(map_arrow, count, "lang string, h long, at binary, n binary"), "sample")
 

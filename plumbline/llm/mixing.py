@@ -51,7 +51,10 @@ def apportion(rows: DataFrame, group: list[str], key: str, votes: str, seats: st
     q = q.withColumn("_rank", F.row_number().over(g.orderBy((F.col("_votes") / (F.col("_k") + 0.5)).desc(), key)))
     won = q.where("_rank <= _rest and _votes > 0").groupBy(*group, key).agg(F.count("*").alias("_won"))
     both = [*group, key]
-    return r.join(won, both, "left").withColumn(out, F.when(F.col("_v") > 0, F.col("_lo") + F.coalesce("_won", F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("_n", "_v", "_p", "_lo", "_hi", "_rest", "_won")
+    return r.join(won, both, "left").withColumn(
+        out,
+        F.when(F.col("_v") > 0, F.col("_lo") + F.coalesce("_won", F.lit(0))).otherwise(F.lit(0)).cast("long"),
+    ).drop("_n", "_v", "_p", "_lo", "_hi", "_rest", "_won")
 
 
 def _hash(*parts) -> Column:
@@ -59,7 +62,17 @@ def _hash(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, block_words: int = 256, least_blocks: int = 20_000, shard_words: int = 1 << 18, most_shards: int = 4096, seed: int = 7) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_repeats: int = 2,
+    block_words: int = 256,
+    least_blocks: int = 20_000,
+    shard_words: int = 1 << 18,
+    most_shards: int = 4096,
+    seed: int = 7,
+) -> DataFrame:
     """Documents (doc_id, text, source, ...) -> one row each: doc_id, source, size, source_size,
     target, taken, and the source's place rn and the document's shard.
 
@@ -122,7 +135,12 @@ def whole(mixed: DataFrame, seed: int = 7) -> DataFrame:
     before = W.partitionBy("rn").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     shards = materialize(shards.withColumn("start", F.coalesce(F.sum("start").over(before), F.lit(0)) + (1 << 29)), "starts")
     u = join_checked(u, shards, ["rn", "shard"], "inner", shards.count(), 32)
-    upto = W.partitionBy("rn", "shard").orderBy("words", _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy("rn", "shard").orderBy(
+        "words",
+        _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))),
+        F.col("doc_id").asc_nulls_last(),
+        "size",
+    ).rowsBetween(W.unboundedPreceding, W.currentRow)
     u = u.withColumn("end", F.col("start") + F.sum("part").over(upto))
     copies = F.col("sure") + F.shiftright("end", 30) - F.shiftright(F.col("end") - F.col("part"), 30)
     return u.select("doc_id", "source", "size", copies.cast("int").alias("copies")).where("copies > 0")

@@ -285,9 +285,16 @@ def find(docs: DataFrame) -> DataFrame:
                 spans.append(spelled(base + more))
                 added.append(len(more))
                 every.append(len(base) + len(more))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(every, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(every, pa.int64())],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(
+        map_arrow,
+        run,
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long",
+    )
 
 
 def mask_text(text: str | None) -> str | None:

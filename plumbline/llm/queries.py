@@ -60,4 +60,15 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_near_dup, op3_embed_dup, op4_url_filter, op5_language_id, op6_token_files, op7_byte_bpe, op8_passage_dup, op9_mixing, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_top_k,
+    op2_near_dup,
+    op3_embed_dup,
+    op4_url_filter,
+    op5_language_id,
+    op6_token_files,
+    op7_byte_bpe,
+    op8_passage_dup,
+    op9_mixing,
+    op10_pii,
+)}

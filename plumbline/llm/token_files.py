@@ -268,7 +268,10 @@ def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
                     o = off[i : i + block + 1]
                     crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(o[:-1].tolist(), o[1:].tolist())]
                     d = np.asarray(doc[i : i + block])
-                    yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == NULL_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(d, mask=d == NULL_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     n = max(1, min(partitions(manifest.sparkSession), parts.count()))
     return parts.repartition(n, "part").transform(map_arrow, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

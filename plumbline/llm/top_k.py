@@ -346,7 +346,18 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
                     out = []
                     for s in np.flatnonzero(want.any(0)).tolist():
                         at = np.flatnonzero(want[:, s])
-                        out.append({"dim": row["dim"], "shard": names[s][0], "sub": names[s][1], "from_shard": row["shard"], "from_sub": row["sub"], "at": at.astype("<i8").tobytes(), "ids": ids[at].tobytes(), "q": q[at].tobytes(), "heaps": heaps[at].tobytes(), "scored": 0})
+                        out.append({
+                            "dim": row["dim"],
+                            "shard": names[s][0],
+                            "sub": names[s][1],
+                            "from_shard": row["shard"],
+                            "from_sub": row["sub"],
+                            "at": at.astype("<i8").tobytes(),
+                            "ids": ids[at].tobytes(),
+                            "q": q[at].tobytes(),
+                            "heaps": heaps[at].tobytes(),
+                            "scored": 0,
+                        })
                     yield from _tables(out, route_row).to_batches()
 
         return run
@@ -415,6 +426,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
                 heaps = np.take_along_axis(heaps, order[:, :, None], 1)
                 there = heaps[:, :, 0] != NONE
                 place = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), there.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(place[there]), pa.array(-heaps[:, :, 1][there]), pa.array(heaps[:, :, 0][there])], ["query_id", "rank", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, there.sum(1))), pa.array(place[there]), pa.array(-heaps[:, :, 1][there]), pa.array(heaps[:, :, 0][there])],
+                    ["query_id", "rank", "vec_id", "score"],
+                )
 
     return state.transform(map_arrow, ranked, "query_id long, rank int, vec_id long, score long")

@@ -246,7 +246,24 @@ def judged(url):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/5?x#y", "https://example.com/en/71", "https://notexample.com/en/71", "http://com/en/", "http://x.net/de/9", "http://x.example.net/de/8/a", "http://x.example.net?/de/8", "ftp://É.org/es/#a://b", "a://b.org/es/q/://c.com/en/", "http://xcom/en/1", "http://a.com/en", "http://q.com/" + "s/" * 3000]
+    urls = [
+        None,
+        "",
+        "no scheme",
+        "http://",
+        "HTTP://A.Example.COM/en/5?x#y",
+        "https://example.com/en/71",
+        "https://notexample.com/en/71",
+        "http://com/en/",
+        "http://x.net/de/9",
+        "http://x.example.net/de/8/a",
+        "http://x.example.net?/de/8",
+        "ftp://É.org/es/#a://b",
+        "a://b.org/es/q/://c.com/en/",
+        "http://xcom/en/1",
+        "http://a.com/en",
+        "http://q.com/" + "s/" * 3000,
+    ]
     urls += [f"http://h.com/en/{i}" for i in range(60)] + [f"http://h.com/fr/{i}" for i in range(60)]
     d = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(3, urls[5], "x")], "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
     got = url_filter.judge(d).collect()
@@ -357,7 +374,12 @@ def test_language_sample_is_bounded(spark):
     real, module.materialize = module.materialize, lambda df, name: (taken.append((name, real(df, name))), taken[-1][1])[1]
     try:
         n = 3000
-        d = docs(spark, [f"the cat {i} sat" for i in range(n)] + ["same text"] * n + [f"der hund {i} lief" for i in range(n)], ids=[None] * n + [7] * n + [None] * n, lang=["en"] * (2 * n) + ["de"] * n)
+        d = docs(
+            spark,
+            [f"the cat {i} sat" for i in range(n)] + ["same text"] * n + [f"der hund {i} lief" for i in range(n)],
+            ids=[None] * n + [7] * n + [None] * n,
+            lang=["en"] * (2 * n) + ["de"] * n,
+        )
         model = lang_id.learn(d, per_lang=50)
     finally:
         module.materialize = real
@@ -369,7 +391,23 @@ def test_language_sample_is_bounded(spark):
 
 # --- 6 and 7 ------------------------------------------------------------------------------------
 
-ODD = ["", "Hello world", "  two  spaces ", "\n\n a\n b", "it's don't 'll", "tab\t x", "日本語 text é", "\x00 nul \x1c sep ", "<|endoftext|> x", "a" * 3000, "word, word. word!", "12 345", " lead", "trail ", "😀 ok"]
+ODD = [
+    "",
+    "Hello world",
+    "  two  spaces ",
+    "\n\n a\n b",
+    "it's don't 'll",
+    "tab\t x",
+    "日本語 text é",
+    "\x00 nul \x1c sep ",
+    "<|endoftext|> x",
+    "a" * 3000,
+    "word, word. word!",
+    "12 345",
+    " lead",
+    "trail ",
+    "😀 ok",
+]
 
 
 def test_token_files(spark):
@@ -627,7 +665,25 @@ def test_disguises(text, kind, part):
     assert [(k, text[a:b]) for k, a, b in got] == [(kind, part)]
 
 
-@pytest.mark.parametrize("text", ["meet me at noon", "look at example.com", "one two three little pigs", "the dot on the i", "é à ü", "", "a [b] c", "un deux trois soleil, au point de départ", "look at example.com at noon.", "eins zwei drei", "version 3 dot 5 is out", "wait . what @ home", "uno dos tres punto final", "1 2 3 4 5 6 7 8 9"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "meet me at noon",
+        "look at example.com",
+        "one two three little pigs",
+        "the dot on the i",
+        "é à ü",
+        "",
+        "a [b] c",
+        "un deux trois soleil, au point de départ",
+        "look at example.com at noon.",
+        "eins zwei drei",
+        "version 3 dot 5 is out",
+        "wait . what @ home",
+        "uno dos tres punto final",
+        "1 2 3 4 5 6 7 8 9",
+    ],
+)
 def test_clean_texts_stay_clean(text):
     assert pii.added_spans(text, pii.base_spans(text)) == [] and pii.mask_text(text) == text
 
@@ -635,7 +691,12 @@ def test_clean_texts_stay_clean(text):
 def test_planted_disguises_are_found_and_prose_is_left_alone():
     """Recall over disguised identifiers of four languages in prose; precision over prose without any."""
     r = random.Random(11)
-    prose = {"en": "the quick report was sent at noon and the point is one of two that six people saw", "es": "el informe llegó a un punto final y dos o tres personas lo vieron en la mesa seis", "fr": "le rapport est un point de départ et deux ou trois personnes sont au numéro six", "de": "der punkt ist dass zwei oder drei leute um acht uhr kamen und eins fehlte"}
+    prose = {
+        "en": "the quick report was sent at noon and the point is one of two that six people saw",
+        "es": "el informe llegó a un punto final y dos o tres personas lo vieron en la mesa seis",
+        "fr": "le rapport est un point de départ et deux ou trois personnes sont au numéro six",
+        "de": "der punkt ist dass zwei oder drei leute um acht uhr kamen und eins fehlte",
+    }
     words = {"en": ("at", "dot", "plus", 0), "es": ("arroba", "punto", "más", 11), "fr": ("arobase", "point", "plus", 21), "de": ("ät", "punkt", "plus", 30)}
     names = list(pii.DIGIT_NAMES.items())
     found, clean = [], []
@@ -645,7 +706,16 @@ def test_planted_disguises_are_found_and_prose_is_left_alone():
         spell = {d: n for n, d in names[first : first + 11]} | {"6": {"fr": "six"}.get(lang, {d: n for n, d in names[first : first + 11]}.get("6", "six"))}
         some = lambda: r.sample(prose[lang].split(), 6)  # noqa: E731, B023
         name, host = r.choice(["ana", "hans", "marie"]), r.choice(["example", "mail-x"])
-        disguise = r.choice([f"{name} {at} {host} {dot} com", f"{name} [{at}] {host} [{dot}] com", f"{name}({at}){host}({dot})com", f"{name} @ {host} . com", f"{name}.b{k} {at} {host}.com", " ".join([plus, *(spell[c] for c in f"4915{r.randint(10**6, 10**7 - 1)}")]), f" {dot} ".join(" ".join(spell[c] for c in str(r.randint(1, 255))) for _ in range(4)), "".join(chr(ord(c) + 0xFEE0) for c in f"{name}@{host}.com")])
+        disguise = r.choice([
+            f"{name} {at} {host} {dot} com",
+            f"{name} [{at}] {host} [{dot}] com",
+            f"{name}({at}){host}({dot})com",
+            f"{name} @ {host} . com",
+            f"{name}.b{k} {at} {host}.com",
+            " ".join([plus, *(spell[c] for c in f"4915{r.randint(10**6, 10**7 - 1)}")]),
+            f" {dot} ".join(" ".join(spell[c] for c in str(r.randint(1, 255))) for _ in range(4)),
+            "".join(chr(ord(c) + 0xFEE0) for c in f"{name}@{host}.com"),
+        ])
         text = " ".join([*some(), ";", disguise, ";", *some()])
         spans = [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text))]
         found.append(disguise.strip() in spans and len(spans) == 1)
