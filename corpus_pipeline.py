@@ -41,7 +41,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes sources to their target weights in whole documents: each document appears 0, 1 or 2
-    times, rounded so that the errors cancel within a source (mixing.whole)."""
+    times, rounded so that the errors cancel within a source (mixing.whole). Rows of one doc_id, source
+    and size share their number of copies, and so do rows with a null doc_id of one source and size."""
     docs = docs.select(*DOC_COLUMNS)
     taken = materialize(mixing.whole(mixing.mix(docs)).toDF("_id", "_source", "_size", "copies"), "copies")
     same = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]) & (mixing.word_count(docs["text"]) == taken["_size"])

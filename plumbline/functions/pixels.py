@@ -103,7 +103,21 @@ def features(bgr: np.ndarray) -> dict:
     inner = v[h // 8 : 7 * h // 8, w // 8 : 7 * w // 8]
     circle = find_circle(gray)
     centred = circle is not None and w / 4 < circle[0] < 3 * w / 4 and h / 4 < circle[1] < 3 * h / 4
-    return {"width": w, "height": h, "border_white": float((v[border] > 240).mean()), "border_dark": float((v[border] < 25).mean()), "dark": float((v < 20).mean()), "circle": circle is not None, "centred": centred, "radius": circle[2] if circle is not None else None, "hue_sum": float(sum((b & vivid).mean() for b in bands)), "mean_s": float(hsv[..., 1].mean()), "std": float(gray.std()), "edge": float(edges(gray).mean()), "interior_white": float((inner > 240).mean()) if inner.size else 0.0}
+    return {
+        "width": w,
+        "height": h,
+        "border_white": float((v[border] > 240).mean()),
+        "border_dark": float((v[border] < 25).mean()),
+        "dark": float((v < 20).mean()),
+        "circle": circle is not None,
+        "centred": centred,
+        "radius": circle[2] if circle is not None else None,
+        "hue_sum": float(sum((b & vivid).mean() for b in bands)),
+        "mean_s": float(hsv[..., 1].mean()),
+        "std": float(gray.std()),
+        "edge": float(edges(gray).mean()),
+        "interior_white": float((inner > 240).mean()) if inner.size else 0.0,
+    }
 
 
 def raster_features(images: DataFrame) -> DataFrame:

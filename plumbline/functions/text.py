@@ -50,26 +50,38 @@ def truncate_title(t: Column, most: int = 80) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
 
 
-def _author(x: Column, pattern: str, last: int, initial: int) -> Column:
-    return F.when(F.regexp_like(x, F.lit(pattern)), F.struct(F.regexp_extract(x, pattern, last).alias("last"), F.substring(F.regexp_extract(x, pattern, initial), 1, 1).alias("initial")))
+#: How a first author stands in a field and on a first page, in the order in which the forms are
+#: tried: (pattern, group of the last name, group of the initial).
+_BEGIN, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+FIELD_AUTHORS = [
+    (r"^([A-Z][a-zA-Z'\-]+),\s+([A-Z])", 1, 2),
+    (r"^([A-Z])[.\s]+(?:[A-Z][.\s]+)*([A-Z][a-z]{2,})", 2, 1),
+]
+PAGE_AUTHORS = [
+    (_BEGIN + r"([A-Z])\.(?:\s*[A-Z]\.)?\s+([A-Z][a-z]{2,})\s*[\d,\s]", 2, 1),
+    (_BEGIN + r"([A-Z][a-z]{2,}),\s+([A-Z])\.", 1, 2),
+    (_BEGIN + r"([A-Z][a-z]+)\s+([A-Z][a-z]{2,})" + _END, 2, 1),
+]
+
+
+def _author(x: Column, forms: list[tuple[str, int, int]]) -> Column:
+    """struct(last, initial) by the first form that x has, else null."""
+    out = F.lit(None).cast("struct<last:string,initial:string>")
+    for pattern, last, initial in reversed(forms):
+        own = F.struct(F.regexp_extract(x, pattern, last).alias("last"), F.substring(F.regexp_extract(x, pattern, initial), 1, 1).alias("initial"))
+        out = F.when(F.regexp_like(x, F.lit(pattern)), own).otherwise(out)
+    return out
 
 
 def author_of_field(authors: Column) -> Column:
     """struct(last, initial) from "Last, F. I.; ..." or else "F. I. Last, ...", else null. White space
     around the field doesn't count."""
-    authors = F.regexp_replace(authors, r"(?U)^\s+|\s+$", "")
-    return F.coalesce(_author(authors, r"^([A-Z][a-zA-Z'\-]+),\s+([A-Z])", 1, 2), _author(authors, r"^([A-Z])[.\s]+(?:[A-Z][.\s]+)*([A-Z][a-z]{2,})", 2, 1))
+    return _author(F.regexp_replace(authors, r"(?U)^\s+|\s+$", ""), FIELD_AUTHORS)
 
 
 def author_of_text(text: Column) -> Column:
-    """struct(last, initial) from a first page's text: the first pattern that its first 3000
-    characters hold."""
-    t, begin = F.substring(text, 1, 3000), r"(?<![\p{L}\p{N}_])"
-    return F.coalesce(
-        _author(t, begin + r"([A-Z])\.(?:\s*[A-Z]\.)?\s+([A-Z][a-z]{2,})\s*[\d,\s]", 2, 1),
-        _author(t, begin + r"([A-Z][a-z]{2,}),\s+([A-Z])\.", 1, 2),
-        _author(t, begin + r"([A-Z][a-z]+)\s+([A-Z][a-z]{2,})(?![\p{L}\p{N}_])", 2, 1),
-    )
+    """struct(last, initial) from the first 3000 characters of a first page's text, else null."""
+    return _author(F.substring(text, 1, 3000), PAGE_AUTHORS)
 
 
 def author_of_bibcode(bibcode: Column) -> Column:
@@ -87,6 +99,11 @@ def folder_name(date: Column, last: Column, initial: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(name, r'[/\\:*?"<>|]', "_"), " {2,}", " "))
 
 
+def megabytes(size: Column) -> Column:
+    """Bytes as MB of 1024 * 1024, to two places."""
+    return F.round(size / (1024 * 1024), 2)
+
+
 def compact_date(d: str) -> str:
     """A date as it stands in file names."""
     return d.replace("-", "")

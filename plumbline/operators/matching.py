@@ -19,7 +19,11 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 2, metric: str = "l2"
     parts = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def packs(key, table):
-        return pa.table({"pack": [key[0].as_py()], "ids": [table.column("q_id").to_numpy().astype("<i8").tobytes()], "vecs": [np.asarray(table.column("vec").combine_chunks().flatten()).astype("<f8").tobytes()]})
+        return pa.table({
+            "pack": [key[0].as_py()],
+            "ids": [table.column("q_id").to_numpy().astype("<i8").tobytes()],
+            "vecs": [np.asarray(table.column("vec").combine_chunks().flatten()).astype("<f8").tobytes()],
+        })
 
     q = queries.select(F.col("q_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null")
     blocks = max(1, -(-q.count() // block))
@@ -61,6 +65,13 @@ def ratio_matches(neighbours: DataFrame, ratio: float = 0.65) -> DataFrame:
     return n.where(F.col("d1") < ratio * F.col("d2"))
 
 
+def strongest(points: DataFrame, most: int) -> DataFrame:
+    """Of each image's keypoints (image_id, point_id, response) the `most` with the highest response, ties to
+    the smaller point_id; the limit is applied before the shuffle too."""
+    rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.col("response").desc(), "point_id"))
+    return points.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def gather(matches: DataFrame, q_points: DataFrame, t_points: DataFrame) -> DataFrame:
     q = q_points.select("q_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
     t = t_points.select("t_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -97,7 +108,16 @@ def fit_similarity(points: DataFrame, tolerance: float = 3.0, rounds: int = 500,
                 m = (np.conj(zc) * wc).sum() / (np.abs(zc) ** 2).sum()
                 t = w[best].mean() - m * z[best].mean()
         n = int(best.sum())
-        return pa.table({"pair_id": [key[0].as_py()], "matches": [len(p)], "inliers": [n], "a": pa.array([m.real if m is not None else None], pa.float64()), "b": pa.array([m.imag if m is not None else None], pa.float64()), "shift_x": pa.array([t.real if m is not None else None], pa.float64()), "shift_y": pa.array([t.imag if m is not None else None], pa.float64()), "accepted": [m is not None and n > least_inliers]})
+        return pa.table({
+            "pair_id": [key[0].as_py()],
+            "matches": [len(p)],
+            "inliers": [n],
+            "a": pa.array([m.real if m is not None else None], pa.float64()),
+            "b": pa.array([m.imag if m is not None else None], pa.float64()),
+            "shift_x": pa.array([t.real if m is not None else None], pa.float64()),
+            "shift_y": pa.array([t.imag if m is not None else None], pa.float64()),
+            "accepted": [m is not None and n > least_inliers],
+        })
 
     return points.groupBy("pair_id").applyInArrow(run, "pair_id long, matches long, inliers long, a double, b double, shift_x double, shift_y double, accepted boolean")
 

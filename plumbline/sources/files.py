@@ -7,13 +7,18 @@ import os
 import shutil
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as X
+from ..functions import rasters, text as X
 
 IMAGE = "index long, page int, size string, color_space string, encoding string, is_solar boolean, score double, signals array<string>, image_type string"
-LOG_SCHEMA = f"paper_id long, title string, publication_date string, bibcode string, doi string, ads_url string, first_author string, total_images_found int, solar_images_saved int, min_score_threshold double, images array<struct<{', '.join(f.replace(' ', ':', 1) for f in IMAGE.split(', '))}>>"
+LOG_SCHEMA = f"paper_id long, title string, publication_date string, bibcode string, doi string, ads_url string, first_author string, total_images_found int, solar_images_saved int, min_score_threshold double, images array<struct<{', '.join(f.replace(
+    ' ',
+    ':',
+    1,
+) for f in IMAGE.split(', '))}>>"
 
 
 def extraction_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -67,6 +72,30 @@ def write_documents(docs: DataFrame, root: str, key: str, body: str) -> None:
     docs.select(key, F.col(body).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(root)
 
 
+def save_figures(figures: DataFrame, root: str) -> DataFrame:
+    """Figures (folder, name, width, height, nChannels, data: rows of BGR, gray or CMYK bytes) as
+    root/<folder>/<name>.png, RGB or gray, written by the executors: folder, name, saved. Data that doesn't
+    fit its size is not saved. root is a folder that all executors share."""
+
+    def run(batches):
+        for b in batches:
+            done = []
+            for folder, name, w, h, n, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+                good = bool(data) and bool(w) and len(data) == w * h * n and n in (1, 3, 4)
+                if good:
+                    x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                    x = x[..., 0] if n == 1 else x[..., ::-1] if n == 3 else rasters.cmyk_to_rgb(x)
+                    os.makedirs(os.path.join(root, folder), exist_ok=True)
+                    own = os.path.join(root, folder, f".{name}.{uuid.uuid4().hex}")
+                    with open(own, "wb") as f:
+                        f.write(rasters.write_png(np.ascontiguousarray(x)))
+                    os.replace(own, os.path.join(root, folder, f"{name}.png"))
+                done.append(good)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.bool_())], ["folder", "name", "saved"])
+
+    return figures.select("folder", "name", "width", "height", "nChannels", "data").mapInArrow(run, "folder string, name string, saved boolean")
+
+
 def write_json_files(docs: DataFrame, root: str) -> None:
     """<folder>.json a row of (folder, json) under root, a folder that all executors share; written by the
     executors, whole or absent."""

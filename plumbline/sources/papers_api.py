@@ -12,6 +12,7 @@ import os
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,17 +63,42 @@ def download(url: str, doc_id: int, path: str, source: str | None = None, chunk:
     """Saves a document's file, in chunks, under a temporary name until it is whole."""
     query = f"?{urllib.parse.urlencode({'source': source})}" if source else ""
     try:
-        with urllib.request.urlopen(f"{url}/documents/{doc_id}/pdf{query}", timeout=60) as r, open(path + ".part", "wb") as f:
+        own = f"{path}.{uuid.uuid4().hex}.part"
+        with urllib.request.urlopen(f"{url}/documents/{doc_id}/pdf{query}", timeout=60) as r, open(own, "wb") as f:
             while part := r.read(chunk):
                 f.write(part)
     except urllib.error.HTTPError as e:
         if e.code == 404:
             raise RuntimeError(f"no file for document {doc_id}") from e
         raise
-    os.replace(path + ".part", path)
+    os.replace(own, path)
     return path
 
 
+def download_all(ids, url: str, root: str, source: str | None = None, tries: int = 3):
+    """Documents (id) -> id, path, size: each document's file as root/paper_<id>.pdf, a folder that all
+    executors share. A file that is there is not fetched again; one that fails `tries` times has a null path."""
+    import pyarrow as pa
+
+    def run(batches):
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            paths, sizes = [], []
+            for doc_id in b.column(0).to_pylist():
+                path = os.path.join(root, f"paper_{doc_id}.pdf")
+                for _ in range(0 if os.path.exists(path) else tries):
+                    try:
+                        download(url, doc_id, path, source)
+                        break
+                    except (OSError, RuntimeError):
+                        continue
+                paths.append(path if os.path.exists(path) else None)
+                sizes.append(os.path.getsize(path) if os.path.exists(path) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["id", "path", "size"])
+
+    return ids.selectExpr("cast(id as long) AS id").mapInArrow(run, "id long, path string, size long")
+
+
 class _Part(InputPartition):
     def __init__(self, year: int | None, doc_id: int | None = None):
         self.year, self.doc_id = year, doc_id

@@ -10,7 +10,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = SparkSession.builder.master("local[8]").config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
+    s = SparkSession.builder.master("local[8]").config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config(
+        "spark.checkpoint.dir",
+        str(tmp_path_factory.mktemp("shared")),
+    ).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

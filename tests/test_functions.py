@@ -14,12 +14,28 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("d,out", [("2018-06-00", "2018-06"), ("2010-00-00", "2010"), ("2015-04-23", "2015-04-23"), ("2012-07-00", "2012-07"), ("", ""), ("201", "201"), ("2012", "2012"), ("2012-7", "2012"), ("2012-07", "2012-07")])
+@pytest.mark.parametrize(
+    "d,out",
+    [
+        ("2018-06-00", "2018-06"),
+        ("2010-00-00", "2010"),
+        ("2015-04-23", "2015-04-23"),
+        ("2012-07-00", "2012-07"),
+        ("", ""),
+        ("201", "201"),
+        ("2012", "2012"),
+        ("2012-7", "2012"),
+        ("2012-07", "2012-07"),
+    ],
+)
 def test_dates(spark, d, out):
     assert one(spark, X.format_publication_date(F.col("d")), d=d) == out
 
 
-@pytest.mark.parametrize("d,out", [("2012-07-00", True), ("2012-00-00", True), ("2011-12-00", False), ("2013-03-99", True), ("2013-04-00", False), ("2012-13-00", True), ("abcd", False), ("2012", True)])
+@pytest.mark.parametrize(
+    "d,out",
+    [("2012-07-00", True), ("2012-00-00", True), ("2011-12-00", False), ("2013-03-99", True), ("2013-04-00", False), ("2012-13-00", True), ("abcd", False), ("2012", True)],
+)
 def test_range(spark, d, out):
     assert one(spark, X.in_date_range(F.col("d"), "2012-01-02", "2013-03-01"), d=d) is out
 
@@ -69,7 +85,21 @@ def test_bounds(spark):
     assert f(s="strategy_b", tx=0.0, ty=0.0, limb="disk") == (-1200.0, -1200.0, 1200.0, 1200.0)
 
 
-@pytest.mark.parametrize("raw,out", [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('So: {"a": 1} ok', '{"a": 1}'), ('[{"a": 1}]', '{"a": 1}'), ('[{"a": 1}, {"b": 2}]', "{}"), ('{"a": ', "{}"), (None, "{}"), ('{"a": NaN}', '{"a": null}'), ('{"a": 1, "a": 2}', '{"a": 2}'), ("{'a': 1}", "{}")])
+@pytest.mark.parametrize(
+    "raw,out",
+    [
+        ('{"a": 1}', '{"a": 1}'),
+        ('```json\n{"a": 1}\n```', '{"a": 1}'),
+        ('So: {"a": 1} ok', '{"a": 1}'),
+        ('[{"a": 1}]', '{"a": 1}'),
+        ('[{"a": 1}, {"b": 2}]', "{}"),
+        ('{"a": ', "{}"),
+        (None, "{}"),
+        ('{"a": NaN}', '{"a": null}'),
+        ('{"a": 1, "a": 2}', '{"a": 2}'),
+        ("{'a': 1}", "{}"),
+    ],
+)
 def test_parse_object(raw, out):
     assert metadata.parse_object(raw) == out
 

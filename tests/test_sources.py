@@ -60,6 +60,11 @@ def test_papers_source(spark, server, tmp_path):
     with pytest.raises(ConnectionError):
         papers_api.check_health("http://127.0.0.1:9")
     assert open(papers_api.download(server, 1, str(tmp_path / "x.pdf"))).read() == '"paper"'
+    ids = spark.createDataFrame([(1,), (2,)], "id int")
+    for _ in range(2):
+        got = papers_api.download_all(ids, server, str(tmp_path / "pdf")).collect()
+        assert sorted((r["id"], r["size"]) for r in got) == [(1, 7), (2, 7)]
+    assert papers_api.download_all(ids, "http://127.0.0.1:9", str(tmp_path / "none"), tries=1).where("path is null").count() == 2
     listed = papers.list_papers(d.cache(), "2010-02-00", "2010-12-00")
     assert files.write_csv(listed, str(tmp_path / "p.csv")) == listed.count()
     assert open(tmp_path / "p.csv", "rb").read(3) == b"\xef\xbb\xbf"

@@ -13,6 +13,7 @@ from plumbline import __main__ as cli, stages
 from plumbline.functions import pixels, rasters, text as X
 from plumbline.operators import archive, figures, matching, metadata
 from plumbline.sources import files, providers
+from plumbline.streaming import incremental
 
 
 def png_pixels(raw):
@@ -57,11 +58,18 @@ def test_fits_and_world_coordinates():
 def paper(k):
     image = {"rectangle": [50, 30, 400, 90], "width": 300, "height": 300, "colour": 3, "data": base64.b64encode(b"x").decode()}
     text = f"On loops by Y. Song,\n\nFig. 1. The flare {k}\n\nas Fig. 1 shows, loops move\fFig. 2. A loop"
-    return json.dumps({"text": text, "author": None if k == 2 else f"Author {k}", "images": [image | {"page": 1, "xref": 7}, image | {"page": 1, "xref": 7}, image | {"page": 2, "xref": 8, "rectangle": None}]}).encode()
+    return json.dumps({
+        "text": text,
+        "author": None if k == 2 else f"Author {k}",
+        "images": [image | {"page": 1, "xref": 7}, image | {"page": 1, "xref": 7}, image | {"page": 2, "xref": 8, "rectangle": None}],
+    }).encode()
 
 
 def fixture(spark):
-    papers = spark.createDataFrame([(k, f"Title {k}", " Song, Y.; Doe, J.", "2012-03-00", None, "2012ApJ...1..2D", None, None, None) for k in (1, 2, 3)], "id long, title string, authors string, publication_date string, doi string, bibcode string, citation_count long, ads_url string, abstract string")
+    papers = spark.createDataFrame(
+        [(k, f"Title {k}", " Song, Y.; Doe, J.", "2012-03-00", None, "2012ApJ...1..2D", None, None, None) for k in (1, 2, 3)],
+        "id long, title string, authors string, publication_date string, doi string, bibcode string, citation_count long, ads_url string, abstract string",
+    )
     content = spark.createDataFrame([(1, paper(1)), (2, paper(2)), (3, b"broken")], "paper_id long, content binary")
     blocks = providers.parse_papers(content, providers.TextPaper)
     values = {"border_white": 0.0, "border_dark": 0.4, "dark": 0.285, "circle": True, "centred": True, "radius": 70.9, "hue_sum": 0.2, "mean_s": 90.0, "std": 30.0, "edge": 0.0, "interior_white": 0.0}
@@ -88,10 +96,20 @@ def test_extract_label_and_metadata(spark, tmp_path):
         os.rename(tmp_path / "logs" / f"2012-03 - Song, Y {k}-log.json", tmp_path / "in" / f"p{k}" / "extraction_log.json")
     again = files.extraction_logs(spark, str(tmp_path / "in")).drop("folder")
     assert sorted(map(str, again.select(x.logs.columns).collect())) == sorted(map(str, x.logs.collect()))
-    assert [(r["paper_id"], r["total_images_found"], r["solar_images_saved"], r["first_author"]) for r in x.logs.orderBy("paper_id").collect()] == [(1, 2, 2, "Song, Y"), (2, 2, 2, "Song, Y"), (3, 0, 0, "Song, Y")]
+    assert [(
+        r["paper_id"],
+        r["total_images_found"],
+        r["solar_images_saved"],
+        r["first_author"],
+    ) for r in x.logs.orderBy("paper_id").collect()] == [(1, 2, 2, "Song, Y"), (2, 2, 2, "Song, Y"), (3, 0, 0, "Song, Y")]
     there = spark.createDataFrame([("2012-03 - Song, Y 1", "solar_001_p1_aia_false_color.png")], "folder string, name string")
     labels = stages.label_figures(x.scored, blocks, p, providers.KeywordClassifier(["Flare", "Loop"]), there).orderBy("paper_filename", "figure_label").collect()
-    assert [(r["figure_label"], r["caption_match_confidence"], r["structure_label"], bool(r["image_path"])) for r in labels] == [("", "none", "Other", False), ("Fig. 1", "same_page", "Flare", True), ("", "none", "Other", False), ("Fig. 1", "same_page", "Flare", False)]
+    assert [(r["figure_label"], r["caption_match_confidence"], r["structure_label"], bool(r["image_path"])) for r in labels] == [
+        ("", "none", "Other", False),
+        ("Fig. 1", "same_page", "Flare", True),
+        ("", "none", "Other", False),
+        ("Fig. 1", "same_page", "Flare", False),
+    ]
     assert {(r["paper_id"], r["captions"], r["pages"]) for r in stages.caption_counts(blocks).collect()} == {(1, 2, 2), (2, 2, 2)}
     who = p.select(F.col("id").alias("paper_id"), F.concat("last", F.lit(", "), "initial").alias("first_author")).join(providers.paper_authors(content, providers.TextPaper), "paper_id")
     done = spark.createDataFrame([(2,)], "paper_id long")
@@ -107,20 +125,41 @@ def test_extract_label_and_metadata(spark, tmp_path):
 
 def test_rejections(spark):
     d = spark.createDataFrame([(100, 300, "f", True), (300, 300, "", True), (300, 300, "f", False), (None, None, "f", False)], "width int, height int, file_path string, readable boolean")
-    d = d.withColumns({c: F.lit(0.0) for c in ("border_white", "border_dark", "dark", "radius", "hue_sum", "mean_s", "std", "edge", "interior_white")}).withColumns({"circle": F.lit(False), "centred": F.lit(False)})
+    d = d.withColumns({c: F.lit(0.0) for c in (
+        "border_white",
+        "border_dark",
+        "dark",
+        "radius",
+        "hue_sum",
+        "mean_s",
+        "std",
+        "edge",
+        "interior_white",
+    )}).withColumns({"circle": F.lit(False), "centred": F.lit(False)})
     got = figures.score(d).collect()
     assert [r["signals"] for r in got] == [["too_small"], ["no_file_path"], ["unreadable"], ["unreadable"]] and all(r["image_type"] == "rejected" and r["score"] == 0 for r in got)
     raw = bytes(range(48))
-    images = spark.createDataFrame([("a", 4, 4, 3, raw), ("b", 4, 4, 1, raw[:16]), ("c", -1, -1, -1, b""), ("d", None, None, None, None), ("e", 9, 9, 3, raw)], "origin string, width int, height int, nChannels int, data binary")
+    images = spark.createDataFrame(
+        [("a", 4, 4, 3, raw), ("b", 4, 4, 1, raw[:16]), ("c", -1, -1, -1, b""), ("d", None, None, None, None), ("e", 9, 9, 3, raw)],
+        "origin string, width int, height int, nChannels int, data binary",
+    )
     assert {r["origin"]: r["readable"] for r in pixels.raster_features(images).collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
     assert figures.score(pixels.raster_features(images)).where("signals[0] = 'unreadable'").count() == 3
     assert pixels.raster_features(images.limit(0)).count() == 0
 
 
 def events(spark):
-    body = [{"timestamp_start": "2012-01-01T00:00:30", "instrument": "AIA", "wavelength_angstrom": 171, "center_tx_arcsec": 100, "center_ty_arcsec": 0, "confidence": "high"}, {"timestamp_start": "2012-01-01T00:00:30Z", "limb_position": "NW", "confidence": "medium"}, {"timestamp_start": "2012-02-01", "confidence": "low"}, {"timestamp_start": None}]
+    body = [
+        {"timestamp_start": "2012-01-01T00:00:30", "instrument": "AIA", "wavelength_angstrom": 171, "center_tx_arcsec": 100, "center_ty_arcsec": 0, "confidence": "high"},
+        {"timestamp_start": "2012-01-01T00:00:30Z", "limb_position": "NW", "confidence": "medium"},
+        {"timestamp_start": "2012-02-01", "confidence": "low"},
+        {"timestamp_start": None},
+    ]
     docs = spark.createDataFrame([("p 1", "success", json.dumps(body)), ("p 2", "failed", "[]")], "paper string, status string, observations string")
-    records = spark.createDataFrame([(1, "2012-01-01 00:01:00", "AIA", 171), (2, "2012-01-01 00:00:10", "AIA", 304), (3, "2012-02-01 00:00:00", "HMI", 0), (4, "2012-02-01 00:00:01", "HMI", 0)], "record_id long, ts string, instrument string, wavelength int").withColumn("ts", F.col("ts").cast("timestamp"))
+    records = spark.createDataFrame(
+        [(1, "2012-01-01 00:01:00", "AIA", 171), (2, "2012-01-01 00:00:10", "AIA", 304), (3, "2012-02-01 00:00:00", "HMI", 0), (4, "2012-02-01 00:00:01", "HMI", 0)],
+        "record_id long, ts string, instrument string, wavelength int",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
     return docs, stages.events_of(docs), records
 
 
@@ -145,7 +184,12 @@ def test_observations_are_fetched_cut_and_written(spark, tmp_path):
     done = spark.createDataFrame([(x,) for x in os.listdir(out)], "output string")
     cached = spark.createDataFrame([(x, os.path.join(cache, x)) for x in os.listdir(cache)], "cache_key string, path string")
     again = stages.match_observations(e, records, done, cached)
-    assert [(r["event_index"], r["record_id"], r["status"]) for r in again.orderBy("event_index").collect()] == [(0, None, "skipped"), (1, None, "skipped"), (2, None, "strategy_c"), (3, None, "failed")]
+    assert [(r["event_index"], r["record_id"], r["status"]) for r in again.orderBy("event_index").collect()] == [
+        (0, None, "skipped"),
+        (1, None, "skipped"),
+        (2, None, "strategy_c"),
+        (3, None, "failed"),
+    ]
     assert {r["status"] for r in stages.fetch_and_render(m, make, cache, out).where("event_index < 2").collect()} == {"skipped"}
 
 
@@ -195,3 +239,62 @@ def test_small_expressions(spark):
     assert [r[0] for r in v.select(archive.figure_uint8(F.col("v"), F.col("whole"))).collect()] == [127, 7]
     lines = spark.sql("SELECT array(named_struct('spans', array(named_struct('text', 'a'), named_struct('text', 'b'))), named_struct('spans', array(named_struct('text', 'c ')))) AS l")
     assert lines.select(X.block_text(F.col("l"))).first()[0] == "ab c"
+
+
+def test_figures_are_saved(spark, tmp_path):
+    bgr = bytes([1, 2, 3, 4, 5, 6])
+    d = spark.createDataFrame(
+        [("f", "a", 2, 1, 3, bgr), ("f", "b", 2, 1, 1, b"\x07\x08"), ("g", "c", 1, 1, 4, b"\x00\xff\x00\x00"), ("g", "d", 9, 9, 3, bgr), ("g", "e", None, None, None, None)],
+        "folder string, name string, width int, height int, nChannels int, data binary",
+    )
+    got = {r["name"]: r["saved"] for r in files.save_figures(d, str(tmp_path)).collect()}
+    assert got == {"a": True, "b": True, "c": True, "d": False, "e": False}
+    assert png_pixels((tmp_path / "f" / "a.png").read_bytes()).tolist() == [[3, 2, 1, 6, 5, 4]]
+    assert png_pixels((tmp_path / "f" / "b.png").read_bytes()).tolist() == [[7, 8]]
+    assert png_pixels((tmp_path / "g" / "c.png").read_bytes()).tolist() == [[255, 0, 255]]
+    assert sorted(os.listdir(tmp_path / "g")) == ["c.png"]
+
+
+def test_keypoints_records_and_sizes(spark):
+    d = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.9), (1, 3, 0.5), (2, 1, 0.1)], "image_id int, point_id int, response double")
+    assert sorted((r["image_id"], r["point_id"]) for r in matching.strongest(d, 2).collect()) == [(1, 1), (1, 2), (2, 1)]
+    r = spark.createDataFrame([(1, "intensity"), (2, "LOS_magnetic_field"), (3, None)], "record_id int, physobs string")
+    assert [x["record_id"] for x in archive.records_of(r).collect()] == [1]
+    assert spark.range(1).select(X.megabytes(F.lit(1_468_006))).first()[0] == 1.4 and X.compact_date("2012-03-04") == "20120304"
+
+
+def test_images_from_files_to_scores(spark, tmp_path):
+    """PNG files through the image source, the pixel kernel and the score; a broken file is rejected."""
+    y, x = np.mgrid[0:300, 0:300]
+    disk_ = np.where((x - 150) ** 2 + (y - 150) ** 2 <= 120**2, 200, 0).astype(np.uint8)
+    rgb = np.stack([disk_, (disk_ * 0.55).astype(np.uint8), (disk_ * 0.05).astype(np.uint8)], 2)  # orange
+    (tmp_path / "sun.png").write_bytes(rasters.write_png(rgb))
+    (tmp_path / "gray.png").write_bytes(rasters.write_png(disk_))
+    (tmp_path / "white.png").write_bytes(rasters.write_png(np.full((300, 300), 255, np.uint8)))
+    (tmp_path / "small.png").write_bytes(rasters.write_png(disk_[:50, :50]))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    features = pixels.raster_features(files.images(spark, str(tmp_path))).withColumn("name", F.element_at(F.split("origin", "/"), -1))
+    got = {r["name"]: r for r in figures.score(features).collect()}
+    assert got["sun.png"]["is_solar"] and got["sun.png"]["image_type"] == "aia_false_color" and any(s.startswith("full_disk_circle_r1") for s in got["sun.png"]["signals"])
+    assert got["gray.png"]["is_solar"] and any(s.startswith("hmi_grayscale_sat0.0") for s in got["gray.png"]["signals"])
+    assert got["white.png"]["raw"] < 0 and not got["white.png"]["is_solar"] and got["white.png"]["score"] == 0
+    assert got["small.png"]["signals"] == ["too_small"] and got["broken.png"]["signals"] == ["unreadable"]
+    c = spark.createDataFrame([(150.0, 150.0), (10.0, 150.0), (150.0, 225.0)], "cx double, cy double")
+    assert [r[0] for r in c.select(figures.centred_circle(F.col("cx"), F.col("cy"), F.lit(300), F.lit(300))).collect()] == [True, False, False]
+
+
+def test_all_are_kept_but_those_too_small(spark):
+    d = spark.createDataFrame([(1, 0, 1, "f", ["too_small"], "rejected"), (1, 1, 1, None, ["x"], "unknown"), (1, 2, 3, "f", [], "unknown")], "paper_id long, index long, page int, file_path string, signals array<string>, image_type string")
+    d = d.withColumns({"is_solar": F.lit(False), "score": F.lit(0.0)})
+    assert [r["name"] for r in figures.kept_names(d, save_all=True).collect()] == ["img_001_p3_unknown"]
+    assert figures.kept_names(d).count() == 0
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")]
+    d = spark.createDataFrame(rows, "ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))
+    d.write.parquet(str(tmp_path / "in"))
+    counts = incremental.windowed_counts(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "ts", "k")
+    counts.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("windowed").select(F.date_format("window.start", "HH:mm").alias("at"), "k", "n").collect()
+    assert sorted(map(tuple, got)) == [("00:00", "a", 2), ("01:00", "b", 1)]
