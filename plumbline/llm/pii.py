@@ -103,7 +103,15 @@ DIGIT_NAMES = {
 AT_WORDS = ("at", "arroba", "arobase", "ät")
 DOT_WORDS = ("dot", "punto", "point", "punkt")
 PLUS_WORDS = ("plus", "más")
-_NAMES, _ATS, _DOTS, _PLUS = ("|".join(x) for x in (DIGIT_NAMES, AT_WORDS, DOT_WORDS, PLUS_WORDS))
+
+
+def _one_of(words) -> str:
+    """A pattern of the words, grouped by first letter, so that few are tried at each place."""
+    first = dict.fromkeys(w[0] for w in words)
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)
+
+
+_NAMES, _ATS, _DOTS, _PLUS = map(_one_of, (DIGIT_NAMES, AT_WORDS, DOT_WORDS, PLUS_WORDS))
 _NAME = rf"(?:(?:{_NAMES})(?![^\W_]))"
 _SEP = rf"(?:[ .,()-]{{1,3}}| (?:{_DOTS}) )"
 _ITEM = f"(?:{_NAME}|[0-9]+)"
@@ -121,6 +129,7 @@ _HINT_MARKED = re.compile(rf"[\[({{<][ \t]{{0,2}}(?:{_ATS}|{_DOTS}|@|\.)[ \t]{{0
 # ("look at example.com") only behind a local part with a sign or a digit in it ("j.doe at ...").
 _BARE = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?P<at> (?:{_ATS}) | ?@ ?)(?=[A-Za-z0-9-]+(?: (?:{_DOTS}) | \. |(?<=@)\.)[A-Za-z0-9-]+)|(?<=[A-Za-z0-9-])(?P<dot> (?:{_DOTS}) | \. )(?=[A-Za-z0-9-]+)", re.I)
 _BARE_DOTTED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+|(?<=[0-9]))++(?P<at> (?:{_ATS}) | ?@ ?)(?=[A-Za-z0-9-]+\.[A-Za-z0-9-]+)", re.I)
+_HINT_BARE = re.compile(rf"(?: (?:{_ATS}) | ?@ | @)[a-z0-9-]+\.[a-z0-9-]")
 _HINT_DIGITLIKE = re.compile(r"[0-9][.]?[OoIl][0-9.]|[OoIl][0-9]+\.[0-9]")
 _DIGITLIKE = re.compile(r"(?<=[0-9.])[OoIl](?=[0-9.])|(?<=\b)[OoIl](?=[0-9]+\.[0-9])")
 
@@ -190,7 +199,7 @@ def hinted(text: str) -> bool:
     if not text.isascii() and not _ODD.isdisjoint(text):
         return True
     low = " " + text.lower()
-    if _spaced(low) and (any(f" {w} " in low for w in DOT_WORDS) or " . " in low or _BARE_DOTTED.search(low)):
+    if _spaced(low) and (any(f" {w} " in low for w in DOT_WORDS) or " . " in low or _HINT_BARE.search(low)):
         return True
     return bool(_HINT_MARKED.search(low) or _HINT_SPELLED.search(low) or _HINT_DOTTED.search(low) or _HINT_DIGITLIKE.search(text))
 
