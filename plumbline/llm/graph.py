@@ -55,6 +55,14 @@ def _forest(batches):
     yield stars()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether the edges are stars around the least of each: no node has two roots, or one and is one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("root"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("root")))
+    wrong = ends.groupBy("x").agg(F.sum("below").alias("n"), F.max("root").alias("root")).where("n > 1 or n = 1 and root = 1")
+    return edges.where("u < v").isEmpty() and wrong.isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) long pairs -> (node, root): every node of an edge, with the smallest id reachable.
 
@@ -64,24 +72,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").transform(map_arrow, _forest, "u long, v long")
     e = materialize(stars.distinct(), "edges")
     for _ in range(max_rounds):
+        if _is_forest(e):
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours of u go to the least of u's neighbourhood.
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("u"), F.col("m").alias("v")),
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-        )).alias("e")).select("e.*").where("u <> v").distinct()
-        new = materialize(small, "edges")
-        # A forest of stars: no node is both a root and below one, and each has one root.
-        n, nodes, mixed = new.select(F.count("*"), F.count_distinct("u"), F.lit(0)).first()
+        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
+        e = materialize(small, "edges")
         remove(e.sparkSession, MADE[-2:-1])  # the round before
-        if n == nodes and not new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
-            e = new
-            break
-        e = new
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,8 +2,8 @@
 
 Copies collapse first: documents with the same shingle set form a class, and only class
 representatives go on. A band's bucket is a candidate group. Each member's full shingle set first meets
-that of its bucket's hub, the least id; buckets that are thereby in one component are done, and in the
-others every pair is compared exactly. So no link between two that share a band is lost, what shares
+that of its bucket's hub, the least id; buckets whose members all link with one hub are done, and in
+the others every pair is compared exactly. So no link between two that share a band is lost, what shares
 none is not compared, and no pair crosses the network.
 """
 
@@ -245,10 +245,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
     heads = fan.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("cid"))
     met = asked.unionByName(heads).join(sets, "cid").withColumn("deal", F.pmod(F.xxhash64("hub", "chunk"), F.lit(deals(n_star))))
     links = materialize(met.groupBy("deal").applyInArrow(_link_hubs(num=percent, den=100), "u long, v long"), "links")
-    known = materialize(components(links), "linked")
-    # Then the members of buckets that aren't one component yet meet each other. A bucket of the same
+    # Then the members of buckets that don't all follow one hub meet each other. A bucket of the same
     # members as another is left out; a pair that shares no band doesn't meet, so nothing chains.
-    at = join_checked(buckets, known.withColumnRenamed("node", "cid"), "cid", "left", known.count(), 32).withColumn("linked", F.coalesce("root", "cid")).drop("root")
+    follows = materialize(links.groupBy(F.col("u").alias("cid")).agg(F.min("v").alias("root")), "follows")
+    n_follows = follows.count()
+    for _ in range(2):  # hubs follow others: go on to where they lead, up to four steps
+        up = follows.select(F.col("cid").alias("root"), F.col("root").alias("further"))
+        follows = join_checked(follows, up, "root", "left", n_follows, 32).select("cid", F.coalesce("further", "root").alias("root"))
+        follows = materialize(follows, "follows")
+    at = join_checked(buckets, follows, "cid", "left", n_follows, 32).withColumn("linked", F.coalesce("root", "cid")).drop("root")
     mixed = at.groupBy("key").agg(
         F.min("linked").alias("low"),
         F.max("linked").alias("high"),
@@ -268,8 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = 120
             edges = edges.unionByName(_link_big(rest.where(F.col("n") > block), link, block))
         dealt = rest.where(F.col("n") <= block).select(F.col("root").alias("grp"), "cid", "shingles", F.pmod(F.xxhash64("root"), F.lit(deals(n_met))).alias("deal"))
         edges = edges.unionByName(dealt.groupBy("deal").applyInArrow(link, "u long, v long"))
-        known = components(edges)
-    roots = materialize(known.where("node <> root").select(F.col("node").alias("cid"), "root"), "roots")
+    roots = materialize(components(edges).where("node <> root").select(F.col("node").alias("cid"), "root"), "roots")
     n_roots = roots.count()
     member = classes.select("set_id", "cid")
     member = join_checked(member, roots, "cid", "left", n_roots, 32).select("set_id", F.coalesce("root", "cid").alias("class_root"))
