@@ -130,7 +130,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Texts are hashed in pieces of about so many bytes, cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def word_hashes(text: bytes) -> np.ndarray:
