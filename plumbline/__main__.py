@@ -91,7 +91,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         for r in archive.status_counts(found.select("status")).collect():
             print(f"{r['status']}: {r['n']}")
         return 0
-    p = stages.folders(_input(spark, a.papers))
+    p = stages.apart(stages.folders(_input(spark, a.papers)))
     x = stages.extract_figures(p, _input(spark, a.images), min_score=getattr(a, "min_score", 0.25), save_all=getattr(a, "save_all", False))
     if p.isEmpty():
         print("no papers")

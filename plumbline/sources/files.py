@@ -21,16 +21,21 @@ LOG_SCHEMA = f"paper_id long, title string, publication_date string, bibcode str
 ) for f in IMAGE.split(', '))}>>"
 
 
+def _path():
+    """A row's file, as it is named: Spark gives it encoded as in URLs."""
+    return F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
 def extraction_logs(spark: SparkSession, root: str) -> DataFrame:
     """One row a paper directory with a log, in name order; unreadable logs are dropped."""
     schema = LOG_SCHEMA + ", _corrupt_record string"
     d = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/*/extraction_log.json")
-    return d.where("_corrupt_record is null").drop("_corrupt_record").withColumn("folder", F.element_at(F.split("_metadata.file_path", "/"), -2)).orderBy("folder")
+    return d.where("_corrupt_record is null").drop("_corrupt_record").withColumn("folder", F.element_at(F.split(_path(), "/"), -2)).orderBy("folder")
 
 
 def metadata_documents(spark: SparkSession, root: str, schema: str) -> DataFrame:
     d = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/*.json")
-    return d.where("_corrupt_record is null").drop("_corrupt_record").withColumn("stem", X.stem(F.col("_metadata.file_path"))).orderBy("stem")
+    return d.where("_corrupt_record is null").drop("_corrupt_record").withColumn("stem", X.stem(_path())).orderBy("stem")
 
 
 def paper_files(spark: SparkSession, root: str) -> DataFrame:

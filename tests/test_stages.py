@@ -213,6 +213,8 @@ def test_command_line(spark, tmp_path, capsys):
     os.makedirs(t["out"])
     assert cli.run(spark, ["label", "--papers", t["papers"], "--images", t["images"], "--blocks", t["blocks"], "--output-dir", t["out"]]) == 0
     assert cli.run(spark, ["metadata", "--papers", t["papers"], "--images", t["images"], "--blocks", t["blocks"], "--output-dir", t["meta"]]) == 0
+    assert sorted(os.listdir(t["meta"])) == [f"2012-03 - Song, Y{k}.json" for k in (" 2", " 3", "")]
+    assert {r["stem"] for r in files.metadata_documents(spark, t["meta"], "status string").collect()} == {f"2012-03 - Song, Y{k}" for k in (" 2", " 3", "")}
     events(spark)[2].write.parquet(t["records"])
     os.makedirs(t["archive"])
     assert cli.run(spark, ["query", "--metadata-dir", t["meta"], "--records", t["records"], "--archive-dir", t["archive"], "--fits-dir", t["fits"], "--output-dir", t["cut"]]) == 0
