@@ -88,7 +88,7 @@ def _blobs(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.01, sample: int = 4096, hot: int = 64, pack: int = 2048, few: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.01, sample: int = 4096, hot: int = 64, pack: int = 2048, few: int = 32) -> DataFrame:
     """Vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row for each row.
 
     Links: cosine in double precision of at least `cosine`. Vectors that are null, empty, zero or hold
