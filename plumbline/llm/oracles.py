@@ -1,7 +1,7 @@
-"""DuckDB SQL for op1, op2, op3, op4, op8 and op9: plain joins over all pairs or all substrings, which
+"""DuckDB SQL for op1, op2, op3, op4, op8, op9 and op13: plain joins over all pairs or all substrings, which
 only small tables bear.
 
-For op1, op2, op3, op8 the SQL is the contract alone. What a contract leaves to the method (op4's verdicts
+For op1, op2, op3, op8 and op13 the SQL is the contract alone. What a contract leaves to the method (op4's verdicts
 without a rule, op9's words taken) the SQL computes by the method's definition, constants included,
 in other steps than the operator's.
 """
@@ -120,5 +120,28 @@ WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\
 ), part AS (SELECT d.rn, d.shard, d.at_, sum(least(d.a + d.size, b.hi) - greatest(d.a, b.lo)) AS part FROM spans d JOIN drawn b ON d.rn = b.rn AND d.shard = b.shard AND b.lo < d.a + d.size AND b.hi > d.a WHERE d.size > 0 GROUP BY ALL)
 SELECT d.doc_id, d.size, d.source_size, d.target, (coalesce(s.won // s.blocks, 0) * d.size + coalesce(p.part, 0))::BIGINT AS taken
 FROM spans d LEFT JOIN shard2 s USING (rn, shard) LEFT JOIN part p USING (rn, shard, at_)
+""",
+    "op13_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(s, '[^A-Z]', '', 'g')) > 3 * length(s) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(s, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN min(w.doc_id) OVER (PARTITION BY s) < w.doc_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), p AS (SELECT c.*, filter_order, coalesce(list_min(list_transform(string_split(fails, ''), lambda x: CASE WHEN x = '' THEN 6 ELSE instr(filter_order, x) END)), 6) AS at_ FROM c, o
+), r AS (
+  SELECT part, filter_order, step, filter_order[step] AS x, coalesce(sum(n) FILTER (at_ > step), 0) AS kept, coalesce(sum(n) FILTER (at_ = step), 0) AS removed,
+    coalesce(sum(n) FILTER (at_ < step AND contains(fails, filter_order[step])), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter_order[step]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (at_ = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (at_ = step), 0) AS toxic_lost
+  FROM p, range(1, 6) steps(step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM r
 """,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dup, lang_id, mixing, near_dup, passage_dup, pii, token_files, top_k, url_filter
+from . import ann, byte_bpe, embed_dup, filter_audit, lang_id, mixing, near_dup, passage_dup, pii, token_files, top_k, url_filter, whitening
 from .oracles import ORACLES  # noqa: F401  with QUERIES, what __spark_entry__ registers
 
 
@@ -60,6 +60,18 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_top_k,
     op2_near_dup,
@@ -71,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_passage_dup,
     op9_mixing,
     op10_pii,
+    op11_ann,
+    op12_whitening,
+    op13_filter_audit,
 )}

@@ -17,7 +17,7 @@ from tests.llm.test_operators import WORD, docs, groups
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf_dir)
     found = con.execute(queries.ORACLES[name])
@@ -28,7 +28,7 @@ def test_oracles(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_stages(spark, sf_dir):
