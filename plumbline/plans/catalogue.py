@@ -9,6 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import text as X
 from ..operators import archive, captions, figures, matching, metadata, papers
 from .. import stages
+from ..sources import models
 from ..streaming import incremental
 from . import adapters as A
 
@@ -211,8 +212,7 @@ MATCHED = f"(SELECT s.* EXCLUDE (y0, y1), b.y0, b.y1 FROM {S} s LEFT JOIN {BOX}
 
 
 def _boxed(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return figures.with_rectangles(s, figures.rectangles(s))
+    return figures.own_rectangles(_scored(spark, sf_dir))
 
 
 @query(f"SELECT paper_id, index, page, y0, y1 FROM {MATCHED}")
@@ -278,7 +278,7 @@ def q22_assemble_observations(spark, sf_dir):
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     i = a.select("parsed", F.col("user_id").alias("paper_id"), F.col("event_id").alias("index"), F.format_string("solar_%03d", n).alias("name"), F.concat(F.lit("Fig. "), (F.col("event_id") % 9 + 1).cast("string")).alias("figure_label"), F.when(F.col("event_id") % 2 == 0, "").otherwise("A loop").alias("caption_text"), F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("first"), F.lit("second"))).alias("paragraphs"), F.lit("Filament").alias("structure_label"), F.lit(0.25).alias("structure_confidence"))
     o = metadata.observations(i)
-    return o.select(F.col("index").alias("event_id"), "paper_id", "observation_filename", "figure", "phenomenon", "confidence", metadata.prompt(F.concat(F.lit("Fig. "), F.col("figure").cast("string")), F.col("caption"), F.col("paragraphs")).alias("prompt"))
+    return o.select(F.col("index").alias("event_id"), "paper_id", "observation_filename", "figure", F.col("phenomenon").cast("string").alias("phenomenon"), F.col("confidence").cast("string").alias("confidence"), metadata.prompt(F.concat(F.lit("Fig. "), F.col("figure").cast("string")), F.col("caption"), F.col("paragraphs")).alias("prompt"))
 
 
 @query(f"SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY event_id) - 1 AS INT) AS event_index, event_id FROM {OBS} WHERE user_id % 7 <> 0")
@@ -321,7 +321,7 @@ CHOSEN = "CASE WHEN confidence = 'high' AND tx IS NOT NULL THEN 'strategy_a' WHE
 
 
 def _strategy():
-    return archive.strategy(F.col("confidence"), F.col("tx"), F.col("limb"))
+    return archive.strategy(F.col("confidence"), F.col("tx").isNotNull(), F.col("limb"))
 
 
 @query(f"SELECT event_id, {CHOSEN} AS strategy FROM {OBS}")
@@ -454,10 +454,13 @@ def _halves(texts):
 
 
 class _Even:
-    """A stand-in model: sure where the prompt's length is even, without an object where it is odd."""
+    """A stand-in model: sure where the question's length is even, without an object where it is odd."""
+
+    def __call__(self, chats, **options):
+        return ['{"instrument": "AIA", "confidence": "high"}' if len(c[-1]["content"]) % 2 == 0 else "no idea" for c in chats]
+
 
-    def __call__(self, prompts):
-        return ['{"instrument": "AIA", "confidence": "high"}' if len(p) % 2 == 0 else "no idea" for p in prompts]
+HALVES = models.Model("halves", lambda: _halves)
 
 
 @query(f"""SELECT k.paper_id, k.index, k.name, p.folder, k.index % 3 > 0 AS saved FROM
@@ -477,7 +480,7 @@ STRUCTURED = f"""(SELECT *, printf('solar_%03d_p%d_%s', row_number() OVER (PARTI
 @query(f"""SELECT concat(folder, '.pdf') AS paper_filename, concat('papers/', folder, '.pdf') AS paper_path, concat('images/', folder, '/', name, '.png') AS image_path, figure_label, caption_text,
   label AS structure_label, sure AS structure_confidence, match AS caption_match_confidence, image_type, score AS classifier_score FROM {STRUCTURED} JOIN {PAPER} ON id = paper_id""")
 def q39_label_stage(spark, sf_dir):
-    return stages.label_figures(_scored(spark, sf_dir), A.blocks(spark, sf_dir), _papers(spark, sf_dir), _halves)
+    return stages.label_figures(_scored(spark, sf_dir), A.blocks(spark, sf_dir), _papers(spark, sf_dir), HALVES)
 
 
 ASKED = f"""(SELECT i.*, caption_text <> '' OR paragraphs IS NOT NULL AS asked, concat('Figure: ', CASE WHEN figure_label = '' THEN '(unknown)' ELSE figure_label END, chr(10), 'Caption: ', CASE WHEN caption_text = '' THEN '(none)' ELSE caption_text END, chr(10), 'Text:', chr(10),
@@ -489,7 +492,7 @@ ASKED = f"""(SELECT i.*, caption_text <> '' OR paragraphs IS NOT NULL AS asked,
   (SELECT paper_id, count(*) AS n, count(*) FILTER (asked AND length(prompt) % 2 = 0) AS high, count(*) FILTER (label = 'Flare') AS flares FROM {ASKED} GROUP BY paper_id) ON id = paper_id""")
 def q40_metadata_stage(spark, sf_dir):
     p = _papers(spark, sf_dir).select(F.col("id").alias("paper_id"), F.concat("last", F.lit(", "), "initial").alias("first_author"), F.lit(None).cast("string").alias("pdf_author"))
-    d = stages.extract_metadata(_scored(spark, sf_dir), A.blocks(spark, sf_dir), p, _halves, _Even, p.where("paper_id % 7 = 0"))
+    d = stages.extract_metadata(_scored(spark, sf_dir), A.blocks(spark, sf_dir), p, HALVES, models.Model("even", _Even), p.where("paper_id % 7 = 0"))
     count = lambda x: F.coalesce(F.regexp_count("observations", F.lit(x)), F.lit(0))
     return d.select("paper_id", "paper_authors", "n_observations", "status", count('"confidence":"high"').alias("n_high"), count('"phenomenon":"Flare"').alias("n_flares"))
 
@@ -516,3 +519,49 @@ def q41_query_stage(spark, sf_dir):
     cache = e.where("event_index % 9 = 4").select("cache_key", F.concat(F.lit("/cache/"), "cache_key").alias("path"))
     m = stages.match_observations(e, records, e.where("event_index % 35 = 0").select("output"), cache)
     return m.select("paper", F.col("event_index").cast("int").alias("event_index"), "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"), "cache_key", "bounds.tx_min", "bounds.ty_max")
+
+
+# --- two stages in a row: what the metadata stage writes is what the query stage reads --------------------
+
+
+class _Placed:
+    """A stand-in model whose answer follows from the question's length alone: by turns sure with a centre and a
+    field of view, unsure with a limb, and neither; numbers as numbers, and every seventh as text."""
+
+    def __call__(self, chats, **options):
+        import json
+
+        out = []
+        for n in (len(c[-1]["content"]) for c in chats):
+            said = {"timestamp_start": f"2024-01-{n % 28 + 1:02d}T{n % 24:02d}:{n % 60:02d}:00", "wavelength_angstrom": n % 4 * 100 or None}
+            if n % 3 == 0:
+                tx = n % 1000 - 500
+                said |= {"confidence": "high", "center_tx_arcsec": str(tx) if n % 7 == 0 else tx, "center_ty_arcsec": n % 700 - 350.5}
+                said |= {"fov_arcsec": [400, 200 + n % 50]} if n % 2 else {}
+            elif n % 3 == 1:
+                said |= {"confidence": "medium", "limb_position": ["NW", "SE", "disk"][n % 5 % 3]}
+            out.append("```json\n" + json.dumps(said) + "\n```")
+        return out
+
+
+ANSWERED = f"""(SELECT a.*, folder, row_number() OVER (PARTITION BY a.paper_id ORDER BY index) - 1 AS place, length(prompt) AS n FROM {ASKED} a JOIN {PAPER} p ON p.id = a.paper_id)"""
+PLACES = f"""(SELECT *, CASE WHEN asked AND n % 3 = 0 THEN 'strategy_a' WHEN asked AND n % 3 = 1 THEN 'strategy_b' ELSE 'strategy_c' END AS strategy,
+  CASE WHEN asked THEN make_timestamp(2024, 1, n % 28 + 1, n % 24, n % 60, 0) END AS at_, CASE WHEN asked THEN nullif(n % 4 * 100, 0) END AS wave,
+  CAST(n % 1000 - 500 AS DOUBLE) AS tx, CAST(n % 700 AS DOUBLE) - 350.5 AS ty, CASE WHEN n % 2 = 1 THEN 400.0::DOUBLE ELSE 300.0::DOUBLE END AS w, CASE WHEN n % 2 = 1 THEN CAST(200 + n % 50 AS DOUBLE) ELSE 300.0::DOUBLE END AS h, n % 5 % 3 AS limb FROM {ANSWERED})"""
+CORNER = "CASE WHEN strategy = 'strategy_a' THEN {a} WHEN strategy = 'strategy_b' AND limb = 0 THEN {nw} WHEN strategy = 'strategy_b' AND limb = 1 THEN {se} ELSE {full} END"
+
+
+@query(f"""SELECT folder AS paper, CAST(o.place AS INT) AS event_index, strategy, CASE WHEN r IS NULL THEN 'failed' ELSE strategy END AS status, coalesce(r, -1) AS record_id, CAST(wave AS INT) AS wavelength,
+  {CORNER.format(a="tx - w / 2", nw="-800.0", se="100.0", full="-1200.0")} AS tx_min, {CORNER.format(a="ty - h / 2", nw="200.0", se="-800.0", full="-1200.0")} AS ty_min,
+  {CORNER.format(a="tx + w / 2", nw="-100.0", se="800.0", full="1200.0")} AS tx_max, {CORNER.format(a="ty + h / 2", nw="800.0", se="-200.0", full="1200.0")} AS ty_max
+  FROM {PLACES} o LEFT JOIN (SELECT paper_id, place, arg_min(event_id, (ts, event_id)) AS r FROM {PLACES} JOIN events ON ts BETWEEN at_ - INTERVAL 60 SECOND AND at_ + INTERVAL 60 SECOND AND (wave IS NULL OR wave = event_id % 4 * 100) GROUP BY ALL) m
+  ON o.paper_id = m.paper_id AND o.place = m.place""")
+def q42_metadata_to_query(spark, sf_dir):
+    """Every observation of the metadata stage's own documents, through the query stage."""
+    papers_ = _papers(spark, sf_dir)
+    p = papers_.select(F.col("id").alias("paper_id"), F.concat("last", F.lit(", "), "initial").alias("first_author"), F.lit(None).cast("string").alias("pdf_author"))
+    d = stages.extract_metadata(_scored(spark, sf_dir), A.blocks(spark, sf_dir), p, HALVES, models.Model("placed", _Placed))
+    d = d.join(papers_.select(F.col("id").alias("paper_id"), F.col("folder").alias("paper")), "paper_id").select("paper", "status", "observations")
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"), (F.col("event_id") % 4 * 100).cast("int").alias("wavelength"))
+    m = stages.match_observations(stages.events_of(d), records)
+    return m.select("paper", F.col("event_index").cast("int").alias("event_index"), "strategy", "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"), "wavelength", "bounds.*")

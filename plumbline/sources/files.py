@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 import os
 import shutil
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rasters, text as X
+from . import named_files
 
 IMAGE = "index long, page int, size string, color_space string, encoding string, is_solar boolean, score double, signals array<string>, image_type string"
 LOG_SCHEMA = f"paper_id long, title string, publication_date string, bibcode string, doi string, ads_url string, first_author string, total_images_found int, solar_images_saved int, min_score_threshold double, images array<struct<{', '.join(f.replace(
@@ -50,8 +50,9 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> int:
-    """One CSV file with a byte order mark, streamed through the driver partition by partition."""
+    """One CSV file with a byte order mark, streamed through the driver partition by partition; its folder is made."""
     n = 0
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path + ".part", "w", newline="", encoding="utf-8-sig") as f:
         out = csv.writer(f)
         out.writerow(df.columns)
@@ -72,50 +73,64 @@ def write_markdown(entries: DataFrame, path: str, heading: str) -> int:
     return n
 
 
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """The files under root, folders of folders included: folder (of the file, as it stands below root; empty for root
+    itself), name, path, length. A root that isn't there has none. Spark lists folders in parallel, and no
+    content is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return spark.createDataFrame([], "folder string, name string, path string, length long")
+    base = fs.makeQualified(at).toString().rstrip("/") + "/"
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length")
+    # A qualified path has one slash behind the scheme, or three: the place of the root's own name counts.
+    below = F.expr(f"substr(path, instr(path, {_literal(base.split(':', 1)[-1])}) + {len(base.split(':', 1)[-1])})")
+    d = d.withColumn("_below", below)
+    return d.select(F.regexp_extract("_below", r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), F.regexp_extract("_below", r"([^/]*)$", 1).alias("name"), "path", "length")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def write_documents(docs: DataFrame, root: str, key: str, body: str) -> None:
-    """One JSON text file a key, as partition folders, written by the executors."""
-    docs.select(key, F.col(body).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(root)
+    """<key>.json a row under root: all of them or none; other files stay."""
+    named_files.write(docs.select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("name"), F.col(body).alias("content")), root)
+
+
+def write_json_files(docs: DataFrame, root: str) -> None:
+    """<folder>.json a row of (folder, json) under root: all of them or none; other files stay."""
+    write_documents(docs, root, "folder", "json")
 
 
-def save_figures(figures: DataFrame, root: str) -> DataFrame:
-    """Figures (folder, name, width, height, nChannels, data: rows of BGR, gray or CMYK bytes) as
-    root/<folder>/<name>.png, RGB or gray, written by the executors: folder, name, saved. Data that doesn't
-    fit its size is not saved. root is a folder that all executors share."""
+def write_logs(logs: DataFrame, root: str) -> None:
+    """Logs (LOG_SCHEMA and folder) as <folder>/extraction_log.json, where extraction_logs() reads them."""
+    body = F.to_json(F.struct(*[c for c in logs.columns if c != "folder"]), {"ignoreNullFields": "false"})
+    named_files.write(logs.select(F.concat("folder", F.lit("/extraction_log.json")).alias("name"), body.alias("content")), root)
+
+
+def encode_figures(figures: DataFrame) -> DataFrame:
+    """Figures (folder, name, width, height, nChannels, data: rows of BGR, gray or CMYK bytes) as PNG files: folder,
+    name, content, RGB or gray; content is null where data doesn't fit its size."""
 
     def run(batches):
         for b in batches:
-            done = []
-            for folder, name, w, h, n, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+            made = []
+            for w, h, n, data in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
                 good = bool(data) and bool(w) and len(data) == w * h * n and n in (1, 3, 4)
                 if good:
                     x = np.frombuffer(data, np.uint8).reshape(h, w, n)
                     x = x[..., 0] if n == 1 else x[..., ::-1] if n == 3 else rasters.cmyk_to_rgb(x)
-                    os.makedirs(os.path.join(root, folder), exist_ok=True)
-                    own = os.path.join(root, folder, f".{name}.{uuid.uuid4().hex}")
-                    with open(own, "wb") as f:
-                        f.write(rasters.write_png(np.ascontiguousarray(x)))
-                    os.replace(own, os.path.join(root, folder, f"{name}.png"))
-                done.append(good)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.bool_())], ["folder", "name", "saved"])
+                made.append(rasters.write_png(np.ascontiguousarray(x)) if good else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["folder", "name", "content"])
 
-    return figures.select("folder", "name", "width", "height", "nChannels", "data").mapInArrow(run, "folder string, name string, saved boolean")
+    return figures.select("folder", "name", "width", "height", "nChannels", "data").mapInArrow(run, "folder string, name string, content binary")
 
 
-def write_json_files(docs: DataFrame, root: str) -> None:
-    """<folder>.json a row of (folder, json) under root, a folder that all executors share; written by the
-    executors, whole or absent."""
-
-    def run(batches):
-        os.makedirs(root, exist_ok=True)
-        for b in batches:
-            for folder, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = os.path.join(root, f".{folder}.{uuid.uuid4().hex}")
-                with open(own, "w", encoding="utf-8") as f:
-                    f.write(body)
-                os.replace(own, os.path.join(root, f"{folder}.json"))
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
-
-    docs.select("folder", "json").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+def save_figures(figures: DataFrame, root: str) -> None:
+    """encode_figures()' files as root/<folder>/<name>.png: all of them or none. What was saved is in listing()."""
+    made = encode_figures(figures).where("content is not null")
+    named_files.write(made.select(F.concat_ws("/", "folder", F.concat("name", F.lit(".png"))).alias("name"), "content"), root)
 
 
 def copy_once(files: DataFrame, root: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """A Python data source over a paged papers service: format("papers_api").
 
-Options: base_url, start_year, end_year, page_size, id. One partition a year, so years are read in
-parallel; with id, one request for one document. The id is an option and no pushed filter: what a
-reader pushes down stays with the relation, and a later query of it would see the filter again.
+Options: base_url, start_year, end_year, page_size, tasks_per_year, id, missing. The pages of a year are dealt to
+tasks_per_year tasks, which take every so manyth page until one isn't full: the service doesn't say how many there are,
+and a big year is still read by several tasks. With id, one request for one document; one that isn't there is an
+error, or no row with missing=ignore.
+
+Filters are Spark's work by default. With push=true (and spark.sql.python.filterPushdown.enabled set) id = n asks for
+that document alone. What a reader pushes down stays with the relation in Spark: load a new frame for each such query.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import urllib.parse
 import urllib.request
 import uuid
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 SCHEMA = "id long, title string, authors string, publication_date string, doi string, bibcode string, citation_count long, ads_url string, abstract string"
 FIELDS = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
@@ -40,14 +44,15 @@ def check_health(url: str) -> None:
         raise ConnectionError(f"papers service at {url} gave an unknown answer")
 
 
-def pages_of_year(url: str, year: int, page_size: int):
-    skip = 0
+def pages_of_year(url: str, year: int, page_size: int, first: int = 0, every: int = 1):
+    """The documents of a year's pages first, first + every, ... up to a page that isn't full."""
+    skip = first * page_size
     while True:
         page = _get(f"{url}/documents?{urllib.parse.urlencode({'year': year, 'skip': skip, 'limit': page_size})}", 30)
         yield from page
         if len(page) < page_size:
             return
-        skip += page_size
+        skip += every * page_size
 
 
 def by_id(url: str, doc_id: int) -> dict:
@@ -100,8 +105,8 @@ def download_all(ids, url: str, root: str, source: str | None = None, tries: int
 
 
 class _Part(InputPartition):
-    def __init__(self, year: int | None, doc_id: int | None = None):
-        self.year, self.doc_id = year, doc_id
+    def __init__(self, year: int | None, stripe: int = 0, doc_id: int | None = None):
+        self.year, self.stripe, self.doc_id = year, stripe, doc_id
 
 
 class _Reader(DataSourceReader):
@@ -109,25 +114,41 @@ class _Reader(DataSourceReader):
         self.url = base_url(options.get("base_url"))
         self.years = range(int(options.get("start_year", 2010)), int(options.get("end_year", 2024)) + 1)
         self.size = int(options.get("page_size", 1000))
+        self.stripes = max(1, int(options.get("tasks_per_year", 2)))
         self.doc_id = int(options["id"]) if options.get("id") else None
+        self.missing = options.get("missing", "error")
         if options.get("check", "true") == "true":
             check_health(self.url)
 
     def partitions(self):
-        return [_Part(None, self.doc_id)] if self.doc_id is not None else [_Part(y) for y in self.years]
+        if self.doc_id is not None:
+            return [_Part(None, doc_id=self.doc_id)]
+        return [_Part(y, s) for y in self.years for s in range(self.stripes)]
 
     def read(self, part):
         if part.doc_id is not None:
             try:
                 rows = [by_id(self.url, part.doc_id)]
             except ValueError:
+                if self.missing != "ignore":
+                    raise
                 rows = []
         else:
-            rows = pages_of_year(self.url, part.year, self.size)
+            rows = pages_of_year(self.url, part.year, self.size, part.stripe, self.stripes)
         for r in rows:
             yield tuple(r.get(c) for c in FIELDS)
 
 
+class _PushedReader(_Reader):
+    def pushFilters(self, filters):
+        """Takes id = n where the id isn't an option; Spark applies the others."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("id",) and self.doc_id is None and f.value is not None:
+                # No document is no row here: the filter asks whether there is one.
+                self.doc_id, self.missing = int(f.value), "ignore"
+            yield f
+
+
 class PapersSource(DataSource):
     @classmethod
     def name(cls):
@@ -137,7 +158,7 @@ class PapersSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_PushedReader if self.options.get("push") == "true" else _Reader)(self.options)
 
 
 def register(spark) -> None:

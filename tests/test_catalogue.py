@@ -48,3 +48,8 @@ def test_entry(spark):
 def test_ransac_finds_the_planted_transform(spark, sf_dir):
     got = catalogue.QUERIES["q35_ransac_similarity"](spark, sf_dir).where("accepted").collect()
     assert got and all(abs(r["a"] - 0.8) < 0.05 and abs(r["b"] - 0.3) < 0.05 for r in got)
+
+
+def test_stages_in_a_row_take_every_strategy(spark, sf_dir):
+    got = {r["strategy"]: r for r in catalogue.QUERIES["q42_metadata_to_query"](spark, sf_dir).groupBy("strategy").agg({"*": "count", "record_id": "max"}).collect()}
+    assert set(got) == {"strategy_a", "strategy_b", "strategy_c"} and all(r["max(record_id)"] >= 0 for r in got.values())

@@ -1,24 +1,32 @@
 """The papers service source against a server of our own, files, providers, pixel kernels, streams."""
 
 import json
+import os
+import pickle
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import numpy as np
 import pytest
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
 
 from plumbline.functions import pixels
 from plumbline.operators import metadata, papers
-from plumbline.sources import files, papers_api, providers
+from plumbline.sources import files, models, named_files, papers_api, providers
 from plumbline.streaming import incremental
 
 DOCS = [{"id": i, "title": f"t{i}", "publication_date": f"{2010 + i % 3}-0{1 + i % 9}-00"} for i in range(25)]
 
 
+SEEN: list[str] = []
+
+
 class Handler(BaseHTTPRequestHandler):
     def do_GET(self):
+        SEEN.append(self.path)
         u = urlparse(self.path)
         q = {k: v[0] for k, v in parse_qs(u.query).items()}
         body, code = {"message": "ok"}, 200
@@ -53,7 +61,23 @@ def test_papers_source(spark, server, tmp_path):
     d = source()
     assert sorted(r["id"] for r in d.collect()) == [i for i in range(25) if i % 3 < 2]
     assert [r["title"] for r in source(id=7).collect()] == ["t7"]
-    assert source(id=99).count() == 0
+    assert source(id=99, missing="ignore").count() == 0
+    with pytest.raises(Exception, match="no document 99"):
+        source(id=99).count()
+    SEEN.clear()
+    assert sorted(r["id"] for r in source(start_year=2010, tasks_per_year=3).where("publication_date < '2011'").collect()) == [i for i in range(25) if i % 3 == 0]
+    assert source(end_year=2010, tasks_per_year=3).rdd.getNumPartitions() == 3
+    pages = [int(x.split("skip=")[1].split("&")[0]) for x in SEEN if "year=2010" in x]
+    assert sorted(pages) == [0, 3, 6, 9, 12, 15]  # nine documents, three a page: three tasks, each up to a page that is not full
+    # A pushed id asks for one url; a later query of a new frame asks for all.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        SEEN.clear()
+        assert [r["title"] for r in source(check="false", push="true").where("id = 7").collect()] == ["t7"] and SEEN == ["/documents/7"]
+        assert source(push="true").where("id = 99").count() == 0
+        assert source(push="true").where("id > 20").count() == len([i for i in range(21, 25) if i % 3 < 2])
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert [r["title"] for r in d.where("id = 7").collect()] == ["t7"]
     with pytest.raises(ValueError):
         papers_api.by_id(server, 99)
@@ -85,16 +109,96 @@ def test_logs_and_copies(spark, tmp_path):
     assert {r["copied"] for r in files.copy_once(listing, str(tmp_path / "out")).collect()} == {False}
     files.write_documents(spark.createDataFrame([("a", "{}"), ("b", "[]")], "paper string, body string"), str(tmp_path / "docs"), "paper", "body")
     assert spark.read.text(str(tmp_path / "docs")).count() == 2
+    assert files.listing(spark, str(tmp_path / "none")).isEmpty()
+    assert sorted(tuple(r) for r in files.listing(spark, str(tmp_path), "*.*").select("folder", "name", "length").collect() if "extraction" not in r["name"]) == [
+        ("docs", "a.json", 2),
+        ("docs", "b.json", 2),
+        *[(f"in/{k}", f"paper_{k}.pdf", 3) for k in "abc"],
+        *[(f"out/{k}", "x.pdf", 3) for k in "abc"],
+    ]
+
+
+def test_named_files_come_on_commit_only(spark, tmp_path):
+    root = tmp_path / "a b" / "out"
+    rows = spark.range(40).repartition(4).select(F.concat(F.lit("f "), (F.col("id") % 3).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("content"))
+    named_files.write(rows, str(root))
+    found = {r["name"]: (r["folder"], r["length"]) for r in files.listing(spark, f"file://{root}").collect()}
+    assert len(found) == 40 and found["12.txt"] == ("f 0", 2) and (root / "f 0" / "12.txt").read_text() == "12"
+    assert sorted(x.name for x in root.iterdir()) == ["f 0", "f 1", "f 2"]
+    # Files of other names stay; one that is there is replaced, by URI too.
+    named_files.write(spark.createDataFrame([("f 0/12.txt", "new"), ("g", None)], "name string, content string"), f"file://{root}")
+    assert (root / "f 0" / "12.txt").read_text() == "new" and (root / "g").read_bytes() == b"" and (root / "f 0" / "15.txt").exists()
+    # A job that fails, by its rows or by a name that leaves the root, leaves nothing.
+    late = rows.where("id >= 0").withColumn("content", F.when(F.col("name") == "f 1/37.txt", F.raise_error(F.lit("stop"))).otherwise("x"))
+    for bad in (late, rows.withColumn("name", F.concat(F.lit("../"), "name"))):
+        with pytest.raises(Exception, match="stop|no name"):
+            named_files.write(bad.withColumn("name", F.concat(F.lit(""), "name")), str(root))
+        assert sorted(x.name for x in root.iterdir()) == ["f 0", "f 1", "f 2", "g"] and (root / "f 1" / "10.txt").read_text() == "10"
+
+
+def test_models_are_made_once_a_worker_by_name(spark, tmp_path):
+    made = str(tmp_path)
+
+    def maker(kind):
+        def make():
+            with open(f"{made}/{kind}-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+                return lambda chats, **o: [f"{kind} {c[0]['role']} {c[-1]['content']} {o['max_new_tokens']}" for c in chats]
+
+        return make
+
+    prompts = spark.range(40).repartition(8).select(F.when(F.col("id") > 0, F.concat(F.lit("q"), "id")).alias("prompt"))
+    a, b = models.Model(f"a {made}", maker("A")), models.Model(f"b {made}", maker("B"), {"max_new_tokens": 9})
+    for _ in range(2):
+        for m, kind, most in ((a, "A", 512), (b, "B", 9)):
+            got = {r["prompt"]: r["raw"] for r in providers.ask(prompts, m, ["x"]).collect()}
+            assert len(got) == 40 and got["q7"] == f"{kind} system q7 {most}" and got[None] is None
+    names = [x.rsplit("-", 1)[0] for x in os.listdir(made)]
+    assert {x[0] for x in names} == {"A", "B"} and len(names) == len(set(names))  # one of a name for each worker process
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    asks = models.Model("c", maker("C"), profile=profile)
+    assert providers.ask(prompts, asks, ["x"])._jdf.queryExecution().analyzed().profile().isDefined()
+    assert pickle.loads(pickle.dumps(models.Model("d", providers.EchoModel, {"k": 1}, profile))).profile is None
+    for k in range(9):  # a worker keeps few
+        models.Model(f"e{k}", list).here()
+    assert len(models._HERE) <= models.KEPT
+
+
+def test_answers_are_kept_by_content(spark, tmp_path):
+    store, asked = str(tmp_path / "answers"), str(tmp_path / "asked")
+    os.makedirs(asked)
+
+    def random_model():
+        def answer(chats, **options):
+            for c in chats:
+                with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(c[-1]["content"])
+            return [uuid.uuid4().hex for _ in chats]
+
+        return answer
+
+    model = models.Model(f"random {store}", random_model)
+    prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id long, prompt string")
+    first = {r["id"]: r["raw"] for r in providers.ask_once(prompts, model, ["x"], store).collect()}
+    assert first[1] == first[3] != first[2] and first[4] is None and len(os.listdir(asked)) == 2
+    more = prompts.union(spark.createDataFrame([(5, "c")], prompts.schema))
+    again = providers.ask_once(more, model, ["x"], store)
+    for _ in range(2):  # the plan may run again
+        assert {k: v for k, v in ((r["id"], r["raw"]) for r in again.collect()) if k < 5} == first
+    assert len(os.listdir(asked)) == 3
+    other = models.Model(model.name, random_model, {"temperature": 0.7})
+    assert {r["id"]: r["raw"] for r in providers.ask_once(prompts, other, ["x"], store).collect()}[1] != first[1]
 
 
 def test_providers(spark):
     raw = spark.createDataFrame([(1, bytearray(b"Figure 1. A loop\n\nbody Fig. 1\fpage two")), (2, bytearray(b"\xff"))], "paper_id long, content binary")
     blocks = providers.parse_papers(raw, providers.PlainTextParser)
     assert blocks.where("paper_id = 1").count() == 3
+    broken = raw.union(spark.createDataFrame([(3, bytearray(b"{"))], raw.schema))
+    assert {(r["paper_id"], r["part"], r["error"].split(":")[0]) for r in providers.failures(broken, providers.TextPaper, ("blocks", "images")).collect()} == {(k, part, "UnicodeDecodeError" if k == 2 else "JSONDecodeError") for k in (1, 2, 3) for part in ("blocks", "images")}
     images = spark.createDataFrame([(1, "a flare here"), (2, ""), (3, "a flare here"), (4, "nothing")], "id int, caption_text string")
-    got = {r["id"]: (r["structure_label"], r["structure_confidence"]) for r in metadata.classify_captions(images, providers.KeywordClassifier(metadata.STRUCTURES[:-1])).collect()}
+    got = {r["id"]: (r["structure_label"], r["structure_confidence"]) for r in metadata.classify_captions(images, models.Model("keywords of test", lambda: providers.KeywordClassifier(metadata.STRUCTURES[:-1]))).collect()}
     assert got == {1: ("Flare", 1.0), 2: ("Other", 0.0), 3: ("Flare", 1.0), 4: ("Other", 0.0)}
-    answers = providers.ask(spark.createDataFrame([("p",)], "prompt string"), providers.EchoModel)
+    answers = providers.ask(spark.createDataFrame([("p",)], "prompt string"), models.Model("echo", providers.EchoModel), ["instrument"])
     assert metadata.parse_answers(answers).select(metadata.field(F.col("parsed"), "instrument").alias("i")).first()["i"] == "AIA"
 
 

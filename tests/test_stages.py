@@ -1,6 +1,7 @@
 """Stages end to end on stand-ins: providers, rasters, logs and files, the command line."""
 
 import base64
+import csv
 import json
 import os
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline import __main__ as cli, stages
 from plumbline.functions import pixels, rasters, text as X
 from plumbline.operators import archive, figures, matching, metadata
-from plumbline.sources import files, providers
+from plumbline.sources import files, models, providers
 from plumbline.streaming import incremental
 
 
@@ -55,6 +56,10 @@ def test_fits_and_world_coordinates():
     assert rasters.to_rgb(np.zeros((2, 2), np.uint8)).shape == (2, 2, 3)
 
 
+KEYWORDS = models.Model("flare or loop", lambda: providers.KeywordClassifier(["Flare", "Loop"]))
+ECHO = models.Model("echo", providers.EchoModel)
+
+
 def paper(k):
     image = {"rectangle": [50, 30, 400, 90], "width": 300, "height": 300, "colour": 3, "data": base64.b64encode(b"x").decode()}
     text = f"On loops by Y. Song,\n\nFig. 1. The flare {k}\n\nas Fig. 1 shows, loops move\fFig. 2. A loop"
@@ -88,12 +93,11 @@ def test_extract_label_and_metadata(spark, tmp_path):
     signals = ["dark_background", "dark_region_28%", "full_disk_circle_r70", "aia_false_color_20%"]
     assert [(r["index"], r["signals"], r["image_type"]) for r in x.scored.where("paper_id = 1").orderBy("index").collect()] == [(0, signals, "aia_false_color"), (1, signals, "aia_false_color")]
     assert x.kept.count() == 4 and figures.progress(x.scored).where("paper_id = 1").orderBy("index").first()["line"].startswith("    [SOLAR] img-000 p1 300x300 rgb score=1.00 [dark_background, dark_region_28%, full_disk")
-    # Logs as written can be read again, as they are.
+    # Logs as written can be read again, as they are; a later run keeps those of other papers.
     logs = x.logs.join(p.select(F.col("id").alias("paper_id"), "folder"), "paper_id")
-    files.write_json_files(logs.select(F.concat("folder", F.lit("-log")).alias("folder"), F.to_json(F.struct(*x.logs.columns), {"ignoreNullFields": "false"}).alias("json")), str(tmp_path / "logs"))
-    for k in (1, 2, 3):
-        os.makedirs(tmp_path / "in" / f"p{k}")
-        os.rename(tmp_path / "logs" / f"2012-03 - Song, Y {k}-log.json", tmp_path / "in" / f"p{k}" / "extraction_log.json")
+    for part in ("paper_id < 3", "paper_id = 3"):
+        files.write_logs(logs.where(part), str(tmp_path / "in"))
+    assert sorted(os.listdir(tmp_path / "in")) == [f"2012-03 - Song, Y {k}" for k in (1, 2, 3)]
     again = files.extraction_logs(spark, str(tmp_path / "in")).drop("folder")
     assert sorted(map(str, again.select(x.logs.columns).collect())) == sorted(map(str, x.logs.collect()))
     assert [(
@@ -103,7 +107,7 @@ def test_extract_label_and_metadata(spark, tmp_path):
         r["first_author"],
     ) for r in x.logs.orderBy("paper_id").collect()] == [(1, 2, 2, "Song, Y"), (2, 2, 2, "Song, Y"), (3, 0, 0, "Song, Y")]
     there = spark.createDataFrame([("2012-03 - Song, Y 1", "solar_001_p1_aia_false_color.png")], "folder string, name string")
-    labels = stages.label_figures(x.scored, blocks, p, providers.KeywordClassifier(["Flare", "Loop"]), there).orderBy("paper_filename", "figure_label").collect()
+    labels = stages.label_figures(x.scored, blocks, p, KEYWORDS, there).orderBy("paper_filename", "figure_label").collect()
     assert [(r["figure_label"], r["caption_match_confidence"], r["structure_label"], bool(r["image_path"])) for r in labels] == [
         ("", "none", "Other", False),
         ("Fig. 1", "same_page", "Flare", True),
@@ -113,11 +117,12 @@ def test_extract_label_and_metadata(spark, tmp_path):
     assert {(r["paper_id"], r["captions"], r["pages"]) for r in stages.caption_counts(blocks).collect()} == {(1, 2, 2), (2, 2, 2)}
     who = p.select(F.col("id").alias("paper_id"), F.concat("last", F.lit(", "), "initial").alias("first_author")).join(providers.paper_authors(content, providers.TextPaper), "paper_id")
     done = spark.createDataFrame([(2,)], "paper_id long")
-    docs = {r["paper_id"]: r for r in stages.extract_metadata(x.scored, blocks, who, providers.KeywordClassifier(["Flare", "Loop"]), providers.EchoModel, done).collect()}
+    docs = {r["paper_id"]: r for r in stages.extract_metadata(x.scored, blocks, who, KEYWORDS, ECHO, done).collect()}
     assert {k: (r["status"], r["n_observations"], r["paper_authors"]) for k, r in docs.items()} == {1: ("success", 2, "Author 1"), 2: ("skipped", 0, "Song, Y"), 3: ("failed", 0, "Song, Y")}
     one = json.loads(docs[1]["observations"])
     assert one[0]["figure"] == 1 and one[0]["instrument"] == "AIA" and one[0]["phenomenon"] == "Flare" and one[0]["paragraphs"] == ["as Fig. 1 shows, loops move"]
-    assert one[1]["confidence"] == "0.0" and one[1]["phenomenon"] == "Other"
+    assert one[0]["wavelength_angstrom"] == 171 and one[0]["fov_arcsec"] is None  # numbers as numbers, what is absent as null
+    assert one[1]["confidence"] == 0.0 and one[1]["phenomenon"] == "Other"
     s = stages.summary(spark.createDataFrame([(r["status"],) for r in docs.values()], "status string")).first()
     assert tuple(s) == (1, 1, 1, 3)
     assert providers.messages("q", ["a"])[0]["role"] == "system"
@@ -148,6 +153,9 @@ def test_rejections(spark):
     assert pixels.raster_features(images.limit(0)).count() == 0
 
 
+KEY = ["paper", "event_index"]
+
+
 def events(spark):
     body = [
         {"timestamp_start": "2012-01-01T00:00:30", "instrument": "AIA", "wavelength_angstrom": 171, "center_tx_arcsec": 100, "center_ty_arcsec": 0, "confidence": "high"},
@@ -196,38 +204,102 @@ def test_observations_are_fetched_cut_and_written(spark, tmp_path):
 def test_window_match_by_wavelength_and_distance(spark):
     _, e, records = events(spark)
     one = e.where("event_index = 0").drop("wavelength").withColumn("wavelength", F.lit(None).cast("int"))
-    got = [archive.window_match(one, records, seconds, nearest, wavelength=True).first()["record_id"] for seconds, nearest in ((60, False), (60, True), (20, False), (25, False))]
-    assert got == [2, 2, 2, 2] and archive.window_match(one, records, 19).first()["record_id"] is None
-    assert archive.window_match(e.where("event_index = 0"), records, wavelength=True).first()["record_id"] == 1
+    got = [archive.window_match(one, records, seconds, nearest, wavelength=True, key=KEY).first()["record_id"] for seconds, nearest in ((60, False), (60, True), (20, False), (25, False))]
+    assert got == [2, 2, 2, 2] and archive.window_match(one, records, 19, key=KEY).first()["record_id"] is None
+    assert archive.window_match(e.where("event_index = 0"), records, wavelength=True, key=KEY).first()["record_id"] == 1
 
 
 def test_command_line(spark, tmp_path, capsys):
-    papers, content, blocks, features = fixture(spark)
-    t = {n: str(tmp_path / n) for n in ("papers", "images", "blocks", "records", "out", "logs", "meta", "fits", "archive", "cut")}
+    papers, _, blocks, _ = fixture(spark)
+    t = {n: str(tmp_path / n) for n in ("papers", "pdf", "blocks", "records", "lists", "figures", "labels", "meta", "fits", "archive", "cut", "answers")}
     papers.write.parquet(t["papers"])
-    providers.scan_images(content, providers.TextPaper).drop("data").join(features, ["paper_id", "xref"]).write.parquet(t["images"])
+    os.makedirs(t["pdf"])
+    y, x = np.mgrid[0:300, 0:300]
+    disk_ = np.where((x - 150) ** 2 + (y - 150) ** 2 <= 120**2, 200, 0).astype(np.uint8)
+    bgr = np.stack([(disk_ * 0.05).astype(np.uint8), (disk_ * 0.55).astype(np.uint8), disk_], 2).tobytes()  # orange
+    for k in (1, 2):
+        body = json.loads(paper(k))
+        for i in body["images"][:2]:
+            i["data"] = base64.b64encode(bgr).decode()
+        body["images"][2]["data"] = base64.b64encode(bytes(300 * 300 * 3)).decode()  # all black
+        (tmp_path / "pdf" / f"paper_{k}.pdf").write_text(json.dumps(body))
+    (tmp_path / "pdf" / "paper_3.pdf").write_text("broken")
     blocks.write.parquet(t["blocks"])
-    assert cli.run(spark, ["list", "--papers", t["papers"], "--start", "2012-01-01", "--end", "2012-12-31", "--output", t["out"]]) == 0
-    assert os.path.exists(t["out"] + "_20120101_20121231.csv") and os.path.exists(t["out"] + "_20120101_20121231.md")
-    assert cli.run(spark, ["extract", "--papers", t["papers"], "--images", t["images"], "--output-dir", t["logs"]]) == 0
-    os.makedirs(t["out"])
-    assert cli.run(spark, ["label", "--papers", t["papers"], "--images", t["images"], "--blocks", t["blocks"], "--output-dir", t["out"]]) == 0
-    assert cli.run(spark, ["metadata", "--papers", t["papers"], "--images", t["images"], "--blocks", t["blocks"], "--output-dir", t["meta"]]) == 0
-    assert sorted(os.listdir(t["meta"])) == [f"2012-03 - Song, Y{k}.json" for k in (" 2", " 3", "")]
-    assert {r["stem"] for r in files.metadata_documents(spark, t["meta"], "status string").collect()} == {f"2012-03 - Song, Y{k}" for k in (" 2", " 3", "")}
+    assert cli.run(spark, ["list", "--papers", t["papers"], "--start", "2012-01-01", "--end", "2012-12-31", "--output", t["lists"] + "/x"]) == 0
+    assert sorted(os.listdir(t["lists"])) == ["x_20120101_20121231.csv", "x_20120101_20121231.md"]
+    given = ["--papers", t["papers"], "--files", t["pdf"]]
+    for _ in range(2):
+        assert cli.run(spark, ["extract", *given, "--output-dir", t["figures"], "--keep-pdf"]) == 0
+    folders = {f"2012-03 - Song, Y{k}": i for i, k in enumerate(("", " 2", " 3"), 1)}
+    assert sorted(os.listdir(t["figures"])) == sorted(folders)
+    solar = "solar_001_p1_aia_false_color.png"
+    for f, i in folders.items():
+        assert sorted(os.listdir(f"{t['figures']}/{f}")) == ["extraction_log.json", f"paper_{i}.pdf", *([solar] if i < 3 else [])]
+    logs = {r["paper_id"]: r for r in files.extraction_logs(spark, t["figures"]).collect()}
+    assert {k: (r["total_images_found"], r["solar_images_saved"]) for k, r in logs.items()} == {1: (2, 1), 2: (2, 1), 3: (0, 0)}
+    assert png_pixels(open(f"{t['figures']}/2012-03 - Song, Y/{solar}", "rb").read())[150, 450:453].tolist() == [200, 110, 10]
+    said = capsys.readouterr().out
+    assert "3 papers" in said and "2 of 4 images" in said and "1 papers without blocks\n1 papers without images" in said and "3 files kept" in said and "0 files kept" not in said.split("of 4")[0]
+    os.remove(f"{t['figures']}/2012-03 - Song, Y 2/{solar}")
+    assert cli.run(spark, ["label", *given, "--figures-dir", t["figures"], "--output-dir", t["labels"]]) == 0
+    with open(t["labels"] + "/labels.csv", encoding="utf-8-sig") as f:
+        labels = {r["paper_filename"]: r["image_path"] for r in csv.DictReader(f)}
+    assert labels == {"2012-03 - Song, Y.pdf": f"images/2012-03 - Song, Y/{solar}", "2012-03 - Song, Y 2.pdf": ""}
+    assert "2 labels; 4 captions on 4 pages" in capsys.readouterr().out
+    # A second run skips what is written, and asks nothing again.
+    for told in ("2 processed, 0 skipped, 1 failed of 3", "0 processed, 3 skipped, 0 failed of 3"):
+        assert cli.run(spark, ["metadata", *given, "--output-dir", t["meta"], "--answers", t["answers"]]) == 0
+        assert told in capsys.readouterr().out
+    assert sorted(os.listdir(t["meta"])) == sorted(f"{f}.json" for f in folders)
+    one = json.loads((tmp_path / "meta" / "2012-03 - Song, Y.json").read_text())
+    assert (one["paper_title"], one["paper_authors"], one["status"]) == ("Title 1", "Author 1", "success") and one["observations"][0]["wavelength_angstrom"] == 171
     events(spark)[2].write.parquet(t["records"])
     os.makedirs(t["archive"])
-    assert cli.run(spark, ["query", "--metadata-dir", t["meta"], "--records", t["records"], "--archive-dir", t["archive"], "--fits-dir", t["fits"], "--output-dir", t["cut"]]) == 0
-    said = capsys.readouterr().out
-    assert "3 papers" in said and "4 of 4 images" in said and "4 labels; 4 captions on 4 pages" in said and "processed" in said and "failed:" in said
+    query = ["query", "--metadata-dir", t["meta"], "--records", t["records"], "--archive-dir", t["archive"], "--fits-dir", t["fits"], "--output-dir", t["cut"]]
+    assert cli.run(spark, query) == 0 and "failed: 2" in capsys.readouterr().out
     with pytest.raises(SystemExit, match="no table"):
-        cli.run(spark, ["extract", "--papers", str(tmp_path / "none"), "--images", t["images"], "--output-dir", t["logs"]])
+        cli.run(spark, ["extract", "--papers", t["papers"], "--images", str(tmp_path / "none"), "--output-dir", t["figures"]])
     with pytest.raises(SystemExit, match="no folder"):
-        cli.run(spark, ["query", "--metadata-dir", str(tmp_path / "none"), "--records", t["records"], "--archive-dir", t["archive"], "--fits-dir", t["fits"], "--output-dir", t["cut"]])
+        cli.run(spark, [*query[:2], str(tmp_path / "none"), *query[3:]])
+    with pytest.raises(SystemExit, match="no no.such:thing"):
+        cli.run(spark, ["metadata", *given, "--output-dir", t["meta"], "--model", "no.such:thing"])
     with pytest.raises(SystemExit):
         cli.run(spark, ["list"])
 
 
+def test_typed_observations_reach_the_query_stage(spark):
+    """Numbers, arrays and texts of numbers as the model gave them; what can't be read gives the full map."""
+    answers = [
+        {"confidence": "high", "center_tx_arcsec": -550, "center_ty_arcsec": -250, "fov_arcsec": [400, 400], "wavelength_angstrom": 171},
+        {"confidence": "high", "center_tx_arcsec": "-550", "center_ty_arcsec": "-250.0", "wavelength_angstrom": "304"},
+        {"confidence": "high", "center_tx_arcsec": "west", "center_ty_arcsec": 0},
+        {"confidence": "high", "center_tx_arcsec": 0, "center_ty_arcsec": 0, "fov_arcsec": "[400, 200]"},
+        {"confidence": "high", "center_tx_arcsec": 0, "center_ty_arcsec": 0, "fov_arcsec": []},
+        {"confidence": "medium", "limb_position": "NW", "center_tx_arcsec": 1},
+        {"confidence": 0, "phenomenon": ""},
+    ]
+    i = spark.createDataFrame([(1, k, "x", "Fig. 2a", "c", ["p"], "Flare", 0.25, json.dumps(a)) for k, a in enumerate(answers)], "paper_id long, index long, name string, figure_label string, caption_text string, paragraphs array<string>, structure_label string, structure_confidence double, raw string")
+    p = spark.createDataFrame([(1, "A, B", None, "T"), (2, "C, D", "E", None)], "paper_id long, first_author string, pdf_author string, paper_title string")
+    docs = {r["paper_id"]: r for r in metadata.documents(metadata.observations(metadata.parse_answers(i)), p).collect()}
+    assert (docs[1]["paper_title"], docs[2]["paper_title"], docs[2]["paper_authors"], docs[2]["status"]) == ("T", "", "E", "failed")
+    written = json.loads(docs[1]["observations"])
+    assert written[0]["fov_arcsec"] == [400, 400] and written[0]["center_tx_arcsec"] == -550 and written[1]["center_tx_arcsec"] == "-550" and written[2]["fov_arcsec"] is None
+    assert written[6]["confidence"] == 0.25 and written[6]["phenomenon"] == "Flare" and written[0]["figure"] == 2
+    e = stages.events_of(spark.createDataFrame([("p", "success", docs[1]["observations"]), ("q", "success", "no json"), ("r", "failed", "[]")], "paper string, status string, observations string"))
+    got = e.orderBy("event_index").collect()
+    full = (-1200.0, -1200.0, 1200.0, 1200.0)
+    assert [(r["strategy"], tuple(r["bounds"][c] for c in ("tx_min", "ty_min", "tx_max", "ty_max"))) for r in got] == [
+        ("strategy_a", (-750.0, -450.0, -350.0, -50.0)),
+        ("strategy_a", (-700.0, -400.0, -400.0, -100.0)),
+        ("strategy_a", full),
+        ("strategy_a", full),
+        ("strategy_a", (-150.0, -150.0, 150.0, 150.0)),
+        ("strategy_b", (-800.0, 200.0, -100.0, 800.0)),
+        ("strategy_c", full),
+    ]
+    assert [r["wavelength"] for r in got[:3]] == [171, 304, None] and "__171__" in got[0]["cache_key"] and "__na__" in got[2]["cache_key"]
+
+
 def test_small_expressions(spark):
     d = spark.createDataFrame([(" Song, Y. B.; Doe, J.", " K. I. Tian "), ("x", None)], "a string, b string")
     got = d.select(X.author_of_field(F.col("a")).alias("a"), X.author_of_field(F.col("b")).alias("b")).collect()
@@ -249,12 +321,12 @@ def test_figures_are_saved(spark, tmp_path):
         [("f", "a", 2, 1, 3, bgr), ("f", "b", 2, 1, 1, b"\x07\x08"), ("g", "c", 1, 1, 4, b"\x00\xff\x00\x00"), ("g", "d", 9, 9, 3, bgr), ("g", "e", None, None, None, None)],
         "folder string, name string, width int, height int, nChannels int, data binary",
     )
-    got = {r["name"]: r["saved"] for r in files.save_figures(d, str(tmp_path)).collect()}
-    assert got == {"a": True, "b": True, "c": True, "d": False, "e": False}
+    files.save_figures(d, str(tmp_path))
+    assert sorted((r["folder"], r["name"]) for r in files.listing(spark, str(tmp_path), "*.png").collect()) == [("f", "a.png"), ("f", "b.png"), ("g", "c.png")]
     assert png_pixels((tmp_path / "f" / "a.png").read_bytes()).tolist() == [[3, 2, 1, 6, 5, 4]]
     assert png_pixels((tmp_path / "f" / "b.png").read_bytes()).tolist() == [[7, 8]]
     assert png_pixels((tmp_path / "g" / "c.png").read_bytes()).tolist() == [[255, 0, 255]]
-    assert sorted(os.listdir(tmp_path / "g")) == ["c.png"]
+    assert sorted(os.listdir(tmp_path)) == ["f", "g"] and sorted(os.listdir(tmp_path / "g")) == ["c.png"]
 
 
 def test_keypoints_records_and_sizes(spark):
