@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-#: The folders that this driver made, in order.
-MADE: list[str] = []
+#: Where the folders that this thread makes are noted, if anyone asks.
+_NOTED: ContextVar[list[str] | None] = ContextVar("folders made", default=None)
+
+
+@contextmanager
+def noting():
+    """A list of the folders that are made in the block, in this thread alone, as they come."""
+    made: list[str] = []
+    token = _NOTED.set(made)
+    try:
+        yield made
+    finally:
+        _NOTED.reset(token)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _NOTED.get()) is not None:
+        made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -47,16 +62,20 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        MADE.remove(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost
-    executor costs only the tasks it ran."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialize()'s table, and its folder."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost
+    executor costs only the tasks it ran."""
+    return written(df, name)[0]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,20 +31,21 @@ class Quantiser:
         each = -(-(-(-tables // 2) * bits) // self.width)
         self.mean = sample.mean(0)
         rng = np.random.default_rng(seed)
-        self.raw = [self._learn(sample, rng, rounds) for _ in range(each)]
-        self.centred = [self._learn(sample - self.mean, rng, rounds) for _ in range(each)]
+        self.raw = self._learn(sample, each, rng, rounds)
+        self.centred = self._learn(sample - self.mean, each, rng, rounds)
 
-    def _learn(self, x: np.ndarray, rng, rounds: int) -> np.ndarray:
-        """PCA directions times the rotation that brings the projections closest to their signs, from
+    def _learn(self, x: np.ndarray, each: int, rng, rounds: int) -> list[np.ndarray]:
+        """PCA directions times rotations that bring the projections closest to their signs, each from
         a random start (Gong and Lazebnik 2011)."""
-        _, _, axes = np.linalg.svd(x, full_matrices=True)
-        axes = axes[: self.width].T if len(axes) >= self.width else np.eye(x.shape[1])[:, : self.width]
-        v = x @ axes
-        r = np.linalg.qr(rng.standard_normal((self.width, self.width)))[0]
-        for _ in range(rounds if len(x) > self.width else 0):
-            u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
-            r = (u @ w).T
-        return axes @ r
+        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : self.width]
+        v, out = x @ axes, []
+        for _ in range(each):
+            r = np.linalg.qr(rng.standard_normal((self.width, self.width)))[0]
+            for _ in range(rounds if len(x) > self.width else 0):
+                u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
+                r = (u @ w).T
+            out.append(axes @ r)
+        return out
 
     @property
     def n_bits(self) -> int:

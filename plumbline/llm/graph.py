@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MADE, map_arrow, materialize, remove
+from .common import map_arrow, remove, written
 
 
 class UnionFind:
@@ -70,7 +70,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     (Kiveris et al. 2014) until nothing changes. Nodes without edges and self-loops don't appear.
     """
     stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").transform(map_arrow, _forest, "u long, v long")
-    e = materialize(stars.distinct(), "edges")
+    e, path = written(stars.distinct(), "edges")
     for _ in range(max_rounds):
         if _is_forest(e):
             break
@@ -82,8 +82,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
-        e = materialize(small, "edges")
-        remove(e.sparkSession, MADE[-2:-1])  # the round before
+        before = path
+        e, path = written(small, "edges")
+        remove(e.sparkSession, [before])
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

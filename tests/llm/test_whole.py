@@ -37,3 +37,23 @@ def test_token_files_by_the_plain_library_call(spark):
         ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
         assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_rounds_remove_their_own_tables_alone(spark):
+    """Two threads of one driver: neither deletes what the other still reads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from plumbline.llm import common, graph
+
+    def run(k):
+        with common.noting() as made:
+            kept = common.materialize(spark.range(k, k + 5), f"kept{k}")
+            chain = spark.range(k, k + 300).selectExpr("id AS u", "id + 1 AS v").repartition(7)
+            found = graph.components(chain)
+            again = common.materialize(spark.range(3), f"again{k}")
+            return {r["root"] for r in found.collect()}, kept.count(), again.count(), made
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(run, (0, 10_000, 20_000)))
+    assert [x[:3] for x in got] == [({k}, 5, 3) for k in (0, 10_000, 20_000)]
+    assert all(not set(x[3]) & set(y[3]) for x in got for y in got if x is not y) and not common._NOTED.get()
