@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from plumbline.llm import byte_bpe, lang_id, mixing, near_dup, pii
-from plumbline.llm.common import DOC_COLUMNS, MADE, join_checked, materialize, remove
+from plumbline.llm.common import DOC_COLUMNS, join_checked, materialize, noting, remove, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. When a stage's rows are written, what it read and made goes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = len(MADE)
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        remove(spark, MADE[before:-1])
+        with noting() as made:
+            docs, path = written(stage(spark, docs, sf_dir), name)
+        remove(spark, [p for p in [kept, *made] if p and p != path])
+        kept = path
     return docs
