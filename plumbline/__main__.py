@@ -134,7 +134,7 @@ def _extract(spark: SparkSession, a, p: DataFrame) -> int:
             print(f"{r['count']} papers without {r['part']}")
         if a.keep_pdf:
             copies = papers.join(folders, "paper_id").select("path", "length", F.concat_ws("/", "folder", F.regexp_extract("path", r"([^/]+)$", 1)).alias("name"))
-            print(f"{files.copy_once(copies, a.output_dir).count()} files kept")
+            print(f"{files.copy_once(copies, a.output_dir).where('copied').count()} files kept")
     n = files.extraction_logs(spark, a.output_dir).join(folders.select("paper_id"), "paper_id", "left_semi").agg(F.sum("total_images_found"), F.sum("solar_images_saved")).first()
     print(f"{n[1] or 0} of {n[0] or 0} images")
     sights.unpersist()

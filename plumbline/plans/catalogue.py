@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as X
+from ..functions import sql, text as X
 from ..operators import archive, captions, figures, matching, metadata, papers
 from .. import stages
 from ..sources import models
@@ -521,6 +521,50 @@ def q41_query_stage(spark, sf_dir):
     return m.select("paper", F.col("event_index").cast("int").alias("event_index"), "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"), "cache_key", "bounds.tx_min", "bounds.ty_max")
 
 
+# --- the library in SQL -------------------------------------------------------------------------------
+
+SHOWN = f"(SELECT id, authors, bibcode, title, publication_date, replace(coalesce({FIELD}, {BIB}), '|', ', ') AS author FROM {P})"
+
+
+@query(f"""SELECT s.id, split_part(author, ', ', 1) AS last_name, split_part(author, ', ', 2) AS initial, folder FROM {SHOWN} s JOIN (SELECT id, {FOLDER} AS folder FROM {P}) f ON s.id = f.id""")
+def q43_first_authors_in_sql(spark, sf_dir):
+    """First authors and folder names by the registered SQL functions."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT id, a.last AS last_name, a.initial, paper_folder(publication_date, a.last, a.initial) AS folder FROM (SELECT id, publication_date, first_author(authors, bibcode, CAST(NULL AS STRING)) AS a FROM {papers})",
+        papers=A.papers(spark, sf_dir),
+    )
+
+
+PAPER_TEXT = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('Fig. ', doc_id % 9 + 1, '. Loops seen', chr(10), chr(10)) ELSE '' END, replace(text, chr(10), concat(chr(10), chr(10))), CASE WHEN doc_id % 4 = 0 THEN concat(chr(12), 'as Figs. 7 and Fig. 2b show') ELSE '' END)"
+EDGE = r"regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id AS paper_id, CAST(page AS INT) AS page, CAST(block_no AS INT) AS block_no, nullif(regexp_extract(t, '(?i)((?:Figure|Fig\.)\s*\d+[a-z]?)', 1), '') AS label, regexp_matches(t, '{START}') AS starts,
+  len(t) AS n_chars, len(regexp_extract_all(t, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:Figs?\.?\s*|Figures?\s+)(\d+[a-zA-Z]?)')) AS citations FROM (
+  SELECT doc_id, page, block_no, {EDGE.format("b")} AS t FROM (SELECT doc_id, page, generate_subscripts(bs, 1) - 1 AS block_no, unnest(bs) AS b FROM (
+    SELECT doc_id, generate_subscripts(ps, 1) AS page, string_split(unnest(ps), chr(10) || chr(10)) AS bs FROM (SELECT doc_id, string_split({PAPER_TEXT}, chr(12)) AS ps FROM documents))))""")
+def q44_papers_scanned_in_sql(spark, sf_dir):
+    """Papers' files scanned by the table function in a LATERAL join, their blocks read by SQL functions."""
+    sql.register(spark)
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.expr(PAPER_TEXT).cast("binary").alias("content"))
+    return spark.sql(
+        """SELECT f.paper_id, b.page, b.block_no, figure_label(b.text) AS label, is_caption(b.text) AS starts, CAST(length(b.text) AS BIGINT) AS n_chars, CAST(size(figure_citations(b.text)) AS BIGINT) AS citations
+        FROM {files} f, LATERAL paper_blocks(f.content, 'plumbline.sources.providers:PlainTextParser') b""",
+        files=files,
+    )
+
+
+PAGES = f"(SELECT paper_id, page, substr(string_agg(text, chr(10) ORDER BY block_no), 1, 900) AS page_text FROM {B} GROUP BY paper_id, page)"
+
+
+@query(f"""SELECT paper_id, substr(string_agg(page_text, '' ORDER BY page), 1, 900) AS text, count(*) AS pages FROM (
+  SELECT *, coalesce(sum(length(page_text)) OVER (PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM {PAGES}) WHERE before_ < 900 GROUP BY paper_id""")
+def q45_document_text(spark, sf_dir):
+    """The beginning of each paper, over its pages."""
+    return captions.document_text(A.blocks(spark, sf_dir), 900)
+
+
 # --- two stages in a row: what the metadata stage writes is what the query stage reads --------------------
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import csv
 import os
 import shutil
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import rasters, text as X
-from . import named_files
+from . import named_files, shared
 
 IMAGE = "index long, page int, size string, color_space string, encoding string, is_solar boolean, score double, signals array<string>, image_type string"
 LOG_SCHEMA = f"paper_id long, title string, publication_date string, bibcode string, doi string, ads_url string, first_author string, total_images_found int, solar_images_saved int, min_score_threshold double, images array<struct<{', '.join(f.replace(
@@ -49,28 +49,59 @@ def images(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(root).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
 
-def write_csv(df: DataFrame, path: str) -> int:
-    """One CSV file with a byte order mark, streamed through the driver partition by partition; its folder is made."""
-    n = 0
+def write_lines(lines: DataFrame, path: str, head: str = "") -> int:
+    """Lines (line; as they stand, in the frame's order) as one file behind a head, written by the executors; returns
+    how many there are. path is in a folder that all executors share.
+
+    The order is written down first, with each line's place in its partition. Sums of lengths, within partitions and
+    then over them, say where in the file each line begins, so any task writes any lines where they belong, and one
+    that runs again writes the same bytes. The driver sees one number a partition.
+    """
+    d = lines.select("line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    d = shared.written(d, "lines")
+    begin = len(head.encode())
+    within = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    sizes = d.groupBy("part").agg(F.sum(F.octet_length("line").cast("long")).alias("size"), F.count("*").alias("n"))
+    base = sizes.withColumn("base", begin + F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".part", "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        for row in df.toLocalIterator():
-            out.writerow(["" if x is None else x for x in row])
-            n += 1
-    os.replace(path + ".part", path)
-    return n
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    with open(own, "wb") as f:
+        f.write(head.encode())
+        f.truncate(begin + total[0])
+
+    def run(batches):
+        with open(own, "r+b") as f:
+            for b in batches:
+                for start, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if f.tell() != start:
+                        f.seek(start)
+                    f.write(line.encode())
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    placed = d.withColumn("_in", F.coalesce(F.sum(F.octet_length("line").cast("long")).over(within), F.lit(0))).join(F.broadcast(base.select("part", "base")), "part")
+    placed.select((F.col("base") + F.col("_in")).alias("start"), "line").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    os.replace(own, path)
+    return total[1]
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """One line of CSV: nulls are empty, and a value that holds a comma, a quote or a line's end stands in quotes."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.concat(F.concat_ws(",", *[F.when(F.regexp_like(t, F.lit('[,"\r\n]')), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text]), F.lit("\r\n"))
+
+
+def write_csv(df: DataFrame, path: str) -> int:
+    """One CSV file with a byte order mark, in the frame's order, written by the executors; its folder is made."""
+    names = df.sparkSession.createDataFrame([tuple(df.columns)], [f"c{i}" for i in range(len(df.columns))])
+    head = names.select(csv_line([names[c] for c in names.columns])).first()[0]
+    return write_lines(df.select(csv_line([F.col(f"`{c}`") for c in df.columns]).alias("line")), path, "\ufeff" + head)
 
 
 def write_markdown(entries: DataFrame, path: str, heading: str) -> int:
     n = entries.count()
-    with open(path + ".part", "w", encoding="utf-8") as f:
-        f.write(f"# {heading}\n\n**Total:** {n} papers\n\n---\n\n")
-        for row in entries.orderBy("publication_date", "id").toLocalIterator():
-            f.write(row["entry"])
-    os.replace(path + ".part", path)
-    return n
+    head = f"# {heading}\n\n**Total:** {n} papers\n\n---\n\n"
+    return write_lines(entries.orderBy("publication_date", "id").select(F.col("entry").alias("line")), path, head)
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -1,5 +1,7 @@
 """The papers service source against a server of our own, files, providers, pixel kernels, streams."""
 
+import csv
+import io
 import json
 import os
 import pickle
@@ -96,6 +98,20 @@ def test_papers_source(spark, server, tmp_path):
     assert open(tmp_path / "p.md", encoding="utf-8").read().count("## t") == 17
 
 
+def test_csv_and_lines_are_written_in_order(spark, tmp_path):
+    rows = [(i, ["plain", 'a "quote"', "a, comma", "two\nlines", "Ünï\r", "", None][i % 7], i / 4) for i in range(500)]
+    d = spark.createDataFrame(rows, "id int, `a name` string, x double").repartition(5).orderBy(F.desc("id"))
+    assert files.write_csv(d, str(tmp_path / "new" / "t.csv")) == 500
+    with open(tmp_path / "new" / "t.csv", newline="", encoding="utf-8-sig") as f:
+        got = list(csv.reader(f))
+    assert got == [["id", "a name", "x"], *[[str(i), n or "", str(x)] for i, n, x in reversed(rows)]]
+    want = io.StringIO()
+    csv.writer(want).writerows(got)
+    assert (tmp_path / "new" / "t.csv").read_bytes() == b"\xef\xbb\xbf" + want.getvalue().encode()
+    assert files.write_csv(d.limit(0), str(tmp_path / "none.csv")) == 0 and (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbfid,a name,x\r\n"
+    assert os.listdir(tmp_path / "new") == ["t.csv"]
+
+
 def test_logs_and_copies(spark, tmp_path):
     for name, text in (("b", '{"paper_id": 2, "images": [{"index": 0, "is_solar": true}]}'), ("a", '{"paper_id": 1,\n "images": []}'), ("c", "{broken")):
         (tmp_path / "in" / name).mkdir(parents=True)

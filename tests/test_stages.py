@@ -8,11 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from plumbline import __main__ as cli, stages
-from plumbline.functions import pixels, rasters, text as X
-from plumbline.operators import archive, figures, matching, metadata
+from plumbline.functions import pixels, rasters, sql, text as X
+from plumbline.operators import archive, captions, figures, matching, metadata
 from plumbline.sources import files, models, providers
 from plumbline.streaming import incremental
 
@@ -209,6 +209,31 @@ def test_window_match_by_wavelength_and_distance(spark):
     assert archive.window_match(e.where("event_index = 0"), records, wavelength=True, key=KEY).first()["record_id"] == 1
 
 
+def test_window_match_splits_hot_times(spark):
+    """Half of both sides in one minute and instrument, many at one instant: the same matches by slots as by
+    buckets, in slots of bounded size."""
+    t = "timestamp_micros(1704067200000000 + CASE WHEN id % 2 = 0 THEN 1800000000 + CASE WHEN id % 3 = 0 THEN 7 ELSE bigint(hash(id, {0}) % 30000000) END ELSE bigint(pmod(hash(id, {0}), 3600)) * 1000000 END)"
+    made = lambda n, salt: spark.range(n).selectExpr("id", t.format(salt) + " AS ts", "CASE WHEN id % 2 = 0 THEN 'AIA' WHEN id % 5 = 1 THEN 'HMI' WHEN id % 5 = 3 THEN '' END AS instrument", "int(CASE WHEN id % 7 < 4 THEN 171 WHEN id % 7 = 4 THEN 304 WHEN id % 7 = 5 THEN 0 END) AS wavelength")
+    obs, records = made(900, 1).withColumnRenamed("id", "obs_id").cache(), made(800, 2).withColumnRenamed("id", "record_id").cache()
+    for extra, apart in ((True, False), (False, False), (True, True)):
+        by = [{tuple(r[c] for c in ("obs_id", "record_id", "record_ts")) for r in archive.window_match(obs, records, wavelength=extra, apart=apart, most_pairs=most, slot_rows=50).collect()} for most in (10**9, 0)]
+        assert by[0] == by[1] and len(by[0]) == 900 and sum(x[1] is not None for x in by[0]) > 700
+    g = records.select(F.lit("x").alias("g"), F.col("ts").alias("a_ts"), "record_id")
+    points = obs.select(F.lit("x").alias("g"), F.col("ts").alias("t"), "obs_id")
+    found = archive.first_after(points, g, 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    want = sorted((r["a_ts"], r["record_id"]) for r in g.collect())
+    for r in found.collect():
+        after = [x for x in want if x[0] >= r["t"]]
+        # Of one time the two of least id are enough for two.
+        assert [tuple(x) for x in r["next"]] == after[:2]
+    load = archive.match_load(points, g, 50).agg(F.max("n"), F.count("*")).first()
+    assert load[0] <= 4 * 50 and load[1] > 20
+    assert archive.window_match(obs.limit(0), records, most_pairs=-1).count() == 0
+    assert archive.window_match(obs, records.limit(0), most_pairs=-1).where("record_id is null").count() == 900
+
+
 def test_command_line(spark, tmp_path, capsys):
     papers, _, blocks, _ = fixture(spark)
     t = {n: str(tmp_path / n) for n in ("papers", "pdf", "blocks", "records", "lists", "figures", "labels", "meta", "fits", "archive", "cut", "answers")}
@@ -221,7 +246,7 @@ def test_command_line(spark, tmp_path, capsys):
         body = json.loads(paper(k))
         for i in body["images"][:2]:
             i["data"] = base64.b64encode(bgr).decode()
-        body["images"][2]["data"] = base64.b64encode(bytes(300 * 300 * 3)).decode()  # all black
+        body["images"][2]["data"] = base64.b64encode(b"\xff" * (300 * 300 * 3)).decode()  # all white
         (tmp_path / "pdf" / f"paper_{k}.pdf").write_text(json.dumps(body))
     (tmp_path / "pdf" / "paper_3.pdf").write_text("broken")
     blocks.write.parquet(t["blocks"])
@@ -239,7 +264,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert {k: (r["total_images_found"], r["solar_images_saved"]) for k, r in logs.items()} == {1: (2, 1), 2: (2, 1), 3: (0, 0)}
     assert png_pixels(open(f"{t['figures']}/2012-03 - Song, Y/{solar}", "rb").read())[150, 450:453].tolist() == [200, 110, 10]
     said = capsys.readouterr().out
-    assert "3 papers" in said and "2 of 4 images" in said and "1 papers without blocks\n1 papers without images" in said and "3 files kept" in said and "0 files kept" not in said.split("of 4")[0]
+    assert "3 papers" in said and "2 of 4 images" in said and "1 papers without blocks\n1 papers without images" in said and "3 files kept" in said and "0 files kept" in said
     os.remove(f"{t['figures']}/2012-03 - Song, Y 2/{solar}")
     assert cli.run(spark, ["label", *given, "--figures-dir", t["figures"], "--output-dir", t["labels"]]) == 0
     with open(t["labels"] + "/labels.csv", encoding="utf-8-sig") as f:
@@ -372,3 +397,50 @@ def test_windowed_counts(spark, tmp_path):
     counts.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = spark.table("windowed").select(F.date_format("window.start", "HH:mm").alias("at"), "k", "n").collect()
     assert sorted(map(tuple, got)) == [("00:00", "a", 2), ("01:00", "b", 1)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "hamming"])
+def test_neighbours_by_pivots_are_exact(spark, metric):
+    """On clusters few distances are computed; ties, equal rows and far queries included, the result is that of all
+    distances."""
+    r = np.random.default_rng(0)
+    train = np.concatenate([c + r.normal(size=(50, 6)) for c in 20 * r.normal(size=(24, 6))]) if metric == "l2" else r.integers(0, 256, (600, 12))
+    train[100:140] = train[99]
+    asked = np.concatenate([train[::4], train[:1] + 1000]) if metric == "l2" else train[::4]
+    rows = lambda x, key, step: spark.createDataFrame([(step * i, [float(v) for v in a]) for i, a in enumerate(x)] + [(10**6, None)], f"{key} long, vec array<double>")
+    q, t = rows(asked, "q_id", 4), rows(train, "t_id", 1)
+    for apart in (False, True):
+        found, effort = matching.nearest_by_pivots(q, t, 3, metric, 32, apart, cell_rows=40)
+        d = matching.distances(asked.astype(float), train.astype(float), metric)
+        want = set()
+        for i, row in enumerate(d):
+            near = sorted((x, j) for j, x in enumerate(row.tolist()) if not (apart and j == 4 * i))[:3]
+            want |= {(4 * i, j, x, k + 1) for k, (x, j) in enumerate(near)}
+        rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "t_id"))
+        assert set(map(tuple, found.withColumn("rank", rank).where("rank <= 3").select("q_id", "t_id", "distance", "rank").collect())) == want
+        by_default = matching.nearest(q, t, 3, metric, 32, apart, most_blocks=1)
+        assert set(map(tuple, by_default.select("q_id", "t_id", "distance", "rank").collect())) == want
+        if metric == "l2":
+            assert effort.agg(F.sum("n")).first()[0] < 0.3 * len(asked) * len(train)
+    assert matching.nearest_by_pivots(q, t.limit(0))[0].count() == 0
+
+
+def test_sql_surface(spark):
+    sql.register(spark)
+    with pytest.raises(Exception, match="binary"):
+        spark.sql("SELECT * FROM paper_blocks('text', 'a:b')").collect()
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT b.* FROM (SELECT CAST('x' AS BINARY) AS c, 'a:b' AS p) f, LATERAL paper_blocks(f.c, f.p) b").collect()
+    got = spark.sql("SELECT first_author(NULL, '2012ApJ...1..2D', 'On loops by Y. Song, a') AS a, clean_caption('Figure 3. A  loop') AS c, figure_label('no caption') AS l").first()
+    assert got["a"]["last"] == "Song" and got["c"] == "A loop" and got["l"] is None
+    plan = spark.sql("SELECT first_author(authors, NULL, NULL) FROM VALUES ('Song, Y.') t(authors)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan  # expanded in place
+    broken = spark.sql("SELECT b.* FROM (SELECT X'FF' AS c) f, LATERAL paper_blocks(f.c, 'plumbline.sources.providers:TextPaper') b")
+    assert broken.count() == 0
+
+
+def test_document_text_stops_early(spark):
+    rows = [(1, p, b, 0, f"{p}{b}" * 5) for p in (1, 2, 3) for b in (0, 1)] + [(2, 1, 0, 0, "x" * 50)]
+    d = spark.createDataFrame(rows, "paper_id long, page int, block_no int, type int, text string")
+    got = {r["paper_id"]: (r["text"], r["pages"]) for r in captions.document_text(d, 30).collect()}
+    assert got == {1: (("10" * 5 + "\n" + "11" * 5 + "20" * 5)[:30], 2), 2: ("x" * 30, 1)}
