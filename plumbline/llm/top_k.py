@@ -23,6 +23,8 @@ from .common import join_checked, map_arrow, materialize
 LEAF = 128
 #: Boxes stand in the first so many principal axes; what lies beyond them is bounded by its length.
 AXES = 64
+#: Bytes of a shard's vectors at most, but for a vector that is longer by itself.
+SHARD_BYTES = 128 << 20
 #: Bounds are raised by this share of the largest sum they stand for, far above rounding errors.
 MARGIN = 1e-9
 NONE = np.iinfo(np.int64).min
@@ -237,7 +239,7 @@ def _tables(rows: list[dict], ddl: str) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
 
-def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_rows: int, most_shards: int, sample: int, first: int) -> DataFrame | None:
+def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_rows: int, most_cells: int, sample: int, first: int) -> DataFrame | None:
     """The shards' queries with their heaps and the number of points scored; None without vectors."""
     spark = vectors.sparkSession
     whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # noqa: E731  floor() gives longs
@@ -245,18 +247,20 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
     n = v.count()
     if not n:
         return None
-    per = max(shard_rows, -(-n // most_shards))
+    # A shard holds shard_rows vectors of usual lengths, and fewer long ones, whatever their number.
+    per = shard_rows
+    cell_rows = max(per, -(-n // most_cells))
 
-    # Lengths with more rows than a shard holds get a plan: n / per of them at most.
+    # Lengths with more rows than a shard holds get a plan, of one cell for cell_rows rows.
     large = [(r["dim"], r["c"]) for r in v.groupBy("dim").agg(F.count("*").alias("c")).where(F.col("c") > per).orderBy(F.col("c").desc(), "dim").collect()]
     plans: dict[int, Plan] = {}
     for dim, c in large:
         if sum(p.axes.nbytes for p in plans.values()) + 8 * dim * min(dim, AXES) > 64 << 20:
-            break  # lengths beyond this size are dealt by a hash
+            break  # lengths beyond this size are one cell
         rows = max(1024, min(sample, (64 << 20) // (8 * dim)))
         seen = v.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30) * c <= rows)).select("vec_id", "v").orderBy("vec_id").limit(2 * rows)
 
-        found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(_planner(-(-c // per)), "plan binary").collect()
+        found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(_planner(-(-c // cell_rows)), "plan binary").collect()
         if found:
             plans[dim] = pickle.loads(found[0]["plan"])
     sizes = dict(large)
@@ -270,13 +274,14 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
                 if d in sent.value:
                     some = b.column(1).take(pa.array(at))
                     shard[at] = sent.value[d].shard(_rows(some, len(at)))
-                elif d in sizes:
-                    shard[at] = b.column(0).to_numpy()[at] % (-(-sizes[d] // per))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], ["vec_id", "v", "dim", "shard"])
 
     placed = materialize(v.select("vec_id", "v", "dim").transform(map_arrow, place, "vec_id long, v array<double>, dim int, shard long"), "placed")
-    # Equal vectors can't be split by medians: a shard of too many is dealt on by id.
-    counts = placed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / (2 * per)).cast("int").alias("subs"))
+    # Two levels: cells, which the directory knows by their boxes, and shards of a cell, dealt by id. Equal vectors
+    # can't be split by medians, and beyond most_cells cells grow; either way a shard stays at 2 * per rows and, at
+    # 8 bytes a component, SHARD_BYTES.
+    rows = F.least(F.lit(2.0 * per), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))))
+    counts = placed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / F.greatest(F.lit(1.0), rows)).cast("int").alias("subs"))
     counts = materialize(counts, "counts")
     placed = join_checked(placed, counts, ["dim", "shard"], "inner", counts.count(), 24).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
 
@@ -313,15 +318,24 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
 
     state = materialize(trees.transform(map_arrow, at_home, _STATE), "state")
 
-    # The shards' own boxes, of lengths with more than one: at most 2 n / per rows of 1 kB.
+    # The cells' boxes, of lengths with more than one: about most_cells rows of 1 kB, however many shards there are.
     width = 8 * AXES
     roots = trees.select(*_KEY, *[F.substring(c, 1, width if c != "rest" else 8).alias(c) for c in ("box_min", "box_max", "rest")])
-    roots = [r.asDict() for r in roots.where(F.col("dim").isin(list(sizes))).collect()] if sizes else []
+    cell_row = "dim int, shard long, subs int, box_min binary, box_max binary, rest binary"
+
+    def joined(key, table):
+        dim = key[0].as_py()
+        box = lambda c: np.stack([np.frombuffer(x, "<f8") for x in table.column(c).to_pylist()])
+        low, high, rest = box("box_min")[:, : min(dim, AXES)].min(0), box("box_max")[:, : min(dim, AXES)].max(0), box("rest").max(0)
+        row = {"dim": dim, "shard": key[1].as_py(), "subs": table.num_rows, "box_min": low.tobytes(), "box_max": high.tobytes(), "rest": rest.tobytes()}
+        return _tables([row], cell_row)
+
+    cells = roots.where(F.col("dim").isin(list(sizes))).groupBy("dim", "shard").applyInArrow(joined, cell_row).collect() if sizes else []
     directory: dict[int, tuple] = {}
     for dim in sizes:
-        own = sorted((r for r in roots if r["dim"] == dim), key=lambda r: (r["shard"], r["sub"]))
-        box = lambda c: np.stack([np.frombuffer(bytes(r[c]), "<f8") for r in own])[:, : min(dim, AXES)]  # noqa: E731, B023
-        directory[dim] = [(r["shard"], r["sub"]) for r in own], box("box_min"), box("box_max"), box("rest")[:, 0]
+        own = sorted((r.asDict() for r in cells if r["dim"] == dim), key=lambda r: r["shard"])
+        box = lambda c: np.stack([np.frombuffer(bytes(r[c]), "<f8") for r in own])  # noqa: E731, B023
+        directory[dim] = [(r["shard"], r["subs"]) for r in own], box("box_min"), box("box_max"), box("rest")[:, 0]
     known = spark.sparkContext.broadcast(directory)
     chunks = max(1, n // query_every * 8 * max(sizes, default=0) >> 26)
     route_row = f"{_WHERE}, from_shard long, from_sub int, at binary, {_STATE.split(', ', 3)[3]}"
@@ -337,19 +351,20 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
                     names, low, high, rest = known.value[row["dim"]]
                     ids, q, heaps = _open(row, k)
                     reach = bounds(project(q, axes_of(row["dim"])), low, high, rest)
-                    reach[:, names.index((row["shard"], row["sub"]))] = -np.inf
                     order = np.argsort(-reach, axis=1, kind="stable")[:, skip : skip + most]
                     kth = heaps[:, :, 0].min(1).astype(float)  # the least float where a heap isn't full
                     want = np.zeros(reach.shape, bool)
                     np.put_along_axis(want, order, True, 1)
                     want &= (reach >= kth[:, None]) & (reach > -np.inf)
-                    out = []
-                    for s in np.flatnonzero(want.any(0)).tolist():
+                    out, size = [], 0
+                    for s, sub in ((s, sub) for s in np.flatnonzero(want.any(0)).tolist() for sub in range(names[s][1])):
+                        if (names[s][0], sub) == (row["shard"], row["sub"]):
+                            continue  # searched at home
                         at = np.flatnonzero(want[:, s])
                         out.append({
                             "dim": row["dim"],
                             "shard": names[s][0],
-                            "sub": names[s][1],
+                            "sub": sub,
                             "from_shard": row["shard"],
                             "from_sub": row["sub"],
                             "at": at.astype("<i8").tobytes(),
@@ -358,6 +373,10 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
                             "heaps": heaps[at].tobytes(),
                             "scored": 0,
                         })
+                        size += len(at) * (q.shape[1] + 2 * k) * 8
+                        if size > SHARD_BYTES // 4:
+                            yield from _tables(out, route_row).to_batches()
+                            out, size = [], 0
                     yield from _tables(out, route_row).to_batches()
 
         return run
@@ -390,7 +409,7 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
         return _tables(out, _STATE)
 
     spread = F.pmod(F.xxhash64("from_shard", "from_sub"), F.lit(chunks)).cast("int")
-    most = max((len(x[0]) for x in directory.values()), default=1) - 1
+    most = max((len(x[0]) for x in directory.values()), default=0)
     for skip, width in ((0, first), (first, most - first)):
         if width <= 0 or skip >= most:
             break
@@ -401,7 +420,7 @@ def searched(vectors: DataFrame, k: int, query_every: int, scale: float, shard_r
     return state
 
 
-def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0, shard_rows: int = 8192, most_shards: int = 4096, sample: int = 1 << 16, first: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0, shard_rows: int = 8192, most_cells: int = 4096, sample: int = 1 << 16, first: int = 8) -> DataFrame:
     """Vectors (vec_id, embedding) -> query_id, rank (from 1), vec_id, score.
 
     Components become floor(scale * x). Queries are the rows with vec_id divisible by query_every;
@@ -411,10 +430,10 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: float =
     vec_id the least vector counts. Scores beyond 64 bits are cut to the nearest long. An empty table
     gives no rows; columns beside vec_id and embedding play no part.
 
-    A shard holds shard_rows vectors, more where there would be over most_shards of them, and its queries
-    travel as one block. sample: how many vectors the splits are learnt from; all are dealt by them.
+    A shard holds shard_rows vectors, twice as many at most, and its queries travel as one block. Beyond most_cells
+    cells of the splits, cells grow and are dealt on to shards by id. sample: how many vectors the splits are learnt from; all are dealt by them.
     """
-    state = searched(vectors, k, query_every, scale, shard_rows, most_shards, sample, first)
+    state = searched(vectors, k, query_every, scale, shard_rows, most_cells, sample, first)
     if state is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 

@@ -67,9 +67,9 @@ def test_top_k(spark):
     for q in range(0, 230, 20):
         best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
         want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    for shard_rows, first in ((50, 1), (1000, 8), (7, 3)):
+    for shard_rows, first, cells in ((50, 1, 4096), (1000, 8, 4096), (7, 3, 4096), (7, 1, 4), (5, 2, 1)):
         got = {}
-        for x in top_k.top_k(data, k=5, shard_rows=shard_rows, first=first).collect():
+        for x in top_k.top_k(data, k=5, shard_rows=shard_rows, first=first, most_cells=cells).collect():
             got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
         assert {q: sorted(x) for q, x in got.items()} == want
     assert top_k.top_k(vectors(spark, [])).count() == 0
