@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import sql, text as X
 from ..operators import archive, captions, figures, matching, metadata, papers
 from .. import stages
-from ..sources import models
+from ..sources import models, shared
 from ..streaming import incremental
 from . import adapters as A
 
@@ -400,7 +400,7 @@ def q33_resume_antijoin(spark, sf_dir):
 @query("SELECT event_id, ts, event_type FROM events")
 def q34_incremental_runner(spark, sf_dir):
     """All events through an incremental run whose folders are this run's own."""
-    root = f"{incremental.shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    root = f"{shared.folder(spark)}/incremental-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     return incremental.run_available(spark, f"{sf_dir}/events.parquet*", source.schema, lambda s: s.select("event_id", "ts", "event_type"), f"{root}/sink", f"{root}/checkpoint")
 
@@ -497,6 +497,19 @@ def q40_metadata_stage(spark, sf_dir):
     return d.select("paper_id", "paper_authors", "n_observations", "status", count('"confidence":"high"').alias("n_high"), count('"phenomenon":"Flare"').alias("n_flares"))
 
 
+def _documents(spark, sf_dir):
+    """Metadata documents of the test observations, one a paper."""
+    o = A.observations(spark, sf_dir)
+    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    fov = F.when(F.col("fov").isNotNull(), F.array("fov", "fov"))
+    one = F.struct("event_id", ts.alias("timestamp_start"), "instrument", F.nullif(F.col("wavelength").cast("string"), F.lit("0")).alias("wavelength_angstrom"), F.col("limb").alias("limb_position"), fov.alias("fov_arcsec"), F.col("tx").alias("center_tx_arcsec"), F.col("ty").alias("center_ty_arcsec"), "confidence")
+    return o.groupBy("paper").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("observations")).withColumn("status", F.lit("success"))
+
+
+def _archive(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"), (F.col("event_id") % 400).cast("int").alias("wavelength"))
+
+
 PLACED = f"(SELECT *, row_number() OVER (PARTITION BY paper ORDER BY event_id) - 1 AS place FROM {OBS})"
 HIT = f"""(SELECT paper, place, arg_min(record_id, (a_ts, record_id)) AS record_id FROM (SELECT o.paper, o.place, a.event_id AS record_id, a.ts AS a_ts FROM {PLACED} o JOIN events a
   ON a.ts BETWEEN date_trunc('second', o.ts) - INTERVAL 60 SECOND AND date_trunc('second', o.ts) + INTERVAL 60 SECOND AND (coalesce(o.instrument, '') = '' OR o.instrument = a.event_type)
@@ -509,18 +522,24 @@ HIT = f"""(SELECT paper, place, arg_min(record_id, (a_ts, record_id)) AS record_
     {_side("tx - coalesce(fov, 300) / 2", "x0", "-1200")} AS tx_min, {_side("ty + coalesce(fov, 300) / 2", "y1", "1200")} AS ty_max
   FROM (SELECT *, {CHOSEN} AS strategy FROM {PLACED}) o LEFT JOIN {LIMBS} ON limb = pos LEFT JOIN {HIT} h ON h.paper = o.paper AND h.place = o.place)""")
 def q41_query_stage(spark, sf_dir):
-    o = A.observations(spark, sf_dir)
-    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
-    fov = F.when(F.col("fov").isNotNull(), F.array("fov", "fov"))
-    one = F.struct("event_id", ts.alias("timestamp_start"), "instrument", F.nullif(F.col("wavelength").cast("string"), F.lit("0")).alias("wavelength_angstrom"), F.col("limb").alias("limb_position"), fov.alias("fov_arcsec"), F.col("tx").alias("center_tx_arcsec"), F.col("ty").alias("center_ty_arcsec"), "confidence")
-    docs = o.groupBy("paper").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("observations")).withColumn("status", F.lit("success"))
-    e = stages.events_of(docs)
-    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("record_id"), "ts", F.col("event_type").alias("instrument"), (F.col("event_id") % 400).cast("int").alias("wavelength"))
+    e = stages.events_of(_documents(spark, sf_dir))
     cache = e.where("event_index % 9 = 4").select("cache_key", F.concat(F.lit("/cache/"), "cache_key").alias("path"))
-    m = stages.match_observations(e, records, e.where("event_index % 35 = 0").select("output"), cache)
+    m = stages.match_observations(e, _archive(spark, sf_dir), e.where("event_index % 35 = 0").select("output"), cache)
     return m.select("paper", F.col("event_index").cast("int").alias("event_index"), "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"), "cache_key", "bounds.tx_min", "bounds.ty_max")
 
 
+@query(f"""SELECT o.paper, CAST(o.place AS INT) AS event_index, CASE WHEN record_id IS NULL THEN 'failed' ELSE strategy END AS status, coalesce(record_id, -1) AS record_id
+  FROM (SELECT *, {CHOSEN} AS strategy FROM {PLACED}) o LEFT JOIN {HIT} h ON h.paper = o.paper AND h.place = o.place""")
+def q46_query_stage_by_batches(spark, sf_dir):
+    """The query stage over documents that come as a stream of files, a stage run a batch."""
+    root = f"{shared.folder(spark)}/batches-{uuid.uuid4().hex}"
+    docs, records = _documents(spark, sf_dir), shared.written(_archive(spark, sf_dir), "records")
+    docs.repartition(3, "paper").write.parquet(f"{root}/in")
+    pick = lambda m: m.select("paper", F.col("event_index").cast("int").alias("event_index"), "status", F.coalesce("record_id", F.lit(-1)).alias("record_id"))
+    work = lambda batch: pick(stages.match_observations(stages.events_of(batch), records))
+    return incremental.run_batches(spark, f"{root}/in", docs.schema, work, f"{root}/out", f"{root}/checkpoint", files_per_batch=1)
+
+
 # --- the library in SQL -------------------------------------------------------------------------------
 
 SHOWN = f"(SELECT id, authors, bibcode, title, publication_date, replace(coalesce({FIELD}, {BIB}), '|', ', ') AS author FROM {P})"

@@ -237,3 +237,19 @@ def test_incremental_takes_new_files_only(spark, tmp_path):
     assert go() == 4
     spark.range(10, 12).write.mode("append").parquet(str(tmp_path / "in"))
     assert go() == 6
+
+
+def test_batches_run_whole_stages_once(spark, tmp_path):
+    """Each batch goes through an aggregate; new files make new batches, and none is taken twice."""
+    source, sizes = str(tmp_path / "in"), []
+    spark.range(40).selectExpr("id", "id % 2 AS k").repartition(4).write.parquet(source)
+
+    def work(batch):
+        sizes.append(batch.count())
+        return batch.groupBy("k").agg(F.count("*").alias("n"))
+
+    go = lambda: incremental.run_batches(spark, source, "id long, k long", work, str(tmp_path / "out"), str(tmp_path / "cp"), 1).agg(F.sum("n")).first()[0]
+    assert go() == 40 and len(sizes) == 4 and sum(sizes) == 40
+    assert go() == 40 and len(sizes) == 4
+    spark.range(5).selectExpr("id", "id % 2 AS k").coalesce(1).write.mode("append").parquet(source)
+    assert go() == 45 and sizes[-1] == 5
