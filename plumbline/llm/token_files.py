@@ -50,12 +50,14 @@ class Store:
                 f.write(c)
         os.replace(own, final) if self.local else self.fs.move(own, final)
 
-    def map(self, name: str, dtype: str) -> np.ndarray:
-        path = f"{self.path}/{name}"
+    def read(self, name: str, dtype: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Items lo to hi of a file: a memory map on a disk, a read of that range from another store."""
+        path, width = f"{self.path}/{name}", np.dtype(dtype).itemsize
         if self.local:
-            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+            return (np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype))[lo:hi]
         with self.fs.open_input_file(path) as f:
-            return np.frombuffer(f.read_buffer(), dtype)
+            end = f.size() if hi is None else hi * width
+            return np.frombuffer(f.read_at(end - lo * width, lo * width), dtype)
 
 
 @lru_cache(maxsize=4)
@@ -214,15 +216,27 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+#: Bytes of the input's files that a part stands for, at most.
+PART = 128 << 20
+
+
+def parts_of(docs: DataFrame) -> int:
+    """By the size that Spark's statistics give the input; frames that stand on no files have none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), -(-size // PART) if size < 1 << 60 else 1)
+
+
 def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) -> DataFrame:
     """Encodes whole texts (null: empty), ends each document with end_id, writes the files in
     ascending doc_id order (null ids first) and returns the manifest: part, docs, tokens, dtype.
 
-    Equal doc_ids stay together, in order of text. A task that runs again writes the same files again.
+    Equal doc_ids follow one another, in order of text, over parts where they are many. There are as many parts as the
+    session shuffles to, and more where the input's files hold over PART bytes for each. A task that runs again writes
+    the same files again.
     """
     spark = docs.sparkSession
     Store(folder).make()
-    n = partitions(spark)
+    n = parts_of(docs)
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), str(TaskContext.get().taskAttemptId())
@@ -248,7 +262,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0) ->
         total = int(off[-1])
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(sizes)], pa.int64()), "tokens": pa.array([total], pa.int64()), "dtype": [enc.dtype]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialize(ordered.transform(map_arrow, run, "part int, docs long, tokens long, dtype string"), "manifest")
 
 
@@ -263,11 +277,11 @@ def read(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 name = f"part-{row['part']:05d}"
-                off, doc, ids = store.map(f"{name}.off", "<u8").astype(np.int64), store.map(f"{name}.ids", "<i8"), store.map(f"{name}.bin", row["dtype"])
-                for i in range(0, len(doc), block):
-                    o = off[i : i + block + 1]
-                    crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(o[:-1].tolist(), o[1:].tolist())]
-                    d = np.asarray(doc[i : i + block])
+                for i in range(0, row["docs"], block):
+                    o = store.read(f"{name}.off", "<u8", i, min(i + block, row["docs"]) + 1).astype(np.int64)
+                    d = np.asarray(store.read(f"{name}.ids", "<i8", i, min(i + block, row["docs"])))
+                    ids = store.read(f"{name}.bin", row["dtype"], int(o[0]), int(o[-1]))
+                    crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip((o[:-1] - o[0]).tolist(), (o[1:] - o[0]).tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(d, mask=d == NULL_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],

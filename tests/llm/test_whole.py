@@ -57,3 +57,37 @@ def test_rounds_remove_their_own_tables_alone(spark):
         got = list(pool.map(run, (0, 10_000, 20_000)))
     assert [x[:3] for x in got] == [({k}, 5, 3) for k in (0, 10_000, 20_000)]
     assert all(not set(x[3]) & set(y[3]) for x in got for y in got if x is not y) and not common._NOTED.get()
+
+
+def test_token_files_in_a_store_that_is_no_disk(spark, tmp_path, monkeypatch):
+    """Ranges by offsets through pyarrow's file system, in small blocks; a hot doc_id over several parts."""
+    from pyarrow import fs
+    from pyspark.sql import functions as F
+
+    texts = [f"some words {i} " * (i % 5) for i in range(60)]
+    ids = [None] * 9 + [7] * 31 + list(range(100, 120))
+    d = docs(spark, texts, ids=ids)
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want, start = [], 0
+    for i, t in order:
+        enc = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(enc), zlib.crc32(np.array(enc, "<u4").tobytes())))
+        start += len(enc)
+    folder = str(tmp_path / "tokens")
+    manifest = token_files.write(d, folder, P.path("byte_bpe_50k.json"))
+    assert manifest.where("docs > 0").count() > 2 and manifest.agg(F.max("docs")).first()[0] < 40
+
+    class Remote(token_files.Store):
+        def __init__(self, uri):
+            self.local, self.fs, self.path = False, fs.LocalFileSystem(), uri
+
+    for kind, block in ((token_files.Store, 4096), (Remote, 7)):
+        store = kind(folder)
+        assert store.read("part-00000.bin", manifest.first()["dtype"], 2, 5).tolist() == store.read("part-00000.bin", manifest.first()["dtype"]).tolist()[2:5]
+        monkeypatch.setattr(token_files, "Store", kind)
+        got = [tuple(r) for r in token_files.read(manifest, folder, block).orderBy("start").collect()]
+        assert got == want
+    monkeypatch.setattr(token_files, "PART", 1000)
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert token_files.parts_of(data) > 100 and token_files.parts_of(d) == token_files.partitions(spark)
