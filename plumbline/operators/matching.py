@@ -220,13 +220,17 @@ def similarity_params(a: Column, b: Column, tx: Column, ty: Column) -> list[Colu
 def fit_similarity(points: DataFrame, tolerance: float = 3.0, rounds: int = 500, seed: int = 1, least_matches: int = 10, least_inliers: int = 15) -> DataFrame:
     """Seeded RANSAC similarity for each pair of images (pair_id, qx, qy, tx, ty): pair_id, matches,
     inliers, a, b, shift_x, shift_y, accepted. Pairs with too few matches have null parameters. One
-    image pair's matches are few thousand points, so a group fits a task."""
+    image pair's matches are few thousand points, so a group fits a task.
+
+    Of the samples' models the one with the least sum of squared distances, each cut at the tolerance, wins: the number
+    of inliers alone would prefer a model through a strayed point that has one more of them by chance.
+    """
 
     def run(key, table):
         p = np.stack([table.column(c).to_numpy(zero_copy_only=False) for c in ("qx", "qy", "tx", "ty")], 1)
         p = p[np.lexsort(p.T)]
         z, w = p[:, 0] + 1j * p[:, 1], p[:, 2] + 1j * p[:, 3]
-        best, m, t = np.zeros(len(p), bool), None, None
+        best, least, m, t = np.zeros(len(p), bool), np.inf, None, None
         if len(p) > least_matches:
             rng = np.random.default_rng(seed)
             for _ in range(rounds):
@@ -234,9 +238,10 @@ def fit_similarity(points: DataFrame, tolerance: float = 3.0, rounds: int = 500,
                 if z[i] == z[j]:
                     continue
                 mm = (w[i] - w[j]) / (z[i] - z[j])
-                near = np.abs(mm * z + (w[i] - mm * z[i]) - w) <= tolerance
-                if near.sum() > best.sum():
-                    best = near
+                far = np.abs(mm * z + (w[i] - mm * z[i]) - w)
+                loss = (np.minimum(far, tolerance) ** 2).sum()
+                if loss < least:
+                    best, least = far <= tolerance, loss
             if best.sum() >= 2:
                 zc, wc = z[best] - z[best].mean(), w[best] - w[best].mean()
                 m = (np.conj(zc) * wc).sum() / (np.abs(zc) ** 2).sum()

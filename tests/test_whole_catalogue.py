@@ -39,3 +39,9 @@ def test_nearest_apart_from_itself(spark, metric):
     for i in range(60):
         order = [j for j in np.lexsort((np.arange(60), far[i])) if j != i][:3]
         assert sorted(got[i]) == [(n + 1, j) for n, j in enumerate(order)]
+
+
+def test_ransac_leaves_out_a_strayed_point_whose_model_has_more_inliers(spark):
+    rows = [(1, float(x), 0.0, 0.8 * x + 12, 0.3 * x - 7) for x in range(0, 800, 20)] + [(1, 1000.0, 0.0, 0.8 * 1000 + 12, 0.3 * 1000 - 7 + 3.5)]
+    got = matching.fit_similarity(spark.createDataFrame(rows, "pair_id long, qx double, qy double, tx double, ty double")).collect()
+    assert [(r["matches"], r["inliers"], round(r["a"], 9), round(r["b"], 9)) for r in got] == [(41, 40, 0.8, 0.3)]
