@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import matching
+from plumbline.operators import archive, matching
 from plumbline.plans import catalogue
 
 
@@ -45,3 +45,19 @@ def test_ransac_leaves_out_a_strayed_point_whose_model_has_more_inliers(spark):
     rows = [(1, float(x), 0.0, 0.8 * x + 12, 0.3 * x - 7) for x in range(0, 800, 20)] + [(1, 1000.0, 0.0, 0.8 * 1000 + 12, 0.3 * 1000 - 7 + 3.5)]
     got = matching.fit_similarity(spark.createDataFrame(rows, "pair_id long, qx double, qy double, tx double, ty double")).collect()
     assert [(r["matches"], r["inliers"], round(r["a"], 9), round(r["b"], 9)) for r in got] == [(41, 40, 0.8, 0.3)]
+
+
+def test_pixels_behind_an_explode_are_not_broadcast(spark, monkeypatch):
+    pixels = spark.range(50).selectExpr("id AS image_id", "explode(sequence(0, 99)) AS x").selectExpr("image_id", "cast((image_id * 7 + x * 13) % 101 AS double) AS value")
+
+    def joined(most):
+        monkeypatch.setattr(archive, "MOST_EXTREMES", most)
+        d = archive.to_uint8(pixels).select("image_id", "value", "u8")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted(map(tuple, d.collect()))
+
+    few, rows = joined(50)
+    assert "BuildRight" in few and "BuildLeft" not in few
+    many, again = joined(49)
+    assert "SortMergeJoin" in many and "Broadcast" not in many
+    assert rows == again and len(rows) == 5000
