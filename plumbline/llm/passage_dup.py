@@ -403,8 +403,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, return_text: bool = False)
                 first = d[row] == _least(d[row], of, len(one))[of]
                 lo = p[row] - side + o
                 go = np.flatnonzero(~first)  # in runs: row by row, string after string
-                new = np.flatnonzero(np.append(True, (row[go][1:] != row[go][:-1]) | (o[go][1:] != o[go][:-1] + 1))) if len(go) else go
-                cut(row[go[new]], lo[go[new]], lo[go[np.append(new[1:], len(go)) - 1]] + length)
+                if len(go):
+                    new = np.flatnonzero(np.append(True, (row[go][1:] != row[go][:-1]) | (o[go][1:] != o[go][:-1] + 1)))
+                    cut(row[go[new]], lo[go[new]], lo[go[np.append(new[1:], len(go)) - 1]] + length)
                 key = np.zeros(len(one), np.uint64)
                 for w in _wide(strings[one]).T:
                     key = mix64(key * _P[1] + w)

@@ -554,6 +554,17 @@ def test_passages_of_hot_texts_and_anchors(spark, monkeypatch, hot_anchor):
     assert sorted(map(tuple, got)) == sorted(removed(some))
 
 
+def test_hot_anchors_whose_strings_all_differ(spark, monkeypatch):
+    """49 bytes in common make hot anchors, but no string of 50 bytes that a flush could settle by itself."""
+    monkeypatch.setattr(passage_dup, "HOT_ANCHOR", 8)
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh ") for _ in range(49))
+    rest = lambda: "".join(r.choice("xyz ") for _ in range(100))
+    rows = [(i, rest() + "ABCDEFGHI"[i] + line + "ABCDEFGHI"[i] + rest()) for i in range(9)]
+    got = passage_dup.remove_repeats(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    assert sorted(map(tuple, got)) == sorted(removed(rows)) and not any(r["n_removed"] for r in got)
+
+
 def test_anchors_stand_in_every_string():
     r = np.random.default_rng(1)
     b = r.integers(97, 100, 3000).astype(np.uint8)
